@@ -19,11 +19,23 @@ def op1_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_digests(write_ids(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json")))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.decontam import digests, matches
+
+    return digests(matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.secret_scan import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rans, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_rans, op2_decontamination, op4_secrets, op8_packing)}
 ORACLE_SQL: dict[str, str] = {}
