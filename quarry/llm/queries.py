@@ -31,11 +31,17 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rans, op2_decontamination, op4_secrets, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_rans, op2_decontamination, op4_secrets, op7_near_duplicates, op8_packing)}
 ORACLE_SQL: dict[str, str] = {}
