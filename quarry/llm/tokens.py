@@ -8,13 +8,26 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 #: Pieces a worker keeps before it starts anew; about 100 bytes each.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 900_000
+#: Words of Latin letters with signs behind them: their cuts need no tokenizer, only its model. Apostrophes start
+#: contractions and "<" and "|" special tokens, so that these are left to the tokenizer.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=>?@\\[\\\\\\]^_`{}~]*)")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 _ODD_SPACE = re.compile(r"\s |^ | \s| $")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it can be seen, else one from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: 256 + i for i, b in enumerate(rest)}
+
+
+_BYTE_LETTERS = _byte_letters()
+_BLANK = chr(_BYTE_LETTERS[32])
 _workers: dict[tuple[str, str], CachedTokenizer] = {}
 
 
@@ -31,6 +44,9 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path)
+        self.model = self.encode.model
+        self.parts: dict[str, bytes] = {}  # words, with the blank before them in mode "spaced"
+        self.signs: dict[str, bytes] = {}  # signs and words without one
         self.mode = mode
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
@@ -40,15 +56,61 @@ class CachedTokenizer:
             return text.replace("\n", " ").split(" ")
         return _BETWEEN.split(text) if _ODD_SPACE.search(text) else text.split(" ")
 
+    def _part(self, part: str, prefix: str) -> bytes:
+        """Ids of one word or run of signs by the model, whose letters stand for bytes."""
+        letters = part if part.isascii() and part != "\n" else part.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        if prefix:
+            letters = _BLANK + letters
+        elif self.mode == "words":
+            letters = letters if part.islower() else part.lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _plain(self, piece: str, prefix: str) -> bytes | None:
+        """Ids of a piece of plain words with single line feeds between them, else None."""
+        out = b""
+        for i, line in enumerate(piece.split("\n")):
+            m = _PLAIN.fullmatch(line)
+            if not m:
+                return None
+            if i:
+                out += self._known(self.signs, "\n", "")
+            out += self._known(self.signs if i and prefix else self.parts, m[1], "" if i else prefix)
+            if m[2]:
+                out += self._known(self.signs, m[2], "")
+        return out
+
+    def _known(self, cache: dict[str, bytes], part: str, prefix: str) -> bytes:
+        got = cache.get(part)
+        if got is None:
+            got = cache[part] = self._part(part, prefix)
+        return got
+
     def _learn(self, cache: dict[str, bytes], missing: list[str], prefix: str) -> None:
-        if missing:
-            found = self.encode.encode_batch_fast([prefix + p for p in missing], add_special_tokens=False)
-            cache.update(zip(missing, (np.asarray(e.ids, "<u4").tobytes() for e in found), strict=True))
+        odd, match = [], _PLAIN.fullmatch
+        parts, signs = (self.parts, self.signs) if prefix or self.mode == "words" else (self.signs, self.signs)
+        for p in missing:
+            m = match(p)
+            if m:
+                word, sign = m.groups()
+                got = parts.get(word)
+                if got is None:
+                    got = parts[word] = self._part(word, prefix)
+                if sign:
+                    got += self._known(signs, sign, "")
+            elif "\n" not in p or (prefix == "" and self.mode == "spaced") or (got := self._plain(p, prefix)) is None:
+                odd.append(p)
+                continue
+            cache[p] = got
+        if odd:
+            found = self.encode.encode_batch_fast([prefix + p for p in odd], add_special_tokens=False)
+            cache.update(zip(odd, (array("I", e.ids).tobytes() for e in found), strict=True))
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null is an empty text."""
         if len(self.first) + len(self.later) > CACHE_PIECES:
             self.first, self.later = {}, {}
+        if len(self.parts) + len(self.signs) > CACHE_PIECES:
+            self.parts, self.signs = {}, {}
         spaced = self.mode == "spaced"
         cut = [self.pieces(t) if t else [] for t in texts]
         fresh: set[str] = set()
