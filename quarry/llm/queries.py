@@ -25,6 +25,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.toxicity import digests, score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return digests(score(docs, train(docs, table(spark, sf_dir, "labels"))))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.secret_scan import digests
 
@@ -43,5 +50,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rans, op2_decontamination, op4_secrets, op7_near_duplicates, op8_packing)}
+QUERIES = {f.__name__: f for f in (op1_rans, op2_decontamination, op3_toxicity, op4_secrets, op7_near_duplicates, op8_packing)}
 ORACLE_SQL: dict[str, str] = {}
