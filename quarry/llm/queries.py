@@ -50,5 +50,17 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_rans, op2_decontamination, op3_toxicity, op4_secrets, op7_near_duplicates, op8_packing)}
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.media import features, media_table
+
+    return features(media_table(table(spark, sf_dir, "documents"))).drop("peaks")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.warc import read_archive, write_archive
+
+    return read_archive(write_archive(table(spark, sf_dir, "pages"))).drop("url")
+
+
+QUERIES = {f.__name__: f for f in (op1_rans, op2_decontamination, op3_toxicity, op4_secrets, op7_near_duplicates, op8_packing, op9_media, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}
