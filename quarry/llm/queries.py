@@ -38,6 +38,18 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.chat import recovered
+
+    return recovered(table(spark, sf_dir, "conversations"))
+
+
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.html_blocks import main_text
+
+    return main_text(table(spark, sf_dir, "pages")).drop("blocks")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.near_dup import near_duplicates
 
@@ -62,5 +74,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archive(write_archive(table(spark, sf_dir, "pages"))).drop("url")
 
 
-QUERIES = {f.__name__: f for f in (op1_rans, op2_decontamination, op3_toxicity, op4_secrets, op7_near_duplicates, op8_packing, op9_media, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_rans, op2_decontamination, op3_toxicity, op4_secrets, op5_chat, op6_html, op7_near_duplicates, op8_packing, op9_media, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}
