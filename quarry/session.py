@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -35,3 +35,12 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(path)
     context._quarry_shipped = True
     return spark
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows as a reliable checkpoint, which cuts the lineage; in the cluster's shared folder where it names one."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-"))
+    return df.checkpoint()
