@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ def ignored(path, patterns: list[str]):
 def scan(spark: SparkSession, root: str, ignore: list[str] = [], names: tuple[str, ...] = EXCLUDED_NAMES, prefixes: tuple[str, ...] = EXCLUDED_PREFIXES, max_bytes: int = MAX_BYTES) -> DataFrame:  # noqa: B006
     """path (below the root), content, size, mtime of the tree's source files; the size filter reaches the scan."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(EXTENSIONS) + "}").load(root)
-    base = root.split(":", 1)[-1].rstrip("/") + "/"
+    base = re.sub("^/+", "/", root.split(":", 1)[-1]).rstrip("/") + "/"
     path = F.regexp_replace(F.element_at(F.split("path", F.lit(_quoted(base)), 2), 2), "^/+", "")
     rows = raw.where(F.col("length") <= max_bytes).select(path.alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
     return rows.where(~excluded(F.col("path"), list(names), list(prefixes)) & ~ignored(F.col("path"), ignore))
