@@ -245,7 +245,7 @@ def digests(found: DataFrame) -> DataFrame:
 
 def cut(text: str, spans: list[int], max_span: int, max_coverage: float) -> str:
     """The text without the spans of words that exceed a limit."""
-    at = [m.span() for m in WORDS.finditer(text)]
+    at = [m.span() for m in WORDS.finditer(text.translate(LOWER))]
     pairs = [*zip(spans[::2], spans[1::2], strict=True)]
     covered = sum(e - b for b, e in pairs) / max(1, len(at))
     out, last = [], 0
