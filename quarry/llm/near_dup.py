@@ -253,19 +253,28 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, words: int, percent: int) ->
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, component: the smallest node that links reach. Minimum labels pass along links and jump to their labels'
-    labels, so that the rounds grow with the logarithm of a component's width; each round is a written table."""
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).distinct()
-    both, _ = written(both, "links")
-    labels, _ = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c")), "labels")
+    """node, component: the smallest node that links reach.
+
+    Each round every node goes to its smallest neighbour (and that one's smallest), and the links are rewritten between
+    what is left: links inside go, so that the links shrink from round to round. Each round is a written table.
+    """
+    links, _ = written(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct(), "links")
+    labels = None
     while True:
-        near = both.join(labels.select(F.col("u").alias("v"), F.col("c").alias("cv")), "v").groupBy("u").agg(F.min("cv").alias("m"))
-        step = labels.join(near, "u").select("u", F.least("c", "m").alias("n"), "c")
-        hop = step.join(step.select(F.col("u").alias("n"), F.col("n").alias("nn")), "n", "left")
-        new, _ = written(hop.select("u", F.least("n", F.coalesce("nn", "n")).alias("c"), (F.least("n", F.coalesce("nn", "n")) != F.col("c")).alias("moved")), "labels")
-        if new.where("moved").isEmpty():
-            return new.select(F.col("u").alias("node"), F.col("c").alias("component"))
-        labels = new.select("u", "c")
+        near = links.select("u", "v").union(links.select(F.col("v"), F.col("u"))).groupBy("u").agg(F.min("v").alias("v"))
+        near, _ = written(near.select(F.col("u").alias("node"), F.least("u", "v").alias("c")), "nearest")
+        hop = near.join(near.select(F.col("node").alias("c"), F.col("c").alias("cc")), "c", "left")
+        step, _ = written(hop.select("node", F.coalesce("cc", "c").alias("c")), "steps")
+        to = lambda x, y: step.select(F.col("node").alias(x), F.col("c").alias(y))
+        if labels is None:
+            labels = step
+        else:
+            moved = labels.join(to("c", "next"), "c", "left")
+            labels, _ = written(moved.select("node", F.coalesce("next", "c").alias("c")), "labels")
+        left = links.join(to("u", "cu"), "u").join(to("v", "cv"), "v").where("cu <> cv")
+        links, _ = written(left.select(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).distinct(), "links")
+        if links.isEmpty():
+            return labels.select("node", F.col("c").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, trees: int = TREES, node_rows: int = NODE_ROWS, depth: int = DEPTH) -> DataFrame:
