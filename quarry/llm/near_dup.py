@@ -41,7 +41,7 @@ SURE, MAYBE_SLACK = 0.9, 0.13
 #: The words of a text, and the letters that are lower-cased.
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
-_WORD_CACHE = 600_000
+_WORD_CACHE = 200_000
 _cache: dict[str, int] = {}
 _rng = np.random.default_rng(20240229)
 _SALT = _rng.integers(0, 1 << 63, T, np.uint64)

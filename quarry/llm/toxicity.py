@@ -36,7 +36,7 @@ PREFIXES = (8, 7, 6, 5, 4)
 #: A segment counts as significant below this probability.
 SIGNIFICANT, THRESHOLD = 0.05, 0.3
 _WORD = re.compile(r"\w+")
-_WORD_CACHE = 500_000
+_WORD_CACHE = 150_000
 
 
 def features(word: str) -> list[str]:
