@@ -11,7 +11,7 @@ import re
 from array import array
 
 #: Pieces a worker keeps before it starts anew; about 100 bytes each.
-CACHE_PIECES = 900_000
+CACHE_PIECES = 400_000
 #: Words of Latin letters with signs behind them: their cuts need no tokenizer, only its model. Apostrophes start
 #: contractions and "<" and "|" special tokens, so that these are left to the tokenizer.
 _PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=>?@\\[\\\\\\]^_`{}~]*)")
@@ -31,6 +31,18 @@ _BLANK = chr(_BYTE_LETTERS[32])
 _workers: dict[tuple[str, str], CachedTokenizer] = {}
 
 
+class _Pieces(dict):
+    """Ids by piece; a piece that is missing is learned."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self[piece] = self.learn(piece)
+        return got
+
+
 class CachedTokenizer:
     """ids(text) as little-endian unsigned 32-bit integers in bytes.
 
@@ -48,8 +60,8 @@ class CachedTokenizer:
         self.parts: dict[str, bytes] = {}  # words, with the blank before them in mode "spaced"
         self.signs: dict[str, bytes] = {}  # signs and words without one
         self.mode = mode
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.first = _Pieces(lambda p: self._ids(p, ""))
+        self.later = _Pieces(lambda p: self._ids(p, " " if mode == "spaced" else ""))
 
     def pieces(self, text: str) -> list[str]:
         if self.mode == "words":
@@ -85,45 +97,31 @@ class CachedTokenizer:
             got = cache[part] = self._part(part, prefix)
         return got
 
-    def _learn(self, cache: dict[str, bytes], missing: list[str], prefix: str) -> None:
-        odd, match = [], _PLAIN.fullmatch
-        parts, signs = (self.parts, self.signs) if prefix or self.mode == "words" else (self.signs, self.signs)
-        for p in missing:
-            m = match(p)
-            if m:
-                word, sign = m.groups()
-                got = parts.get(word)
-                if got is None:
-                    got = parts[word] = self._part(word, prefix)
-                if sign:
-                    got += self._known(signs, sign, "")
-            elif "\n" not in p or (prefix == "" and self.mode == "spaced") or (got := self._plain(p, prefix)) is None:
-                odd.append(p)
-                continue
-            cache[p] = got
-        if odd:
-            found = self.encode.encode_batch_fast([prefix + p for p in odd], add_special_tokens=False)
-            cache.update(zip(odd, (array("I", e.ids).tobytes() for e in found), strict=True))
+    def _ids(self, piece: str, prefix: str) -> bytes:
+        m = _PLAIN.fullmatch(piece)
+        if m:
+            parts, signs = (self.parts, self.signs) if prefix or self.mode == "words" else (self.signs, self.signs)
+            word, sign = m.groups()
+            got = parts.get(word)
+            if got is None:
+                got = parts[word] = self._part(word, prefix)
+            return got + self._known(signs, sign, "") if sign else got
+        if "\n" in piece and (prefix or self.mode == "words") and (got := self._plain(piece, prefix)) is not None:
+            return got
+        return array("I", self.encode.encode(prefix + piece, add_special_tokens=False).ids).tobytes()
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null is an empty text."""
         if len(self.first) + len(self.later) > CACHE_PIECES:
-            self.first, self.later = {}, {}
+            self.first.clear()
+            self.later.clear()
         if len(self.parts) + len(self.signs) > CACHE_PIECES:
             self.parts, self.signs = {}, {}
-        spaced = self.mode == "spaced"
         cut = [self.pieces(t) if t else [] for t in texts]
-        fresh: set[str] = set()
-        for p in cut:
-            fresh.update(p[1:] if spaced else p)
-        self._learn(self.later, [p for p in fresh if p not in self.later], " " if spaced else "")
-        if spaced:
-            heads = {p[0] for p in cut if p}
-            self._learn(self.first, [p for p in heads if p not in self.first], "")
-        get = self.later.__getitem__
-        if not spaced:
-            return [b"".join(map(get, p)) for p in cut]
-        return [self.first[p[0]] + b"".join(map(get, p[1:])) if p else b"" for p in cut]
+        first, later = self.first.__getitem__, self.later.__getitem__
+        if self.mode == "words":
+            return [b"".join(map(later, p)) for p in cut]
+        return [first(p[0]) + b"".join(map(later, p[1:])) if p else b"" for p in cut]
 
 
 def tokenizer(path: str, mode: str) -> CachedTokenizer:
