@@ -25,7 +25,7 @@ from quarry.llm.common import delete, text_of, tune, written
 from quarry.llm.tokens import sliced, tokenizer
 
 MAGIC, VERSION = b"QRNS", 1
-LANES, CHECKPOINT_STEPS, BLOCK_IDS = 512, 128, 1 << 18
+LANES, CHECKPOINT_STEPS, BLOCK_IDS = 2048, 64, 1 << 18
 #: A file is closed at the end of the document that fills so many ids.
 FILE_IDS = 1 << 20
 SHIFT, LOW = np.uint64(32), np.uint64(1 << 31)
