@@ -11,9 +11,13 @@ With TREES trees a pair at similarity 0.8 stays together in a tree with probabil
 0.77, 0.61, 0.49 ...; all 8 trees miss it with probability 3e-6, 8e-6, 5e-4, 5e-3 ...; only nodes of hot tokens go so
 deep. More alike pairs are missed far more rarely.
 
-A node that stays large at DEPTH holds texts that share nearly all they have (near copies by the thousand). Its members
-are dealt into random cells of NODE_ROWS members; three members of the node join every cell and tie the cells
-together, so that the work grows with the members, not with their pairs.
+A node that stays large at DEPTH holds near copies by the thousand, or texts around a long shared passage. Its members
+are dealt into random cells of NODE_ROWS members, tied together by three members of the node that join every cell. The
+cells only bring most near copies into one component early. What they miss is found exactly: all documents of such
+nodes, of all trees together, go through a prefix-filter join on full sets. Shingles are ranked from the rarest; two
+sets at the threshold meet in a short prefix of the smaller one and a longer prefix of the other one. Pairs inside a
+component are left out, and texts around a passage that keeps them below the threshold have prefixes without it, so
+that the work does not grow with all pairs of a node. A posting list whose members are unlinked is compared whole.
 
 In a cell, links that the sketch holds for certain (similarity over SURE) are reduced to a spanning forest; pairs that
 are less certain are passed on unless the forest joins them already. No link between different components is lost by
@@ -29,7 +33,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import checkpoint_dir, text_of, tune, written
@@ -199,10 +203,10 @@ def _pairs_of_cells(least: float):
     return run
 
 
-def _candidates(reps: DataFrame, threshold: float, node_rows: int, depth: int) -> DataFrame:
-    """Pairs a < b of representatives that meet in a small node or a cell. Nodes are joined by key and size alone; the
-    sketches come to the cells at the end."""
-    members, cells = reps.select("doc_id", F.explode("roots").alias("node")), None
+def _candidates(reps: DataFrame, threshold: float, node_rows: int, depth: int) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs a < b of representatives that meet in a small node or a cell, and the documents of nodes that stay large.
+    Nodes are joined by key and size alone; the sketches come to the cells at the end."""
+    members, cells, deep = reps.select("doc_id", F.explode("roots").alias("node")), None, None
     for level in range(depth + 1):
         sizes = members.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > 1)
         sized, _ = written(members.join(sizes, "node"), "members")
@@ -216,6 +220,9 @@ def _candidates(reps: DataFrame, threshold: float, node_rows: int, depth: int) -
             held = large.join(reps.select("doc_id", "sketch"), "doc_id").select("doc_id", "node", "sketch", salts)
             members, _ = written(held.select("doc_id", _child(F.col("node"), F.col("salt"), F.col("sketch")).alias("node")), "members")
             continue
+        deep, _ = written(large.groupBy("doc_id").agg(F.array_distinct(F.array(F.min("node"), F.max("node"))).alias("nodes")), "deep")
+        large = deep.select("doc_id", F.explode("nodes").alias("node"))
+        large = large.join(large.groupBy("node").agg(F.count("*").alias("size")), "node")
         parts = F.ceil(F.col("size") / node_rows).cast("int")
         cells = cells.unionByName(large.select(F.xxhash64("node", F.pmod(F.xxhash64("doc_id", "node"), parts)).alias("cell"), "doc_id"))
         by_hash = F.struct(F.xxhash64("doc_id", "node").alias("h"), "doc_id")
@@ -224,16 +231,101 @@ def _candidates(reps: DataFrame, threshold: float, node_rows: int, depth: int) -
         cells = cells.unionByName(leaders.select(F.xxhash64("node", F.col("part").cast("long")).alias("cell"), "doc_id"))
     full = cells.join(reps.select("doc_id", "n", "sketch"), "doc_id").select("cell", "doc_id", "n", "sketch")
     found = full.repartition("cell").sortWithinPartitions("cell", "doc_id").mapInArrow(_pairs_of_cells(threshold), "a long, b long")
-    return found.distinct()
+    return found.distinct(), deep if deep is None else deep.select("doc_id")
 
 
-def _confirmed(texts: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold: percent of the union lie in both."""
+def _prefixes(full: DataFrame, deep: DataFrame, percent: int) -> DataFrame:
+    """token, doc_id, n, short: the rarest shingles of each set, as many as must hold one of any set at the threshold;
+    those in the prefix that a smaller set needs are short."""
+
+    def tokens(batches):
+        for b in batches:
+            for i, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                t = np.frombuffer(x.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), i)), pa.array(np.full(len(t), len(t))), pa.array(t)], ["doc_id", "n", "token"])
+
+    rows = full.join(deep, "doc_id", "left_semi").mapInArrow(tokens, "doc_id long, n long, token long")
+    counted = rows.join(rows.groupBy("token").agg(F.count("*").alias("df")), "token")
+    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "token")))
+    # least common shingles: percent of the larger set; 2 percent / (100 + percent) of the smaller one
+    long, short = (F.expr(f"n - (({a} * n + {b} - 1) div {b}) + 1") for a, b in ((percent, 100), (2 * percent, 100 + percent)))
+    return ranked.where((F.col("rank") <= long) & (F.col("df") > 1)).select("token", "doc_id", "n", (F.col("rank") <= short).alias("short"))
+
+
+def _pairs_of_postings(percent: int, one: bool):
+    """Rows (token, doc_id, n, short, label) sorted by token -> pairs of different labels that the prefixes allow; with
+    one, a single pair of each member and other label in a posting list."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(token, ids, n, short, label):
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        stops = np.concatenate([starts[1:], [len(token)]])
+        mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s, e in zip(starts[mixed].tolist(), stops[mixed].tolist(), strict=True):
+            doc, size, near = ids[s:e], n[s:e], short[s:e]
+            _, lab, count = np.unique(label[s:e], return_inverse=True, return_counts=True)
+            main, place = int(count.argmax()), np.arange(e - s)
+            for i in np.flatnonzero(lab != main):
+                ok = (lab != lab[i]) & ((lab == main) | (place > i))
+                ok &= 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
+                ok &= np.where(size < size[i], near, np.where(size > size[i], near[i], near & near[i]))
+                j = np.flatnonzero(ok)
+                if one:
+                    j = j[np.unique(lab[j], return_index=True)[1]]
+                left.append(np.minimum(doc[j], doc[i]))
+                right.append(np.maximum(doc[j], doc[i]))
+        return np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
+
+    def run(batches):
+        held = None
+        for b in batches:
+            now = tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            if held is not None:
+                now = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
+            cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+            held = tuple(x[cut:] for x in now)
+            if cut:
+                p = compare(*(x[:cut] for x in now))
+                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], schema=schema)
+        if held is not None and len(held[0]):
+            p = compare(*held)
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], schema=schema)
+
+    return run
+
+
+def _of_postings(prefixes: DataFrame, found: DataFrame, reps: DataFrame, percent: int, one: bool) -> DataFrame:
+    """Pairs of the prefix join between different components whose sketches do not rule them out."""
+
+    def alike(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(-1, T) for k in (2, 3))
+            yield b.select([0, 1]).filter(pa.array((x == y).mean(1) >= percent / 100 - MAYBE_SLACK, pa.bool_()))
+
+    labelled = prefixes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    labelled = labelled.select("token", "doc_id", "n", "short", F.coalesce("component", "doc_id").alias("label"))
+    pairs = labelled.repartition("token").sortWithinPartitions("token").mapInArrow(_pairs_of_postings(percent, one), "a long, b long").distinct()
+    sketch = lambda i, s: reps.select(F.col("doc_id").alias(i), F.col("sketch").alias(s))
+    return pairs.join(sketch("a", "x"), "a").join(sketch("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+
+
+def _full_sets(texts: DataFrame, ends: DataFrame, words: int) -> DataFrame:
+    """doc_id, s: the full sets of these documents."""
 
     def sets(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), words).tobytes() for t in b.column(1)], pa.binary())], ["doc_id", "s"])
 
+    ends, _ = written(ends.distinct(), "ends")
+    if ends.count() <= BROADCAST_ROWS:
+        ends = F.broadcast(ends)
+    return written(texts.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets, "doc_id long, s binary"), "sets", "none")[0]
+
+
+def _confirmed(full: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose full sets reach the threshold: percent of the union lie in both."""
+
     def test(batches):
         for b in batches:
             ok = []
@@ -243,10 +335,6 @@ def _confirmed(texts: DataFrame, pairs: DataFrame, words: int, percent: int) ->
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    ends, _ = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends")
-    if ends.count() <= BROADCAST_ROWS:
-        ends = F.broadcast(ends)
-    full, _ = written(texts.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets, "doc_id long, s binary"), "sets", "none")
     left = pairs.join(full.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a")
     both = left.join(full.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
@@ -287,9 +375,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = F.min(F.struct("doc_id", "roots", "sketch"))
     classes, _ = written(sketches.where("n > 0").groupBy("d1", "d2", "n").agg(first.alias("rep"), F.count("*").alias("copies")), "classes")
     reps = classes.select("rep.doc_id", "n", "rep.roots", "rep.sketch")
-    pairs, _ = written(_candidates(reps, percent / 100, node_rows, depth), "pairs")
-    links, _ = written(_confirmed(texts, pairs, words, percent), "confirmed")
+    pairs, deep = _candidates(reps, percent / 100, node_rows, depth)
+    pairs, _ = written(pairs, "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    full = _full_sets(texts, ends if deep is None else ends.unionByName(deep), words)
+    links, _ = written(_confirmed(full, pairs, percent), "confirmed")
     found = components(links)
+    if deep is not None:
+        prefixes, _ = written(_prefixes(full, deep, percent), "prefixes")
+        for one in (True, False):
+            more, _ = written(_confirmed(full, _of_postings(prefixes, found, reps, percent, one), percent), "confirmed")
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                found = components(links)
     thin_classes = classes.select("d1", "d2", F.col("n").alias("cn"), F.col("rep.doc_id").alias("node"), "copies")
     moved = thin_classes.join(found, "node", "left").where((F.col("copies") > 1) | (F.col("component") != F.col("node"))).select("d1", "d2", "cn", F.coalesce("component", "node").alias("c"))
     thin = sketches.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2", F.col("n").alias("cn"))

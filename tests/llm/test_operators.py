@@ -234,6 +234,24 @@ def test_near_duplicates_against_brute_force(sp, odd, none):
     assert near_dup.near_duplicates(odd).count() == odd.select("doc_id").distinct().count()
 
 
+def test_near_duplicates_in_a_template_family(sp):
+    """Texts around one long passage are unlinked; the few similar pairs among them are found in a node that stays large."""
+    r = random.Random(9)
+    passage = [f"p{i}" for i in range(100)]
+    texts = []
+    for i in range(300):
+        own = [f"o{i}x{k}" for k in range(24)]
+        texts.append(" ".join(passage + own))
+        if i % 6 == 0:  # similar by half of the own words
+            texts.append(" ".join(passage + own[:13] + [f"n{i}x{k}" for k in range(11)]))
+    r.shuffle(texts)
+    sets = {i: set(zip(t.split(), t.split()[1:], strict=False)) for i, t in enumerate(texts)}
+    want = _components(sets)
+    assert sum(want[i] != i for i in want) == 50
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(frame(sp, texts), words=2, node_rows=8, depth=1).collect()}
+    assert got == want
+
+
 def test_components_of_a_long_path(sp):
     edges = sp.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 101)], "a long, b long")
     got = {r.node: r.component for r in near_dup.components(edges).collect()}
