@@ -3,13 +3,14 @@
 Texts are sets of word shingles. Documents with equal sets form a class, whose smallest doc_id stands for it. Each
 representative gets T minwise values. A tree branches the representatives by selected minwise tokens: the root sends
 each to the child that one of its minwise values names; a node with more than NODE_ROWS members sends each member to
-further children by values that a hash of the node selects (two children below the root, then one); small nodes are
-compared exhaustively. Independent trees repeat this to the wanted recall. Candidates are confirmed on full sets, and
+two children by values that a hash of the node selects; small nodes are compared exhaustively. Independent trees repeat this to the wanted recall. Candidates are confirmed on full sets, and
 the confirmed links are joined to components.
 
-With TREES trees a pair at similarity 0.8 stays together in a tree with probability 0.8, on the levels below with
-0.77, 0.61, 0.49 ...; all 8 trees miss it with probability 3e-6, 8e-6, 5e-4, 5e-3 ...; only nodes of hot tokens go so
-deep. More alike pairs are missed far more rarely.
+The target is a miss of 3e-5 at most for a pair at similarity 0.8, at every size of table. Such a pair meets in a tree
+with probability 0.8 at the root; with two children at each level q becomes 1 - (1 - 0.8 q)^2 and no depth brings it
+under 0.75 (0.77, 0.757, 0.753 ... at levels 1, 2, 3 ...). All 8 trees miss it with 3e-6 at the root and never more than
+1.53e-5. The sketch rules it out with 9e-6 (fewer than 0.8 - MAYBE_SLACK of 128 values agree). More alike pairs are
+missed far more rarely.
 
 A node that stays large at DEPTH holds near copies by the thousand, or texts around a long shared passage. Its members
 are dealt into random cells of NODE_ROWS members, tied together by three members of the node that join every cell. The
@@ -38,10 +39,10 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import checkpoint_dir, text_of, tune, written
 
-T, TREES, NODE_ROWS, DEPTH = 128, 8, 64, 5
+T, TREES, NODE_ROWS, DEPTH = 128, 8, 64, 3
 #: Rows of documents in candidate pairs that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-SURE, MAYBE_SLACK = 0.9, 0.13
+SURE, MAYBE_SLACK = 0.9, 0.16
 #: The words of a text, and the letters that are lower-cased.
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -216,7 +217,7 @@ def _candidates(reps: DataFrame, threshold: float, node_rows: int, depth: int) -
         if large.isEmpty():
             break
         if level < depth:
-            salts = F.explode(F.array(*(F.lit(2 * level + k) for k in range(2 if level == 0 else 1)))).alias("salt")
+            salts = F.explode(F.array(*(F.lit(2 * level + k) for k in range(2)))).alias("salt")
             held = large.join(reps.select("doc_id", "sketch"), "doc_id").select("doc_id", "node", "sketch", salts)
             members, _ = written(held.select("doc_id", _child(F.col("node"), F.col("salt"), F.col("sketch")).alias("node")), "members")
             continue

@@ -252,6 +252,20 @@ def test_near_duplicates_in_a_template_family(sp):
     assert got == want
 
 
+def test_near_duplicates_keep_their_recall_in_deep_nodes(sp):
+    """One tree whose nodes are split five levels deep keeps 0.75 of the pairs at 0.8."""
+    passage = [f"p{i}" for i in range(206)]
+    texts = []
+    for i in range(200):
+        own = [f"o{i}x{k}" for k in range(44)]
+        texts += [" ".join(passage + own), " ".join(passage + own[:17] + [f"n{i}x{k}" for k in range(27)])]
+    a, b = (set(zip(t.split(), t.split()[1:], strict=False)) for t in texts[:2])
+    assert 0.8 <= len(a & b) / len(a | b) < 0.81
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(frame(sp, texts), words=2, trees=1, node_rows=16, depth=5).collect()}
+    found = sum(got[i] == got[i + 1] for i in range(0, 400, 2))
+    assert found >= 0.75 * 200, found
+
+
 def test_components_of_a_long_path(sp):
     edges = sp.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 101)], "a long, b long")
     got = {r.node: r.component for r in near_dup.components(edges).collect()}
