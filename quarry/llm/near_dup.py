@@ -20,9 +20,10 @@ sets at the threshold meet in a short prefix of the smaller one and a longer pre
 component are left out, and texts around a passage that keeps them below the threshold have prefixes without it, so
 that the work does not grow with all pairs of a node. A posting list whose members are unlinked is compared whole.
 
-In a cell, links that the sketch holds for certain (similarity over SURE) are reduced to a spanning forest; pairs that
-are less certain are passed on unless the forest joins them already. No link between different components is lost by
-this, and no pair list of a dense group is made.
+In a cell with many candidates a spanning forest of them, the most alike first, is confirmed on full sets before the
+others. With the components of the confirmed links, such cells are read again: every pair of different components is
+confirmed too, whatever the forest held. No link between different components is lost by this, and no pair list of a
+dense group is made.
 
 Nulls, empty texts and texts without words have the empty set, which is linked with nothing. Repeated rows (same
 doc_id) collapse to one row. Rows with a null doc_id are left out. Other columns are ignored.
@@ -42,7 +43,7 @@ from quarry.llm.common import checkpoint_dir, text_of, tune, written
 T, TREES, NODE_ROWS, DEPTH = 128, 8, 64, 3
 #: Rows of documents in candidate pairs that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-SURE, MAYBE_SLACK = 0.9, 0.16
+MAYBE_SLACK = 0.16
 #: The words of a text, and the letters that are lower-cased.
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -136,11 +137,12 @@ def _child(node, salt, sketch):
     return F.xxhash64(node, salt, i, F.substr(sketch, i * 2 + 1, F.lit(2)))
 
 
-def _pairs_of_cells(least: float):
-    """Rows sorted by cell -> candidate pairs. Rows of a cell that a batch cuts are carried to the next."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _pairs_of_cells(least: float, forest: bool):
+    """Rows sorted by cell -> candidate pairs of different labels, not dense. With forest, a cell of many candidates gives
+    a spanning forest of them and a row (cell, cell, dense). Rows of a cell that a batch cuts are carried to the next."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("dense", pa.bool_())])
 
-    def compare(cell, ids, n, sketch):
+    def compare(cell, ids, n, label, sketch):
         starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         size = np.diff(np.concatenate([starts, [len(cell)]]))
         group = np.repeat(np.arange(len(starts)), size)
@@ -152,7 +154,7 @@ def _pairs_of_cells(least: float):
                 break
             j = i + s
             lo, hi = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-            ok = (lo >= least * hi - 1e-9) & (ids[i] != ids[j])
+            ok = (lo >= least * hi - 1e-9) & (label[i] != label[j])
             i, j = i[ok], j[ok]
             for k in range(0, len(i), 20_000):
                 x, y = i[k : k + 20_000], j[k : k + 20_000]
@@ -162,12 +164,12 @@ def _pairs_of_cells(least: float):
                 right.append(y[ok])
                 like.append(est[ok])
         if not left:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         left, right, like = np.concatenate(left), np.concatenate(right), np.concatenate(like)
         at = np.lexsort((right, left, -like, group[left]))
         left, right, like = left[at], right[at], like[at]
         per = np.bincount(group[left], minlength=len(starts))
-        dense = per > 2 * size
+        dense = (per > 2 * size) & forest
         keep = ~dense[group[left]]
         top = {}
 
@@ -181,17 +183,15 @@ def _pairs_of_cells(least: float):
             a, b = root(int(left[k])), root(int(right[k]))
             if a != b:
                 keep[k] = True
-                if like[k] >= SURE:
-                    top[max(a, b)] = min(a, b)
-        a, b = ids[left[keep]], ids[right[keep]]
-        return np.minimum(a, b), np.maximum(a, b)
+                top[max(a, b)] = min(a, b)
+        a, b, c = ids[left[keep]], ids[right[keep]], cell[starts[dense]]
+        return np.concatenate([np.minimum(a, b), c]), np.concatenate([np.maximum(a, b), c]), np.repeat([False, True], [len(a), len(c)])
 
     def run(batches):
         held = None
         for b in batches:
-            cell, ids, n = (b.column(k).to_numpy() for k in range(3))
-            sketch = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint16).reshape(-1, T)
-            now = (cell, ids, n, sketch)
+            sketch = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint16).reshape(-1, T)
+            now = (*(b.column(k).to_numpy() for k in range(4)), sketch)
             if held is not None:
                 now = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
             cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
@@ -204,9 +204,15 @@ def _pairs_of_cells(least: float):
     return run
 
 
-def _candidates(reps: DataFrame, threshold: float, node_rows: int, depth: int) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs a < b of representatives that meet in a small node or a cell, and the documents of nodes that stay large.
-    Nodes are joined by key and size alone; the sketches come to the cells at the end."""
+def _in_cells(cells: DataFrame, reps: DataFrame, threshold: float, forest: bool) -> DataFrame:
+    """a, b, dense of the cells (cell, doc_id, label)."""
+    full = cells.join(reps.select("doc_id", "n", "sketch"), "doc_id").select("cell", "doc_id", "n", "label", "sketch")
+    return full.repartition("cell").sortWithinPartitions("cell", "doc_id").mapInArrow(_pairs_of_cells(threshold, forest), "a long, b long, dense boolean")
+
+
+def _cells(reps: DataFrame, node_rows: int, depth: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """cell, doc_id of small nodes; of random cells of nodes that stay large; the documents of the latter. Nodes are joined
+    by key and size alone."""
     members, cells, deep = reps.select("doc_id", F.explode("roots").alias("node")), None, None
     for level in range(depth + 1):
         sizes = members.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > 1)
@@ -225,14 +231,13 @@ def _candidates(reps: DataFrame, threshold: float, node_rows: int, depth: int) -
         large = deep.select("doc_id", F.explode("nodes").alias("node"))
         large = large.join(large.groupBy("node").agg(F.count("*").alias("size")), "node")
         parts = F.ceil(F.col("size") / node_rows).cast("int")
-        cells = cells.unionByName(large.select(F.xxhash64("node", F.pmod(F.xxhash64("doc_id", "node"), parts)).alias("cell"), "doc_id"))
+        dealt = large.select(F.xxhash64("node", F.pmod(F.xxhash64("doc_id", "node"), parts)).alias("cell"), "doc_id")
         by_hash = F.struct(F.xxhash64("doc_id", "node").alias("h"), "doc_id")
         leaders = large.groupBy("node", "size").agg(F.array(F.min("doc_id"), F.min(by_hash)["doc_id"], F.max(by_hash)["doc_id"]).alias("lead"))
         leaders = leaders.select("node", "lead", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).select("node", "part", F.explode("lead").alias("doc_id"))
-        cells = cells.unionByName(leaders.select(F.xxhash64("node", F.col("part").cast("long")).alias("cell"), "doc_id"))
-    full = cells.join(reps.select("doc_id", "n", "sketch"), "doc_id").select("cell", "doc_id", "n", "sketch")
-    found = full.repartition("cell").sortWithinPartitions("cell", "doc_id").mapInArrow(_pairs_of_cells(threshold), "a long, b long")
-    return found.distinct(), deep if deep is None else deep.select("doc_id")
+        dealt = dealt.unionByName(leaders.select(F.xxhash64("node", F.col("part").cast("long")).alias("cell"), "doc_id")).distinct()
+        return cells, dealt, deep.select("doc_id")
+    return cells, cells.limit(0), None
 
 
 def _prefixes(full: DataFrame, deep: DataFrame, percent: int) -> DataFrame:
@@ -376,12 +381,24 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = F.min(F.struct("doc_id", "roots", "sketch"))
     classes, _ = written(sketches.where("n > 0").groupBy("d1", "d2", "n").agg(first.alias("rep"), F.count("*").alias("copies")), "classes")
     reps = classes.select("rep.doc_id", "n", "rep.roots", "rep.sketch")
-    pairs, deep = _candidates(reps, percent / 100, node_rows, depth)
-    pairs, _ = written(pairs, "pairs")
+    cells, dealt, deep = _cells(reps, node_rows, depth)
+    own = cells.unionByName(dealt).withColumn("label", F.col("doc_id"))
+    met, _ = written(_in_cells(own, reps, percent / 100, True).distinct(), "pairs")
+    pairs = met.where("not dense").select("a", "b")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    dense, _ = written(cells.join(met.where("dense").select(F.col("a").alias("cell")), "cell", "left_semi"), "dense")
+    ends = ends.unionByName(dense.select("doc_id"))
     full = _full_sets(texts, ends if deep is None else ends.unionByName(deep), words)
     links, _ = written(_confirmed(full, pairs, percent), "confirmed")
     found = components(links)
+    labelled = dense.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("cell", "doc_id", F.coalesce("component", "doc_id").alias("label"))
+    several = labelled.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("cell")
+    again = _in_cells(labelled.join(several, "cell", "left_semi"), reps, percent / 100, False).select("a", "b").distinct()
+    # pairs of the forest that failed come again and fail again
+    more, _ = written(_confirmed(full, again, percent), "confirmed")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        found = components(links)
     if deep is not None:
         prefixes, _ = written(_prefixes(full, deep, percent), "prefixes")
         for one in (True, False):

@@ -266,6 +266,24 @@ def test_near_duplicates_keep_their_recall_in_deep_nodes(sp):
     assert found >= 0.75 * 200, found
 
 
+def test_near_duplicates_displaced_by_a_wrong_estimate(sp, monkeypatch):
+    """A pair below the threshold whose sketches agree must not take the place of a document's true link."""
+    words = [f"w{i}" for i in range(101)]
+    changed = lambda *at: " ".join(f"y{k}" if k in at else w for k, w in enumerate(words))
+    # 0 to 7 are near copies; 8 is linked to 0 alone, and its sketch is made to agree with those of all others
+    texts = [changed(), *(changed(*range(10, 10 + 2 * i, 2)) for i in range(1, 8)), changed(60, 63, 66, 69, 72)]
+    sets = {i: set(zip(t.split(), t.split()[1:], strict=False)) for i, t in enumerate(texts)}
+    want = _components(sets)
+    full = sp.createDataFrame([(i, len(x), bytes(2 * near_dup.T) if i else np.arange(near_dup.T, dtype=np.uint16).tobytes()) for i, x in sets.items()], "doc_id long, n long, sketch binary")
+    assert want[8] == 0 and near_dup.MAYBE_SLACK < 0.8
+    cells = full.select(F.lit(1).cast("long").alias("cell"), "doc_id", F.col("doc_id").alias("label"))
+    first = near_dup._in_cells(cells, full, 0.8, True).collect()
+    assert sum(not r.dense for r in first) < len(sets) and [r.a for r in first if r.dense] == [1]
+    apart = cells.withColumn("label", F.when(F.col("doc_id") == 8, 8).otherwise(0).cast("long"))
+    again = {(r.a, r.b) for r in near_dup._in_cells(apart, full, 0.8, False).collect()}
+    assert again == {(i, 8) for i in range(1, 8)}
+
+
 def test_components_of_a_long_path(sp):
     edges = sp.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 101)], "a long, b long")
     got = {r.node: r.component for r in near_dup.components(edges).collect()}
