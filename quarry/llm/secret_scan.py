@@ -2,7 +2,8 @@
 
 Base spans come from three patterns. Candidate strings of base64 letters get the Shannon entropy of a sliding window,
 kept by counts that change by one letter in and one letter out at each step; the threshold depends on the narrowest
-character class that holds the candidate. A candidate that the allow-list knows, or that meets a base span, adds none.
+character class that holds the candidate, or the window where that holds both letters and digits (a key behind a name
+and a separator). A candidate that the allow-list knows, or that meets a base span, adds none.
 
 Positions are code points, ends exclusive. Null and empty texts have no spans; an empty table gives an empty result;
 repeated rows each get theirs; scan() adds its columns under names the caller chooses and keeps all others. Arrays of
@@ -66,6 +67,8 @@ def _entropy(value: Column) -> Column:
     gain = lambda c: F.get(weight, c + 1) - F.get(weight, c)
     codes = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
     least = F.coalesce(*(F.when(value.rlike(p), F.lit(t)) for _, p, t in CLASSES))
+    # places in ALPHABET: letters up to 51, digits up to 61, then symbols; hex letters begin both cases
+    kinds = {"sym": lambda c: c > 61, "dig": lambda c: c.between(52, 61), "oth": lambda c: c.between(6, 25) | c.between(32, 51)}
     steps = F.transform(codes, lambda c, i: F.struct(c.alias("come"), F.get(codes, i - WINDOW).alias("go"), i.alias("i")))
 
     def step(a: Column, x: Column) -> Column:
@@ -74,16 +77,20 @@ def _entropy(value: Column) -> Column:
         total = a.total + F.when(same, F.lit(0.0)).otherwise(gain(F.get(a.counts, x.come))) - gone
         counts = F.transform(a.counts, lambda n, k: n + (k == x.come).cast("int") - F.coalesce((k == x.go).cast("int"), F.lit(0)))
         bits = F.when(x.i >= WINDOW - 1, F.lit(math.log2(WINDOW)) - total / WINDOW).otherwise(F.lit(0.0))
-        high = bits >= least
+        held = {k: a[k] + f(x.come).cast("int") - F.coalesce(f(x.go).cast("int"), F.lit(0)) for k, f in kinds.items()}
+        mixed = (held["dig"] > 0) & (held["dig"] + held["sym"] < WINDOW)
+        own = F.when(held["sym"] > 0, F.lit(CLASSES[2][2])).when(held["oth"] > 0, F.lit(CLASSES[1][2])).otherwise(F.lit(CLASSES[0][2]))
+        high = (x.i >= WINDOW - 1) & (bits >= F.when(mixed, F.least(least, own)).otherwise(least))
         return F.struct(
             counts.alias("counts"),
             total.alias("total"),
             F.greatest(a.bits, bits).alias("bits"),
             F.when(high & (a.first < 0), x.i - (WINDOW - 1)).otherwise(a.first).alias("first"),
             F.when(high, x.i + 1).otherwise(a.end).alias("end"),
+            *(n.alias(k) for k, n in held.items()),
         )
 
-    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("bits"), F.lit(-1).alias("first"), F.lit(-1).alias("end"))
+    zero = F.struct(F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0.0).alias("bits"), F.lit(-1).alias("first"), F.lit(-1).alias("end"), *(F.lit(0).alias(k) for k in kinds))
     return F.aggregate(steps, zero, step, lambda a: F.struct(a.bits.alias("bits"), a["first"].alias("first"), a.end.alias("end")))
 
 

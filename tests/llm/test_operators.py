@@ -165,6 +165,14 @@ def test_entropy_windows_against_direct_counts(sp):
     assert abs(got.bits - best) < 1e-9 and got["first"] == 0
 
 
+def test_secrets_behind_a_name_and_a_separator(sp):
+    r = random.Random(4)
+    keys = ["".join(r.choices("0123456789ABCDEF", k=r.randint(24, 40))) for _ in range(60)]
+    texts = [f"see {n}{k} there" for k in keys for n in ("AUTH=", "KEY-", "id_", "x=")]
+    clean = {x.doc_id: x.text for x in secret_scan.redact(frame(sp, texts)).collect()}
+    assert sum(texts[i][-12:-6] in clean[i] or texts[i][9:20] in clean[i] for i in range(240)) <= 2
+
+
 def test_segments_are_maximal():
     r = np.random.default_rng(4)
     for _ in range(200):
