@@ -3,7 +3,8 @@
 Base spans come from three patterns. Candidate strings of base64 letters get the Shannon entropy of a sliding window,
 kept by counts that change by one letter in and one letter out at each step; the threshold depends on the narrowest
 character class that holds the candidate, or the window where that holds both letters and digits (a key behind a name
-and a separator). A candidate that the allow-list knows, or that meets a base span, adds none.
+and a separator). Base spans and parts that the allow-list knows
+are cut out of a candidate; what remains on each side of them is scored, from WINDOW letters on.
 
 Positions are code points, ends exclusive. Null and empty texts have no spans; an empty table gives an empty result;
 repeated rows each get theirs; scan() adds its columns under names the caller chooses and keeps all others. Arrays of
@@ -36,7 +37,7 @@ CLASSES = (
     ("alnum", "^[A-Za-z0-9]+$", 3.6),
     ("base64", "^[A-Za-z0-9+/_=-]+$", 3.75),
 )
-#: Candidates that are known not to be secret.
+#: What is known not to be secret: whole strings (^...$), or words that make the part between separators known.
 ALLOWED = (
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     "(?i)example|placeholder|changeme|dummy",
@@ -94,6 +95,21 @@ def _entropy(value: Column) -> Column:
     return F.aggregate(steps, zero, step, lambda a: F.struct(a.bits.alias("bits"), a["first"].alias("first"), a.end.alias("end")))
 
 
+def _remains(c: Column, cuts: Column) -> Column:
+    """The pieces of a candidate outside of sorted cuts, with WINDOW letters or more."""
+
+    def piece(at: Column, end: Column) -> Column:
+        value = F.substring(c.value, (at - c.start + 1).cast("int"), (end - at).cast("int"))
+        one = F.struct(at.alias("start"), c["rank"].alias("rank"), end.alias("end"), c.kind.alias("kind"), value.alias("value"))
+        return F.when(end - at >= WINDOW, F.array(one)).otherwise(F.array().cast(_SPAN)).cast(_SPAN)
+
+    def step(a: Column, b: Column) -> Column:
+        return F.struct(F.greatest(a.at, b.end).alias("at"), F.concat(a.out, piece(a.at, b.start)).alias("out"))
+
+    zero = F.struct(c.start.alias("at"), F.array().cast(_SPAN).alias("out"))
+    return F.aggregate(cuts, zero, step, lambda a: F.concat(a.out, piece(a.at, c.end)))
+
+
 def _unlike(pattern: str):
     return lambda c: ~c.value.rlike(pattern)
 
@@ -105,13 +121,17 @@ def scan(docs: DataFrame, text: str = "text", spans: str = "spans", allowed: tup
     base = [F.when(t.rlike(_LIKELY[k]), _found(t, k, r, p, g, n)).otherwise(none) for r, (k, p, g, n) in enumerate(BASE)]
     likely = t.rlike(CANDIDATE)
     out = docs.withColumn("__base", F.concat(*base)).withColumn("__cand", F.when(likely, _found(t, "entropy", len(BASE), CANDIDATE, 0, WINDOW)).otherwise(none))
-    fit = F.filter("__cand", lambda c: c.value.rlike("[0-9]") & c.value.rlike("[A-Za-z]"))
-    for pattern in allowed:
+    whole = [p for p in allowed if p.startswith("^")]
+    words = "|".join(f"(?:{p})" for p in allowed if not p.startswith("^"))
+    known = F.when(likely & t.rlike(words), _found(t, "allowed", len(BASE), f"(?<![A-Za-z0-9+])[A-Za-z0-9+]*(?:{words})[A-Za-z0-9+]*", 0, 1)).otherwise(none) if words else none
+    out = out.withColumn("__cuts", F.array_sort(F.concat("__base", known)))
+    fit = F.flatten(F.transform("__cand", lambda c: _remains(c, F.filter("__cuts", lambda b: (b.start < c.end) & (c.start < b.end)))))
+    fit = F.filter(fit, lambda c: c.value.rlike("[0-9]") & c.value.rlike("[A-Za-z]"))
+    for pattern in whole:
         fit = F.filter(fit, _unlike(pattern))
-    fit = F.filter(fit, lambda c: ~F.exists("__base", lambda b: (b.start < c.end) & (c.start < b.end)))
     scored = F.transform(fit, lambda c: F.struct(c.alias("c"), _entropy(c.value).alias("e")))
     kept = F.transform(F.filter(scored, lambda s: s.e["first"] >= 0), lambda s: F.struct((s.c.start + s.e["first"]).alias("start"), s.c.rank.alias("rank"), (s.c.start + s.e.end).alias("end"), s.c.kind.alias("kind"), F.substring(s.c.value, s.e["first"] + 1, s.e.end - s.e["first"]).alias("value")))
-    return out.withColumn(spans, F.array_sort(F.concat("__base", F.when(F.size(fit) > 0, kept).otherwise(none).cast(_SPAN)))).drop("__base", "__cand")
+    return out.withColumn(spans, F.array_sort(F.concat("__base", F.when(F.size(fit) > 0, kept).otherwise(none).cast(_SPAN)))).drop("__base", "__cand", "__cuts")
 
 
 def _text_of(spans: Column) -> Column:
