@@ -122,14 +122,14 @@ def blocks(page: str | None) -> list[Block]:
 
 
 def vector(b: Block) -> np.ndarray:
-    """Hashed path (with depth-free marks), hashed first words and figures."""
+    """Hashed path (with depth-free marks), mean of the hashed words of the whole block and figures."""
     v = np.zeros(DIM, np.float32)
     for k, x in enumerate(b.path):
         v[zlib.crc32(x.encode()) % 64] += 1.0
     if b.path:
         v[zlib.crc32(("leaf " + b.path[-1]).encode()) % 64] += 0.5
     v[:64] = np.minimum(v[:64], 2)
-    found = _WORD.findall(b.text[:400].lower())[:24]
+    found = _WORD.findall(b.text.lower())
     for w in found:
         v[64 + zlib.crc32(w.encode()) % 24] += 1 / max(1, len(found))
     n = len(b.text)
@@ -279,6 +279,8 @@ def made_page(r: random.Random) -> tuple[str, list[str]]:
             return words(5, 60).upper() + pick(".", "", "!")
         if k < 0.14:
             return words(5, 60)
+        if k < 0.15:  # a text laid out with <br> is one very long block
+            return " ".join(sentence() for _ in upto(50, 300))
         return " ".join(sentence() for _ in upto(1, 7)) if k < 0.88 else words(1, 3).capitalize() + "."
 
     keep: list[str] = []

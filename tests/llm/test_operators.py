@@ -369,6 +369,19 @@ def test_html_long_pages_keep_every_block():
     assert len(found) == 4500 and (y > 0.5).mean() > 0.99
 
 
+def test_html_long_blocks_are_read_whole():
+    model = html_blocks.trained(pages=160, epochs=4)
+    text = lambda n: "<br>".join(f"Sentence {i} has some words to read in it." for i in range(n))
+    page = f"<body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>Some title here</h1><p>{text(1000)}</p></article><footer>&copy; x</footer></body>"
+    found = html_blocks.blocks(page)
+    y = model.label([found])[0]
+    long = max(range(len(found)), key=lambda i: len(found[i].text))
+    assert len(found[long].text.split()) == 9000 and y[long] > 0.5 > y[0]
+    v = html_blocks.vector(found[long])
+    other = html_blocks.Block(found[long].path, found[long].text[:500] + " zebra" * 5000, 0)
+    assert v[91] < 1 and abs(v[64:88] - html_blocks.vector(other)[64:88]).max() > 0.3
+
+
 def test_chat(sp):
     text = "System: be brief\n\nUser: What is it?\nmore words\nAssistant: It is this.\n\nHuman: And that?\nAI: That too."
     assert chat.parse(text) == [("system", "be brief"), ("user", "What is it?\nmore words"), ("assistant", "It is this."), ("user", "And that?"), ("assistant", "That too.")]
