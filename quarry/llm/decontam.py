@@ -167,12 +167,11 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def automata(items: DataFrame, item_id: str, text: str, window: int, item_chars: int):
-    """Automata of blocks of items, one at a time; the driver holds one block, whose size item_chars bounds."""
+    """Automata of blocks of items, one at a time; the driver holds one block, whose size item_chars bounds. Items with a
+    null id count for hits and cuts like others; only their id is missing from the lists of items."""
     rows = items.select(F.col(item_id).cast("string").alias("i"), text_of(text).alias("t")).distinct().orderBy("i", "t")
     block, size = [], 0
     for i, t in rows.toLocalIterator():
-        if i is None:
-            continue
         if size and size + len(t) > item_chars:
             yield Automaton(block, window)
             block, size = [], 0
@@ -195,7 +194,7 @@ def _scanned(docs: DataFrame, automaton: Automaton, keep: list[str], text_at: st
                 s, k = a.scan(found)
                 n.append(len(found))
                 spans.append([x for p in s for x in p])
-                items.append(sorted(a.names[i] for i in k))
+                items.append(sorted(a.names[i] for i in k if a.names[i] is not None))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], [*keep, "n_words", "spans", "items"])
 
     kinds = dict(docs.dtypes)

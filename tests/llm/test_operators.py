@@ -135,6 +135,17 @@ def test_decontaminate_cuts_spans(sp, odd):
     assert decontam.decontaminate(odd, bench).columns == odd.columns and decontam.decontaminate(odd, bench).count() == odd.count()
 
 
+def test_decontamination_by_items_without_id(sp):
+    item = "one two three four five six seven eight nine ten eleven"
+    other = "red green blue white black brown grey pink gold teal lime"
+    bench = sp.createDataFrame([(None, item), ("7", other)], "item_id string, text string")
+    docs = frame(sp, ["Clean start " * 20 + item + " clean end.", f"{other} and {item}", "nothing here"])
+    got = {r.doc_id: r for r in decontam.digests(decontam.matches(docs, bench)).collect()}
+    assert [(got[i].n_hit, got[i].n_items, got[i].contaminated) for i in range(3)] == [(11, 0, True), (22, 1, True), (0, 0, False)]
+    assert got[1].items_sha256 == decontam.items_digest(["7"])
+    assert "seven" not in {r.doc_id: r.text for r in decontam.decontaminate(docs, bench).collect()}[0]
+
+
 def _spans(text):
     kinds = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 18), ("hex", re.compile("[0-9a-f]+"), 0, 16)]
     return sorted((m.start(), k, m.end(), name) for k, (name, p, g, n) in enumerate(kinds) for m in p.finditer(text) if len(m[g]) >= n)
