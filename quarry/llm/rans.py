@@ -1,7 +1,7 @@
 """Token ids as files of range asymmetric numeral system (rANS) blocks.
 
 All files of a data set share one static frequency table. A file holds whole documents in ascending doc_id order; its
-ids are cut into independent blocks. A block interleaves LANES coders, whose states are vectors, so that one numpy step
+ids are cut into independent blocks. The pass that makes the ids counts them for that table. A block interleaves LANES coders, whose states are vectors, so that one numpy step
 codes LANES ids. Every CHECKPOINT_STEPS steps the decoder's states and its place among the words are stored, so that
 parts of a block can be decoded by different readers, and each such part has a checksum.
 
@@ -138,7 +138,7 @@ def decode_file(data: bytes, table: Frequencies) -> Iterator[np.ndarray]:
 
 def _tokenised(path: str, mode: str, end_id: int, file_ids: int):
     """Sorted documents of a partition -> rows of a file's documents and ids."""
-    schema = pa.schema([("part", pa.int32()), ("before", pa.int64()), ("docs", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("ids", pa.binary())])
+    fields = [("part", pa.int32()), ("before", pa.int64()), ("docs", pa.list_(pa.int64())), ("lens", pa.list_(pa.int64())), ("ids", pa.binary()), ("seen", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))]
 
     def run(batches):
         from pyspark import TaskContext
@@ -150,7 +150,9 @@ def _tokenised(path: str, mode: str, end_id: int, file_ids: int):
         def row():
             raw = np.frombuffer(b"".join(ids), "<u4")
             small = raw.astype("<u2") if not len(raw) or raw.max() < 65536 else raw
-            return pa.RecordBatch.from_pydict({"part": [part], "before": [before], "docs": [docs], "lens": [lens], "ids": [bytes([small.itemsize]) + small.tobytes()]}, schema)
+            n = np.bincount(raw)
+            seen = np.flatnonzero(n)
+            return pa.RecordBatch.from_pydict({"part": [part], "before": [before], "docs": [docs], "lens": [lens], "ids": [bytes([small.itemsize]) + small.tobytes()], "seen": [seen], "n": [n[seen]]}, pa.schema(fields))
 
         for b in batches:
             names, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -166,25 +168,13 @@ def _tokenised(path: str, mode: str, end_id: int, file_ids: int):
         if docs:
             yield row()
 
-    return run, "part int, before bigint, docs array<bigint>, lens array<bigint>, ids binary"
+    return run, "part int, before bigint, docs array<bigint>, lens array<bigint>, ids binary, seen array<bigint>, n array<bigint>"
 
 
 def _raw(cell: bytes) -> np.ndarray:
     return np.frombuffer(cell, f"<u{cell[0]}", offset=1)
 
 
-def _counted(batches):
-    total = np.zeros(0, np.int64)
-    for b in batches:
-        for cell in b.column(0):
-            c = np.bincount(_raw(cell.as_py()))
-            if len(c) > len(total):
-                total = np.pad(total, (0, len(c) - len(total)))
-            total[: len(c)] += c
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["id", "n"])
-
-
 class EncodedCorpus:
     """files: part, before (ids before the file in its part), docs, lens, data; table: the shared frequencies; starts: ids before each part."""
 
@@ -203,7 +193,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, mode: str = "words", end_id:
     run, schema = _tokenised(tokenizer_path, mode, end_id, file_ids)
     ranged = docs.select(F.col(doc_id).cast("long").alias("d"), text_of(text).alias("t")).repartitionByRange("d").sortWithinPartitions("d")
     ids, ids_path = written(ranged.mapInArrow(run, schema), "ids")
-    counts = ids.select("ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counts = ids.select(F.explode(F.arrays_zip("seen", "n")).alias("c")).groupBy(F.col("c.seen").alias("id")).agg(F.sum("c.n").alias("n")).toPandas()
     table = Frequencies(counts["id"].to_numpy(np.int64), counts["n"].to_numpy(np.int64))
     sums = ids.groupBy("part").agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).collect()
     starts, before = {}, 0
@@ -218,7 +208,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, mode: str = "words", end_id:
                 data = encode_file(_raw(one.column(4)[0].as_py()), shared.value)
                 yield pa.RecordBatch.from_arrays([*one.columns[:4], pa.array([data], pa.binary())], ["part", "before", "docs", "lens", "data"])
 
-    files, path = written(ids.mapInArrow(encode, "part int, before bigint, docs array<bigint>, lens array<bigint>, data binary"), "rans", "none")
+    files, path = written(ids.drop("seen", "n").mapInArrow(encode, "part int, before bigint, docs array<bigint>, lens array<bigint>, data binary"), "rans", "none")
     delete(spark, ids_path)
     return EncodedCorpus(files, shared, starts, path)
 

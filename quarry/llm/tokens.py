@@ -1,7 +1,9 @@
 """Token ids of whole texts by a public tokenizer, with a cache of words.
 
-A text is cut where its tokenizer cuts in any case, each distinct piece is encoded once, and the ids are joined. The
-ids equal those of the tokenizer over the whole text; tests hold the two against each other.
+A text is cut where its tokenizer cuts in any case, each distinct piece is encoded once, and the ids are joined. Texts
+of plain letters are cut by the tokenizer's own rule and their pieces go to its model; all others are cut at blanks and
+their pieces go through the whole tokenizer. The ids equal those of the tokenizer over the whole text; tests hold the
+two against each other.
 """
 
 from __future__ import annotations
@@ -10,13 +12,20 @@ import os
 import re
 from array import array
 
-#: Pieces a worker keeps before it starts anew; about 100 bytes each.
+#: Pieces a worker keeps before it starts anew; about 200 bytes each.
 CACHE_PIECES = 400_000
-#: Words of Latin letters with signs behind them: their cuts need no tokenizer, only its model. Apostrophes start
-#: contractions and "<" and "|" special tokens, so that these are left to the tokenizer.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:;=>?@\\[\\\\\\]^_`{}~]*)")
+#: Letters whose normal form is themselves and whose lower case is one letter: Latin and Cyrillic. A text with any
+#: other sign beyond ASCII is left to the tokenizer.
+_SMALL, _LARGE = "a-zß-öø-ÿа-џ", "A-ZÀ-ÖØ-ÞЀ-Я"
+_OTHER = re.compile(f"[^\x00-\x7f{_SMALL}{_LARGE}]")
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 _ODD_SPACE = re.compile(r"\s |^ | \s| $")
+#: Contractions and white space of the tokenizers' rules, which are tried in this order.
+_ENDS, _SPACE = "'s|'t|'re|'ve|'m|'ll|'d", "\t-\r "
+_RULES = {
+    "words": f"[{_SMALL}]+|{_ENDS}|[0-9]|[^{_SPACE}0-9{_SMALL}]+",
+    "spaced": f" ?[{_SMALL}{_LARGE}]+|{_ENDS}| ?[0-9]+| ?[^{_SPACE}0-9{_SMALL}{_LARGE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+",
+}
 
 
 def _byte_letters() -> dict[int, int]:
@@ -27,7 +36,6 @@ def _byte_letters() -> dict[int, int]:
 
 
 _BYTE_LETTERS = _byte_letters()
-_BLANK = chr(_BYTE_LETTERS[32])
 _workers: dict[tuple[str, str], CachedTokenizer] = {}
 
 
@@ -43,12 +51,26 @@ class _Pieces(dict):
         return got
 
 
+class _Parts(dict):
+    """Ids of one word, number or run of signs by a tokenizer's model, whose letters stand for bytes."""
+
+    def __init__(self, model, size: int):
+        super().__init__()
+        self.tokenize, self.codes = model.tokenize, [i.to_bytes(4, "little") for i in range(size)]
+
+    def __missing__(self, part: str) -> bytes:
+        letters = part if part.isascii() and part.isalnum() else part.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        codes = self.codes
+        got = self[part] = b"".join([codes[t.id] for t in self.tokenize(letters)])
+        return got
+
+
 class CachedTokenizer:
-    """ids(text) as little-endian unsigned 32-bit integers in bytes.
+    """batch(texts) gives ids as little-endian unsigned 32-bit integers in bytes.
 
-    mode "words": the tokenizer drops white space, so that pieces between blanks and line feeds stand alone. mode
-    "spaced": a blank belongs to the word behind it, so that a text may be cut before each single blank that stands
-    between two other characters. Any other blank stays inside its piece.
+    mode "words": the tokenizer lowers letters and drops white space, so that pieces between blanks and line feeds stand
+    alone. mode "spaced": a blank belongs to the word behind it, so that a text may be cut before each single blank that
+    stands between two other characters. Any other blank stays inside its piece.
     """
 
     def __init__(self, path: str, mode: str):
@@ -56,72 +78,39 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path)
-        self.model = self.encode.model
-        self.parts: dict[str, bytes] = {}  # words, with the blank before them in mode "spaced"
-        self.signs: dict[str, bytes] = {}  # signs and words without one
         self.mode = mode
-        self.first = _Pieces(lambda p: self._ids(p, ""))
-        self.later = _Pieces(lambda p: self._ids(p, " " if mode == "spaced" else ""))
-
-    def pieces(self, text: str) -> list[str]:
+        self.cut = re.compile(_RULES[mode]).findall
+        marks = [t.content for t in self.encode.get_added_tokens_decoder().values()]
+        self.marks = re.compile("|".join(re.escape(m) for m in marks)) if marks else re.compile(r"(?!)")
+        self.parts = _Parts(self.encode.model, 1 + max(self.encode.get_vocab().values(), default=0))
+        self.first = _Pieces(self._whole)
+        self.later = _Pieces(lambda p: self._whole(" " + p if mode == "spaced" else p))
+
+    def _whole(self, piece: str) -> bytes:
+        return array("I", self.encode.encode(piece, add_special_tokens=False).ids).tobytes()
+
+    def _odd(self, text: str) -> bytes:
+        """Ids of any text, by pieces between blanks."""
         if self.mode == "words":
-            return text.replace("\n", " ").split(" ")
-        return _BETWEEN.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-
-    def _part(self, part: str, prefix: str) -> bytes:
-        """Ids of one word or run of signs by the model, whose letters stand for bytes."""
-        letters = part if part.isascii() and part != "\n" else part.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        if prefix:
-            letters = _BLANK + letters
-        elif self.mode == "words":
-            letters = letters if part.islower() else part.lower().encode().decode("latin-1").translate(_BYTE_LETTERS)
-        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-
-    def _plain(self, piece: str, prefix: str) -> bytes | None:
-        """Ids of a piece of plain words with single line feeds between them, else None."""
-        out = b""
-        for i, line in enumerate(piece.split("\n")):
-            m = _PLAIN.fullmatch(line)
-            if not m:
-                return None
-            if i:
-                out += self._known(self.signs, "\n", "")
-            out += self._known(self.signs if i and prefix else self.parts, m[1], "" if i else prefix)
-            if m[2]:
-                out += self._known(self.signs, m[2], "")
-        return out
-
-    def _known(self, cache: dict[str, bytes], part: str, prefix: str) -> bytes:
-        got = cache.get(part)
-        if got is None:
-            got = cache[part] = self._part(part, prefix)
-        return got
-
-    def _ids(self, piece: str, prefix: str) -> bytes:
-        m = _PLAIN.fullmatch(piece)
-        if m:
-            parts, signs = (self.parts, self.signs) if prefix or self.mode == "words" else (self.signs, self.signs)
-            word, sign = m.groups()
-            got = parts.get(word)
-            if got is None:
-                got = parts[word] = self._part(word, prefix)
-            return got + self._known(signs, sign, "") if sign else got
-        if "\n" in piece and (prefix or self.mode == "words") and (got := self._plain(piece, prefix)) is not None:
-            return got
-        return array("I", self.encode.encode(prefix + piece, add_special_tokens=False).ids).tobytes()
+            return b"".join(map(self.later.__getitem__, text.replace("\n", " ").split(" ")))
+        pieces = _BETWEEN.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+        return self.first[pieces[0]] + b"".join(map(self.later.__getitem__, pieces[1:]))
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; null is an empty text."""
-        if len(self.first) + len(self.later) > CACHE_PIECES:
-            self.first.clear()
-            self.later.clear()
-        if len(self.parts) + len(self.signs) > CACHE_PIECES:
-            self.parts, self.signs = {}, {}
-        cut = [self.pieces(t) if t else [] for t in texts]
-        first, later = self.first.__getitem__, self.later.__getitem__
-        if self.mode == "words":
-            return [b"".join(map(later, p)) for p in cut]
-        return [first(p[0]) + b"".join(map(later, p[1:])) if p else b"" for p in cut]
+        for cache in (self.parts, self.first, self.later):
+            if len(cache) > CACHE_PIECES:
+                cache.clear()
+        get, cut, lower = self.parts.__getitem__, self.cut, self.mode == "words"
+        out = []
+        for t in texts:
+            if not t:
+                out.append(b"")
+            elif self.marks.search(t) or not t.isascii() and _OTHER.search(t):
+                out.append(self._odd(t))
+            else:
+                out.append(b"".join(map(get, cut(t.lower() if lower else t))))
+        return out
 
 
 def tokenizer(path: str, mode: str) -> CachedTokenizer:
