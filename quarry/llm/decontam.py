@@ -4,9 +4,15 @@ The words of the normalised test items are inserted into one automaton. A docume
 the automaton holds the longest run of words, ending there, that some item contains. Where that run reaches the window
 (10 words, or the whole of a shorter item), the words of the window are hit and the items that hold it are known.
 
-Null and empty texts have no words and no hits; null or empty items have no windows; repeated item_ids count once;
+decontaminate() cuts hit spans that exceed a limit: every span longer than MAX_SPAN words, and all spans of a document
+where they cover more than MAX_COVERAGE of its words. Spans of windows exceed the first limit always; what remains under
+both are a few places where a short item (a name, a number) occurs in a long text.
+
+Null and empty texts have no words and no hits; null or empty items have no windows; items without an id count for hits
+and cuts and are missing from the lists of items alone; repeated item_ids count once; items with equal texts all count;
 repeated documents each get a row; empty tables give empty results or no hits; columns of other names are kept by
-decontaminate() and left out by matches().
+decontaminate() and left out by matches(). Very long texts are read whole, in time that grows with their length,
+whatever repeats in the items.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ WINDOW = 10
 ITEM_CHARS = 1_500_000
 #: A hit span longer than MAX_SPAN words is cut out; so are all spans of a document where they cover more than
 #: MAX_COVERAGE of its words. Above DROP_COVERAGE the document goes.
-MAX_SPAN, MAX_COVERAGE, DROP_COVERAGE = WINDOW - 1, 0.0, 0.8
+MAX_SPAN, MAX_COVERAGE, DROP_COVERAGE = 5, 0.05, 0.8
 #: What the words of a text are, and the letters that are lower-cased.
 WORDS = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -71,9 +77,11 @@ class Automaton:
                         held.append(k)
         order = sorted(range(1, len(self.size)), key=self.size.__getitem__)
         self.up = [-1] * len(self.size)  # nearest state above that ends a short item
+        self.window_of = [0] * len(self.size)  # for states of a window and more: the state of their last window
         for v in order:
             p = self.link[v]
             self.up[v] = p if p in self.short else self.up[p] if p >= 0 else -1
+            self.window_of[v] = self.window_of[p] if self.size[p] >= window else v
 
     def _extend(self, last: int, w: str) -> int:
         if w in self.next[last]:
@@ -105,7 +113,7 @@ class Automaton:
 
     def scan(self, found: list[str]) -> tuple[list[tuple[int, int]], set[int]]:
         """Hit spans (first word, end) in ascending order without overlaps, and the items with windows in the text."""
-        nxt, link, size, window, holders, short, up = self.next, self.link, self.size, self.window, self.holders, self.short, self.up
+        nxt, link, size, window, holders, short, up, window_of = self.next, self.link, self.size, self.window, self.holders, self.short, self.up, self.window_of
         root, v, n = nxt[0], 0, 0
         spans: list[list[int]] = []
         items: set[int] = set()
@@ -127,15 +135,12 @@ class Automaton:
                 v, n = at, n + 1
             reach = 0
             if n >= window:
-                u = v
-                while size[link[u]] >= window:
-                    u = link[u]
-                items.update(holders.get(u, ()))
+                items.update(holders.get(window_of[v], ()))
                 reach = window
             if short:
                 u = v if v in short and n >= size[v] else up[v]
                 while u > 0:
-                    k = len_of_short(self, u)
+                    k = size[u]  # a short item is the longest string of its state: insertion makes one for each prefix of an item
                     if n >= k:
                         items.update(short[u])
                         reach = max(reach, k)
@@ -151,11 +156,6 @@ class Automaton:
         return [tuple(s) for s in spans], items
 
 
-def len_of_short(a: Automaton, state: int) -> int:
-    """A short item is the longest string of its state: insertion makes a state for each prefix of an item."""
-    return a.size[state]
-
-
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for b, e in sorted(spans):
@@ -270,18 +270,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", n_chars
 
     def run(batches):
         for b in batches:
-            rows = b.select([*inner]).to_pylist()
             spans, n = b.column("spans").to_pylist(), b.column("n_words").to_pylist()
-            out = []
-            for r, s, k in zip(rows, spans, n, strict=True):
-                if s:
-                    if sum(s[1::2]) - sum(s[::2]) > drop_coverage * k:
-                        continue
-                    r[at_text] = cut(r[at_text], s, max_span, max_coverage)
-                    if at_chars:
-                        r[at_chars] = len(r[at_text])
-                out.append(r)
-            yield pa.RecordBatch.from_pylist(out, b.select([*inner]).schema)
+            hit = [i for i, x in enumerate(spans) if x]
+            out = b.select(inner)
+            if hit:
+                texts, gone = b.column(at_text).to_pylist(), set()
+                for i in hit:
+                    if sum(spans[i][1::2]) - sum(spans[i][::2]) > drop_coverage * n[i]:
+                        gone.add(i)
+                    else:
+                        texts[i] = cut(texts[i], spans[i], max_span, max_coverage)
+                out = out.set_column(inner.index(at_text), at_text, pa.array(texts, out.schema.field(at_text).type))
+                if at_chars:
+                    sizes = b.column(at_chars).to_pylist()
+                    for i in hit:
+                        sizes[i] = len(texts[i])
+                    out = out.set_column(inner.index(at_chars), at_chars, pa.array(sizes, out.schema.field(at_chars).type))
+                out = out.filter(pa.array([i not in gone for i in range(out.num_rows)], pa.bool_()))
+            yield out
 
     schema = ", ".join(f"{i} {kinds[n]}" for n, i in zip(names, inner, strict=True))
     return found.mapInArrow(run, schema).toDF(*names)
