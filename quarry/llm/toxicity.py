@@ -8,11 +8,14 @@ maxima) turn segment scores into bits above what the document's length yields by
 the significant ones go through a logistic curve fitted on the same labelled rows.
 
 Only texts and labels.toxic of the training rows are read. The training sample is bounded by SAMPLE_ROWS labelled
-documents, chosen by a hash of doc_id, the model by MAX_FEATURES features; scoring covers every document.
+documents, chosen by a hash of doc_id, and with it the model, all of whose features occur some dozens of times there;
+scoring covers every document. The sample and the sums over it do not depend on how the rows are dealt to tasks.
 
 Null and empty texts have no segments and score the base curve; labels without documents, null labels and repeated
 labels of a document (the greatest counts) are defined; repeated documents each get a row; with no labels, or labels
-of one kind only, the score is the smoothed base rate; other columns are ignored; an empty table gives no rows.
+of one kind only, the score is the smoothed base rate; other columns are ignored; an empty table gives no rows. Very
+long texts are read whole, in time that grows with their length. Segments that tie in score are all kept; of sample
+rows that look like copies the one with the smallest doc_id, then the smallest text, stays.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import text_of, tune, written
 from quarry.llm.near_dup import shingles
 
-SAMPLE_ROWS, MAX_FEATURES, MIN_DOCS, MIN_Z, MIN_ODDS = 40_000, 50_000, 2, 7.5, 2.0
+SAMPLE_ROWS, MIN_DOCS, MIN_Z, MIN_ODDS = 40_000, 2, 7.5, 2.0
 #: Tokens that the prior is worth, score of a word that says nothing, greatest score of a word.
 PRIOR, NEUTRAL, MOST = 2000.0, -0.15, 8.0
 PREFIXES = (8, 7, 6, 5, 4)
@@ -75,28 +78,33 @@ class Model:
         """Score above chance: the expected number of such segments in n words is exp(-bits)."""
         return self.scale * score - math.log(max(self.k * n, 1e-9))
 
-    def summary(self, text: str | None) -> tuple[float, float]:
-        """Strength of the best segment and of all significant ones."""
+    def found(self, text: str | None) -> tuple[list[tuple[int, int, float, float]], int]:
+        """Maximal segments (first word, end, score, bits) and the number of words."""
         s = self.scores(text) if text else np.zeros(0)
-        found = [self.bits(x, len(s)) for _, _, x in segments(s)]
-        strong = [b for b in found if -math.expm1(-math.exp(-b)) < SIGNIFICANT]
-        return (max(0.0, max(found, default=0.0)) ** 0.5, math.log1p(sum(strong)))
+        return [(b, e, x, self.bits(x, len(s))) for b, e, x in segments(s)], len(s)
 
-    def score(self, text: str | None) -> float:
-        a, b = self.summary(text)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.curve[0] + self.curve[1] * a + self.curve[2] * b))))
+    @staticmethod
+    def summary(found: list[tuple[int, int, float, float]]) -> tuple[float, float]:
+        """Strength of the best segment and of all significant ones."""
+        strong = [x[3] for x in found if -math.expm1(-math.exp(-x[3])) < SIGNIFICANT]
+        return (max(0.0, max((x[3] for x in found), default=0.0)) ** 0.5, math.log1p(sum(strong)))
 
-    def passages(self, text: str | None) -> list[dict]:
-        """Significant segments: begin, end (code points), score, p."""
-        s = self.scores(text) if text else np.zeros(0)
+    def judged(self, text: str | None) -> tuple[float, list[dict]]:
+        """The score, and the significant segments: begin, end (code points), score, p."""
+        found, n = self.found(text)
+        a, b = self.summary(found)
         out, at = [], None
-        for b, e, x in segments(s):
-            p = -math.expm1(-math.exp(-self.bits(x, len(s))))
+        for begin, end, x, bits in found:
+            p = -math.expm1(-math.exp(-bits))
             if p < SIGNIFICANT:
                 at = at or [m.span() for m in _WORD.finditer(text)]
-                if e <= len(at):  # a text whose lower case has other words keeps its score but no place
-                    out.append({"begin": at[b][0], "end": at[e - 1][1], "score": float(x), "p": float(p)})
-        return out
+                if len(at) == n:  # a text whose lower case has other words keeps its score but no place
+                    out.append({"begin": at[begin][0], "end": at[end - 1][1], "score": float(x), "p": float(p)})
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.curve[0] + self.curve[1] * a + self.curve[2] * b)))), out
+
+    def score(self, text: str | None) -> float:
+        a, b = self.summary(self.found(text)[0])
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.curve[0] + self.curve[1] * a + self.curve[2] * b))))
 
 
 def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -175,7 +183,7 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(float(v) for v in w)
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample_rows: int = SAMPLE_ROWS, max_features: int = MAX_FEATURES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from labelled rows that are not held out."""
     spark = docs.sparkSession
     tune(spark)
@@ -185,8 +193,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     known = known.where(F.pmod(F.xxhash64("d", F.lit("sample")), F.lit(1_000_000)) < int(keep * 1_000_000)) if keep < 1 else known
     rows = docs.select(F.col(doc_id).alias("d"), text_of(text).alias("t")).join(F.broadcast(known), "d")  # at most about sample_rows ids
     keyed = rows.select("d", "t", "y").mapInArrow(_keyed, f"d {dict(rows.dtypes)['d']}, t string, y int, h3 long, h4 long")
-    once = keyed.dropDuplicates(["h3", "y"]).dropDuplicates(["h4", "y"])  # near copies would make a text's rare words look toxic
-    sample, _ = written(once.select("d", "t", "y"), "toxicity-sample")
+    # near copies would make a text's rare words look toxic
+    once = keyed.groupBy("h3", "y").agg(F.min(F.struct("d", "t", "h4")).alias("m")).groupBy("m.h4", "y").agg(F.min(F.struct("m.d", "m.t")).alias("m"))
+    sample, _ = written(once.select("m.d", "m.t", "y"), "toxicity-sample")
     sizes = dict(sample.groupBy("y").count().collect())
     if not sizes.get(1) or not sizes.get(0):
         rate = (sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 1 + 9 * (not sizes))
@@ -199,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     odds = F.log((F.col("n1") + alpha) / (c1 + PRIOR)) - F.log((F.col("n0") + alpha) / (c0 + PRIOR))
     part = lambda n, c: F.when(F.col(n) > 0, F.col(n) * F.log(F.col(n) * (c1 + c0) / (both * c))).otherwise(0.0)
     z = F.sqrt(F.greatest(F.lit(0.0), 2 * (part("n1", c1) + part("n0", c0))))  # root of the likelihood ratio
-    best = counts.select("f", odds.alias("s"), z.alias("z")).where((F.col("z") >= MIN_Z) & (F.abs("s") >= MIN_ODDS)).orderBy(F.desc("z"), "f").limit(max_features)
+    best = counts.select("f", odds.alias("s"), z.alias("z")).where((F.col("z") >= MIN_Z) & (F.abs("s") >= MIN_ODDS))
     model = Model({r.f: r.s for r in best.collect()})
 
     def seen(batches):
@@ -216,8 +225,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     clean = sample.where("y = 0").mapInArrow(seen, "hist array<double>, top double, n long")
     pairs = clean.select(F.explode(F.transform(F.filter(F.sequence(F.lit(0), F.size("hist")), lambda i: (i % 2 == 0) & (i < F.size("hist"))), lambda i: F.struct(F.get("hist", i).alias("v"), F.get("hist", i + 1).alias("k")))).alias("p"))
     hist = {r.v: r.k for r in pairs.groupBy("p.v").agg(F.sum("p.k").alias("k")).collect()}
-    means = clean.where("n > 0").agg(F.avg("top"), F.avg(F.log("n"))).collect()[0]
-    values, share = np.array([*hist, 1.0]), np.array([*hist.values(), 1.0])
+    tops = clean.where("n > 0").select("top", "n").toPandas()  # sample_rows at most
+    values, share = np.array([*sorted(hist), 1.0]), np.array([*(hist[v] for v in sorted(hist)), 1.0])
     share = share / share.sum()
     low, high = 1e-3, 20.0
     if (values * share).sum() < 0:
@@ -225,21 +234,22 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             mid = (low + high) / 2
             low, high = (low, mid) if (share * np.exp(np.minimum(mid * values, 600))).sum() > 1 else (mid, high)
         model.scale = low
-    if means[0] is not None:
-        model.k = min(1.0, max(1e-4, math.exp(min(0.0, model.scale * means[0] - 0.5772 - means[1]))))
+    if len(tops):
+        top, length = (math.fsum(x) / len(tops) for x in (tops["top"], np.log(tops["n"])))
+        model.k = min(1.0, max(1e-4, math.exp(min(0.0, model.scale * top - 0.5772 - length))))
 
     def summed(batches):
         for b in batches:
-            s = [model.summary(t) for t in b.column("t").to_pylist()]
+            s = [model.summary(model.found(t)[0]) for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in s], pa.float64()), pa.array([x for _, x in s], pa.float64()), b.column("y")], ["a", "b", "y"])
 
-    table = sample.select("t", "y").mapInArrow(summed, "a double, b double, y int").toPandas()
+    table = sample.select("t", "y").mapInArrow(summed, "a double, b double, y int").toPandas().sort_values(["a", "b", "y"])
     model.curve = _fit(table[["a", "b"]].to_numpy(), table["y"].to_numpy(float))
     return model
 
 
-def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, score and passages (begin, end, score, p) of each document."""
+def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", passages: bool = True) -> DataFrame:
+    """doc_id, score and, if wanted, passages (begin, end, score, p) of each document."""
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)[doc_id]
@@ -249,9 +259,13 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         m = shared.value
         for b in batches:
             texts = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(t) for t in texts], pa.float64()), pa.array([m.passages(t) for t in texts], passage)], ["doc_id", "score", "passages"])
+            if passages:
+                found = [m.judged(t) for t in texts]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x for x, _ in found], pa.float64()), pa.array([x for _, x in found], passage)], ["doc_id", "score", "passages"])
+            else:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(t) for t in texts], pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col(doc_id), text_of(text)).mapInArrow(run, f"doc_id {kind}, score double, passages array<struct<begin: long, end: long, score: double, p: double>>")
+    return docs.select(F.col(doc_id), text_of(text)).mapInArrow(run, f"doc_id {kind}, score double" + (", passages array<struct<begin: long, end: long, score: double, p: double>>" if passages else ""))
 
 
 def digests(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
