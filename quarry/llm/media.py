@@ -3,10 +3,12 @@
 A payload is stored as unsigned 8-bit mono samples of a WAV file, which keeps every byte. The features come from the
 samples that are read back: short-time Fourier transforms, the strongest peaks of each frame, and pairs of a peak with
 peaks of the next frames. A pair is one 32-bit code (first bin, second bin, frames between) with the time of its first
-peak: an array of (time << 32 | code), ascending.
+peak: an array of (time << 32 | code), ascending. These arrays are written to a table of the shared folder, and the
+feature of a row comes from the array that is read from there.
 
 Null and empty payloads are padded to one block of zeros and have no peaks; equal payloads give equal media and equal
-features; repeated rows each get theirs; an empty table gives no rows; other columns are ignored.
+features; of bins that tie in strength the lower one comes first; very long payloads are transformed in parts of _FRAMES
+frames, each without its mean; repeated rows each get theirs; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -97,8 +99,8 @@ def media_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return written(docs.select(F.col(doc_id), text_of(text).cast("binary")).mapInArrow(run, f"doc_id {kind}, n_bytes long, media binary"), "media")[0]
 
 
-def features(media: DataFrame) -> DataFrame:
-    """What the stored bytes hold: sizes, digests and the fingerprint (array and, as feature, its text)."""
+def fingerprints(media: DataFrame) -> DataFrame:
+    """What the stored bytes hold: sizes, digests and the peak pairs, as a table of the shared folder."""
     tune(media.sparkSession)
     kind = dict(media.dtypes)["doc_id"]
 
@@ -108,11 +110,27 @@ def features(media: DataFrame) -> DataFrame:
             for m in b.column(2):
                 data = m.as_py()
                 samples = from_wav(data)
-                codes = fingerprint(samples)
-                feature = f"{len(codes)}:{hashlib.sha256(codes.astype('<i8').tobytes()).hexdigest()}"
-                rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), feature, codes))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()))
+                rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-BLOCK:]), len(data), hashlib.sha256(data).hexdigest(), fingerprint(samples)))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()))
             cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "peaks"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "peaks"])
+
+    return written(media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, peaks array<long>"), "fingerprints")[0]
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, peaks array<long>")
+
+def features(media: DataFrame) -> DataFrame:
+    """The fingerprints with a feature: the number of pairs and the digest of the stored array."""
+    pairs = F.array_join(F.transform("peaks", lambda x: x.cast("string")), ",")
+    return fingerprints(media).withColumn("feature", F.concat_ws(":", F.size("peaks").cast("string"), F.sha2(pairs.cast("binary"), 256)))
+
+
+def offsets(query: np.ndarray, other: np.ndarray) -> dict[int, int]:
+    """How many pairs two arrays share, by the time between them: a peak of this count is a match."""
+    where: dict[int, list[int]] = {}
+    for x in other.tolist():
+        where.setdefault(x & 0xFFFFFFFF, []).append(x >> 32)
+    out: dict[int, int] = {}
+    for x in query.tolist():
+        for t in where.get(x & 0xFFFFFFFF, ()):
+            out[t - (x >> 32)] = out.get(t - (x >> 32), 0) + 1
+    return out
