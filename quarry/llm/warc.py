@@ -3,12 +3,14 @@
 A bundle holds independent frames, each of whole WARC records, and ends with a seek table in a skippable frame
 (the public seekable format: an entry for each frame with its compressed and plain size, frame count, descriptor,
 footer magic). An index maps each record to its bundle, frame and offset inside the plain frame, so that one record is
-read by decompressing one frame. Records whose payload another record holds are revisits without a payload.
+read by decompressing one frame. Records whose payload another record holds are revisits without a payload; the index
+keeps the length of every payload. All records carry one date, a parameter, so that a repeated write gives equal bytes.
 
 Null html is an empty payload; a null page_id is written as such and never another record's response unless all of
 its group are null; rows that repeat the page_id of a response are responses too; an empty table gives no bundles;
 columns other than id, url and html are ignored. Equal payloads meet by their digest: one row for each repeated digest
-is joined to the pages, which Spark broadcasts where it is small and otherwise splits where a digest is hot.
+is joined to the pages, which Spark broadcasts where it is small and otherwise splits where a digest is hot. Of pages
+that tie in payload the largest page_id is the response. A very long page is a record, and a frame, of its own.
 """
 
 from __future__ import annotations
@@ -24,22 +26,22 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import tune, written
 
-FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 20, 16 << 20, 3
+FRAME_BYTES, BUNDLE_BYTES, LEVEL, DATE = 1 << 20, 16 << 20, 3, "2000-01-01T00:00:00Z"
 #: Fixed values of the seekable format: a skippable frame's magic and the seek table's.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
-_INDEX = pa.list_(pa.struct([("page_id", pa.int64()), ("frame", pa.int32()), ("offset", pa.int32())]))
+_INDEX = pa.list_(pa.struct([("page_id", pa.int64()), ("frame", pa.int32()), ("offset", pa.int32()), ("length", pa.int64())]))
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str = DATE) -> bytes:
     """One WARC 1.1 record. A revisit has headers only, and names the record that holds its payload."""
     name = "null" if page_id is None else str(page_id)
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: <urn:page:{name}>",
+        f"WARC-Date: {date}",
         f"WARC-Target-URI: {' '.join((url or '').split())}",
         f"WARC-Payload-Digest: sha1:{digest}",
-        f"WARC-Payload-Length: {len(payload)}",
     ]
     if revisit:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
@@ -72,8 +74,8 @@ class BundleWriter:
         self.frame_bytes = frame_bytes
         self.frames, self.sizes, self.index, self.open, self.size, self.total = [], [], [], [], 0, 0
 
-    def add(self, page_id: int | None, data: bytes) -> None:
-        self.index.append((page_id, len(self.frames), self.size))
+    def add(self, page_id: int | None, data: bytes, length: int) -> None:
+        self.index.append((page_id, len(self.frames), self.size, length))
         self.open.append(data)
         self.size += len(data)
         self.total += len(data)
@@ -127,8 +129,8 @@ def read_record(bundle: bytes, number: int, offset: int) -> tuple[dict[str, str]
     return head, body
 
 
-def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, level: int = LEVEL) -> DataFrame:
-    """bundle (bytes), index (page_id, frame, offset) for each bundle, from a table in the shared folder."""
+def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, level: int = LEVEL, date: str = DATE) -> DataFrame:
+    """bundle (bytes), index (page_id, frame, offset, payload length) for each bundle, from a table in the shared folder."""
     tune(pages.sparkSession)
     payload = F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).cast("long").alias("p"), F.col(url).cast("string").alias("u"), payload.alias("h"), F.sha1(payload).alias("d"))
@@ -138,20 +140,20 @@ def write_archive(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     def run(batches):
         def row(writer):
             data, index = writer.finish()
-            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary()), pa.array([[dict(zip(("page_id", "frame", "offset"), i, strict=True)) for i in index]], _INDEX)], ["bundle", "index"])
+            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary()), pa.array([[dict(zip(("page_id", "frame", "offset", "length"), i, strict=True)) for i in index]], _INDEX)], ["bundle", "index"])
 
         writer = BundleWriter(level, frame_bytes)
         for b in batches:
             for p, u, h, d, w in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 digest = base64.b32encode(bytes.fromhex(d)).decode()
-                writer.add(p, record(p, u, h, digest, w, w is not None and p != w))
+                writer.add(p, record(p, u, h, digest, w, w is not None and p != w, date), len(h))
                 if writer.total >= bundle_bytes:
                     yield row(writer)
                     writer = BundleWriter(level, frame_bytes)
         if writer.index:
             yield row(writer)
 
-    return written(marked.mapInArrow(run, "bundle binary, index array<struct<page_id: bigint, frame: int, offset: int>>"), "warc", "none")[0]
+    return written(marked.mapInArrow(run, "bundle binary, index array<struct<page_id: bigint, frame: int, offset: int, length: bigint>>"), "warc", "none")[0]
 
 
 def read_archive(bundles: DataFrame) -> DataFrame:
@@ -173,8 +175,9 @@ def read_archive(bundles: DataFrame) -> DataFrame:
                         digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
                         if not revisit and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
                             raise ValueError("a payload fails its digest")
-                        size = int(head["WARC-Payload-Length"]) if revisit else len(body)
-                        out.append((place["page_id"], size, digest, head["WARC-Type"], number(head.get("WARC-Refers-To")), head["WARC-Target-URI"]))
+                        if not revisit and place["length"] != len(body):
+                            raise ValueError("the index has another length")
+                        out.append((place["page_id"], place["length"], digest, head["WARC-Type"], number(head.get("WARC-Refers-To")), head["WARC-Target-URI"]))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
 
