@@ -50,6 +50,8 @@ def none(sp):
 def test_cached_ids_equal_the_tokenizer(path, mode):
     r = random.Random(3)
     texts = [*ODD, *("".join(r.choices("ab é.,'\n\t|<>#9 Ab", k=60)) for _ in range(300))]
+    small = ["'s", "'S", "'ll", "a", "É", "й", "ß", " ", "  ", "\n", "\t", "9", "12", "%%", "<|endoftext|>", "<|", "\x0b", "\x1c", "_", "'", "\u0301", "«"]
+    texts += ["".join(r.choices(small, k=r.randrange(1, 30))) for _ in range(600)]
     tok = tokens.CachedTokenizer(path, mode)
     want = [np.asarray(e.ids, "<u4").tobytes() for e in tok.encode.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     assert tok.batch(texts) == want == tok.batch(texts)
@@ -104,10 +106,42 @@ def test_packing(sp, odd, none):
     assert packing.pack(none, BYTES).count() == 0
 
 
-def test_packing_limits_on_loss(sp):
-    docs = sp.createDataFrame([(i, "word " * 300, 250) for i in range(20)], "doc_id long, text string, bear long")
-    rows = packing.pack(docs, BYTES, max_tokens=1000, max_loss=500, loss="bear").collect()
+def _packed(rows):
+    seq = defaultdict(list)
+    for r in rows:
+        seq[r.sequence_id].append(r)
+    return [sorted(v, key=lambda r: r.offset) for v in seq.values()]
+
+
+@pytest.mark.parametrize("limits", [(1000, 64, 500), (256, 3, 100), (256, 64, 1), (64, 1, 64)])
+def test_packing_holds_all_limits(sp, limits):
+    """Loss-bearing tokens are the last ones of a document; every piece knows its own, and no sequence has too many."""
+    most, segments, loss = limits
+    r = random.Random(6)
+    docs = sp.createDataFrame([(i, "word " * r.randrange(0, 400), r.choice([None, 0, 1, 50, 250, 9999])) for i in range(60)], "doc_id long, text string, bear long")
+    want = {x.doc_id: x.bear for x in docs.collect()}
+    rows = packing.pack(docs, BYTES, max_tokens=most, max_segments=segments, max_loss=loss, loss="bear").collect()
     assert sum(r.length for r in rows) == sum({r.doc_id: r.doc_tokens for r in rows}.values())
+    for x in rows:
+        bear = x.doc_tokens if want[x.doc_id] is None else min(want[x.doc_id], x.doc_tokens)
+        assert x.loss_tokens == sum(x.start <= k < x.start + x.length for k in range(x.doc_tokens - bear, x.doc_tokens))
+    for pieces in _packed(rows):
+        assert sum(p.length for p in pieces) <= most and len(pieces) <= segments and sum(p.loss_tokens for p in pieces) <= loss
+        assert [p.offset for p in pieces] == [0, *np.cumsum([p.length for p in pieces])[:-1].tolist()]
+
+
+def test_packing_refuses_limits_of_nothing(sp):
+    docs = sp.createDataFrame([(1, "a")], "doc_id long, text string")
+    for limits in ({"max_loss": 0}, {"max_tokens": 0}, {"max_segments": 0}):
+        with pytest.raises(ValueError, match="1 or more"):
+            packing.pack(docs, BYTES, **limits)
+
+
+def test_packing_pads_little(sp):
+    rows = packing.pack(sp.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(2), BYTES).collect()
+    sizes = [sum(p.length for p in pieces) for pieces in _packed(rows)]
+    assert sum(sizes) == sum({r.doc_id: r.doc_tokens for r in rows}.values())
+    assert sum(1024 - n for n in sizes if n & (n - 1)) <= 0.01 * sum(sizes)
 
 
 def test_decontamination_against_brute_force(sp, none):
@@ -135,6 +169,28 @@ def test_decontaminate_cuts_spans(sp, odd):
     assert decontam.decontaminate(odd, bench).columns == odd.columns and decontam.decontaminate(odd, bench).count() == odd.count()
 
 
+def test_decontamination_limits(sp):
+    """A short item counts as hit, but is cut only where its spans are long or cover much of the document."""
+    bench = sp.createDataFrame([("s", "blue moon"), ("l", "one two three four five six seven eight nine ten eleven")], "item_id string, text string")
+    long = "word " * 100
+    docs = frame(sp, [f"{long}blue moon {long}", "blue moon and more words here to read", f"{long}blue moon one two three four five six seven eight nine ten end", "blue moon"])
+    hits = {r.doc_id: r for r in decontam.digests(decontam.matches(docs, bench)).collect()}
+    assert [hits[i].n_hit for i in range(4)] == [2, 2, 12, 2]
+    got = {r.doc_id: r.text for r in decontam.decontaminate(docs, bench).collect()}
+    assert got == {0: f"{long}blue moon {long}", 1: " and more words here to read", 2: f"{long} end"}
+    loose = {r.doc_id: r.text for r in decontam.decontaminate(docs, bench, max_span=11, max_coverage=0.5).collect()}
+    assert loose[1] == "blue moon and more words here to read" and loose[2] == f"{long} end"
+
+
+def test_decontamination_of_repetitive_items_is_linear():
+    import time
+
+    a = decontam.Automaton([("r", ["a"] * 4000)])
+    began = time.time()
+    spans, items = a.scan(["a"] * 200_000)
+    assert spans == [(0, 200_000)] and items == {0} and time.time() - began < 5
+
+
 def test_decontamination_by_items_without_id(sp):
     item = "one two three four five six seven eight nine ten eleven"
     other = "red green blue white black brown grey pink gold teal lime"
@@ -164,6 +220,70 @@ def test_secrets_against_brute_force(sp, odd, none):
     assert clean[0].text == "<secret>" and "deadbeef" not in clean[4].text and clean[10].text is None and clean[11].text == "plain" and clean[0].n_chars == 8
 
 
+def _entropy_spans(text):
+    """The method by direct counts: candidates, what base spans and known parts leave of them, and their windows."""
+    import math
+
+    base = [(a, e) for a, _, e, _ in _spans(text)]
+    words = "|".join(p for p in ("example|placeholder|changeme|dummy", "abcdefgh|01234567|12345678"))
+    known = [m.span() for m in re.finditer(f"(?<![A-Za-z0-9+])[A-Za-z0-9+]*(?:{words})[A-Za-z0-9+]*", text, re.I)]
+    cut = [False] * len(text)
+    for a, e in base + known:
+        cut[a:e] = [True] * (e - a)
+    out = []
+    for c in re.finditer(secret_scan.CANDIDATE, text):
+        left = "".join("\0" if cut[i] else text[i] for i in range(*c.span()))
+        for m in re.finditer("[^\0]{20,}", left):
+            v = m[0]
+            if not (re.search("[0-9]", v) and re.search("[A-Za-z]", v)) or any(re.search(p, v) for p in secret_scan.ALLOWED if p[0] == "^"):
+                continue
+            bits = [t for _, p, t in secret_scan.CLASSES if re.search(p, v)][0]
+            high = []
+            for i in range(len(v) - 19):
+                w = v[i : i + 20]
+                digits, signs = sum(x.isdigit() for x in w), sum(x in "+/_=-" for x in w)
+                own = 3.75 if signs else 3.6 if re.search("[G-Zg-z]", w) else 2.9
+                least = min(bits, own) if digits and digits + signs < 20 else bits
+                if -sum(w.count(x) / 20 * math.log2(w.count(x) / 20) for x in set(w)) >= least:
+                    high.append(i)
+            if high:
+                at = c.start() + m.start()
+                out.append((at + high[0], at + high[-1] + 20))
+    return out
+
+
+def test_all_spans_against_direct_counts(sp):
+    r = random.Random(11)
+    letters = secret_scan.ALPHABET
+    parts = [lambda: "".join(r.choices(letters, k=r.randrange(5, 60))), lambda: "".join(r.choices("0123456789abcdef", k=r.randrange(5, 40))), lambda: r.choice([" ", "é ", "=", "/", "password: ", "AKIA", "example", "my12345678x", "token=", "\n", "-"])]
+    texts = ["".join(r.choice(parts)() for _ in range(r.randrange(1, 14))) for _ in range(300)]
+    got = {x.doc_id: x.spans for x in secret_scan.digests(frame(sp, texts)).collect()}
+    kinds = [k for k, *_ in secret_scan.BASE] + ["entropy"]
+    for i, t in enumerate(texts):
+        want = sorted([(a, k, e) for a, k, e, _ in _spans(t)] + [(a, 3, e) for a, e in _entropy_spans(t)])
+        assert got[i] == ",".join(f"{kinds[k]}:{a}:{e}" for a, k, e in want), t
+
+
+def test_secrets_in_very_long_texts_and_beside_any_columns(sp):
+    import time
+
+    r = random.Random(12)
+    blob = lambda n: "".join(r.choices(secret_scan.ALPHABET[:62], k=n))
+    many = " ".join(f"{r.getrandbits(64):016x} and" for _ in range(3000))
+    texts = [blob(2000), blob(120_000), many]
+    docs = frame(sp, texts).withColumn("base", F.lit(1)).withColumn("__spans", F.lit("x")).withColumn("cuts", F.lit(2)).withColumn("Cand", F.lit(3)).withColumn("fit", F.lit(4)).withColumn("clean", F.lit(5))
+    secret_scan.scan(docs.where("doc_id = 0")).collect()
+    began = time.time()
+    secret_scan.scan(docs.where("doc_id = 0")).collect()
+    short, began = time.time() - began, time.time()
+    got = secret_scan.scan(docs.where("doc_id = 1")).first()
+    assert time.time() - began < 20 * max(1.0, short)  # 60 times the letters
+    assert (got.spans[0].start, got.spans[0].end) == (0, 120_000) and (got.base, got["__spans"], got.cuts, got.Cand, got.fit) == (1, "x", 2, 3, 4)
+    clean = {x.doc_id: x for x in secret_scan.redact(docs).collect()}
+    assert clean[1].text == "<secret>" and clean[2].text == " ".join(["<secret> and"] * 3000) and clean[2].n_chars == len(clean[2].text)
+    assert secret_scan.redact(docs).columns == docs.columns and clean[0].clean == 5
+
+
 def test_entropy_windows_against_direct_counts(sp):
     import math
 
@@ -193,14 +313,26 @@ def test_secrets_joined_to_base_spans_and_known_words(sp):
     assert "example" in clean[2] and "dummy" in clean[3] and [clean[i] for i in (4, 5)] == texts[4:]
 
 
+def _maximal(s, at=0):
+    """All maximal segments by their definition: the best segment, then those left and right of it."""
+    best = max(((float(s[i:j].sum()), i - j, -i) for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=(0.0, 0, 0))
+    if best[0] <= 0:
+        return []
+    i, j = -best[2], -best[2] - best[1]
+    return _maximal(s[:i], at) + [(at + i, at + j)] + _maximal(s[j:], at + j)
+
+
 def test_segments_are_maximal():
     r = np.random.default_rng(4)
-    for _ in range(200):
+    for _ in range(300):
+        s = r.standard_normal(r.integers(0, 16))
+        got = toxicity.segments(s)
+        assert [(b, e) for b, e, _ in got] == _maximal(s) and all(abs(s[b:e].sum() - x) < 1e-9 for b, e, x in got)
+    for _ in range(200):  # ties: the best sum is found and segments stay apart
         s = r.integers(-3, 4, r.integers(0, 14)).astype(float)
         got = toxicity.segments(s)
-        want = max((s[i:j].sum() for i in range(len(s)) for j in range(i + 1, len(s) + 1)), default=0)
-        assert max((x for _, _, x in got), default=0) == max(0, want)
-        assert all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False)) and all(abs(s[b:e].sum() - x) < 1e-9 and x > 0 for b, e, x in got)
+        assert max((x for _, _, x in got), default=0) == max([0, *(s[i:j].sum() for i in range(len(s)) for j in range(i + 1, len(s) + 1))])
+        assert all(a[1] <= b[0] for a, b in zip(got, got[1:], strict=False)) and all(x > 0 for _, _, x in got)
 
 
 def test_toxicity_learns_and_holds_out(sp, odd, none):
@@ -214,6 +346,9 @@ def test_toxicity_learns_and_holds_out(sp, odd, none):
     held = [g for g in got if g.held_out]
     assert all(g.held_out == (zlib.crc32(str(g.doc_id).encode()) % 4 == 2) for g in got)
     assert sum(g.predicted == (g.doc_id % 4 == 0) for g in held) >= 0.95 * len(held)
+    again = toxicity.train(docs.repartition(7), labels.repartition(3))
+    assert (again.weights, again.scale, again.k) == (model.weights, model.scale, model.k) and np.allclose(again.curve, model.curve, atol=1e-9)
+    assert [g.score for g in toxicity.score(docs, model).collect()] == [g.score for g in toxicity.score(docs, model, passages=False).collect()]
     spans = toxicity.score(docs, model).where("doc_id = 4").first().passages
     assert spans and any(w in texts[4][spans[0].begin : spans[0].end] for w in ("vilek", "nastox"))
     assert toxicity.score(odd, model).count() == odd.count() and toxicity.score(none, model).count() == 0
@@ -338,6 +473,70 @@ def test_fingerprint_finds_a_tone():
     assert len(media.fingerprint(tone)) and list(media.fingerprint(tone)) == sorted(media.fingerprint(tone))
 
 
+def _plain_peaks(samples):
+    """Peaks by the definition of the Fourier transform, frame by frame."""
+    import cmath
+    import math
+
+    n, out = media.WINDOW, []
+    for at in range(0, max(1, len(samples) - n + media.HOP), media.HOP):
+        mean = sum(samples) / len(samples)
+        frame = [(samples[at + i] - mean if at + i < len(samples) else 0.0) * (0.5 - 0.5 * math.cos(2 * math.pi * i / (n - 1))) for i in range(n)]
+        power = [abs(sum(x * cmath.exp(-2j * math.pi * k * i / n) for i, x in enumerate(frame))) for k in range(n // 2 + 1)]
+        tops = [(-power[k], k) for k in range(1, n // 2) if power[k] > power[k - 1] and power[k] >= power[k + 1]]
+        out.append([k for _, k in sorted(tops)[: media.PEAKS]])
+    return out
+
+
+def test_peaks_against_the_definition():
+    r = random.Random(2)
+    samples = bytes(r.randrange(256) for _ in range(64 * 17))
+    bins, real = media.peaks(samples)
+    want = _plain_peaks(samples)
+    assert real.all() and bins.tolist() == want
+    codes = set()
+    for t, first in enumerate(want):
+        for gap in range(1, media.REACH + 1):
+            for i in range(media.PEAKS):
+                if t + gap < len(want):
+                    j = (i + gap) % media.PEAKS if gap > media.FAN // 2 else i
+                    codes.add(t << 32 | first[i] << 16 | want[t + gap][j] << 4 | gap)
+    assert media.fingerprint(samples).tolist() == sorted(codes)
+    later = media.offsets(media.fingerprint(samples[media.HOP * 1 :]), media.fingerprint(samples))
+    assert max(later, key=later.get) == 1
+
+
+def test_feature_comes_from_the_stored_array(sp):
+    table = media.fingerprints(media.media_table(frame(sp, ["some text " * 300, ""])))
+    got = {r.doc_id: r for r in media.features(media.media_table(frame(sp, ["some text " * 300, ""]))).collect()}
+    for r in table.collect():
+        assert r.peaks == got[r.doc_id].peaks and got[r.doc_id].feature == f"{len(r.peaks)}:{hashlib.sha256(','.join(map(str, r.peaks)).encode()).hexdigest()}"
+    assert got[0].peaks and not got[1].peaks
+
+
+def test_warc_against_brute_force(sp):
+    r = random.Random(4)
+    rows = [(i, f"http://x/{i}", r.choice([None, "", "a", "b é", "c" * 5000, f"own {i}"])) for i in range(120)]
+    pages = sp.createDataFrame(rows, "page_id long, url string, html string").withColumn("h", F.lit("clash")).withColumn("n", F.lit(1))
+    got = {x.page_id: x for x in warc.read_archive(warc.write_archive(pages, frame_bytes=4000, bundle_bytes=20_000)).collect()}
+    for i, url, html in rows:
+        payload = (html or "").encode()
+        last = max(k for k, _, h in rows if (h or "") == (html or ""))
+        want = (len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode(), "response" if i == last else "revisit", None if i == last else last, url)
+        assert (got[i].payload_bytes, got[i].payload_digest, got[i].record_type, got[i].refers_to, got[i].url) == want
+
+
+def test_warc_records_follow_the_standard(sp):
+    """Every record has the fields that WARC 1.1 requires, and no others than the standard's."""
+    known = {"WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Profile", "WARC-Refers-To", "Content-Type", "Content-Length"}
+    pages = sp.createDataFrame([(1, "http://x", "a"), (2, "http://y", "a")], "page_id long, url string, html string")
+    for row in warc.write_archive(pages).collect():
+        for place in row["index"]:
+            head, body = warc.read_record(bytes(row["bundle"]), place.frame, place.offset)
+            assert set(head) <= known and {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(head)
+            assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", head["WARC-Date"]) and place.length == 1 and len(body) in (0, 1)
+
+
 def test_warc(sp):
     rows = [(1, "u", "same"), (2, "u", "other é"), (3, None, "same"), (4, "u\r\nv", ""), (5, "u", None), (6, "u", "x" * 300_000), (None, "u", "same"), (3, "u", "same")]
     pages = sp.createDataFrame(rows, "page_id long, url string, html string").withColumn("d", F.lit("clash")).withColumn("w", F.lit(1))
@@ -397,23 +596,53 @@ def test_chat(sp):
     text = "System: be brief\n\nUser: What is it?\nmore words\nAssistant: It is this.\n\nHuman: And that?\nAI: That too."
     assert chat.parse(text) == [("system", "be brief"), ("user", "What is it?\nmore words"), ("assistant", "It is this."), ("user", "And that?"), ("assistant", "That too.")]
     assert chat.parse(None) == [] == chat.parse("\n \n")
+    assert chat.parse("User: a\n\nb\x0bc\nAssistant: \n\nd") == [("user", "a\n\nb\x0bc"), ("assistant", "d")]  # blank lines stay
+    assert chat.parse("User: " + "x" * 500_000) == [("user", "x" * 500_000)]
     assert chat.render([("user", "x")]) == "<|user|>\nx\n<|end|>\n"
-    one = next(i for i in range(10, 99) if zlib.crc32(str(i).encode()) % 4 == 0)  # a style with all markers
+    one = next(i for i in range(10, 99) if chat.style_of(i) == 0)  # a style with all markers
     rows = [(one, t, r, f"{r} says {t}") for t, r in enumerate(["user", "assistant"] * 600)] + [(2, 0, None, None), (3, None, "user", "hi"), (None, 0, "user", "hi")]
-    turns = sp.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = sp.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("__t", F.lit("clash")).withColumn("segment", F.lit("x")).withColumn("raw", F.lit(1)).withColumn("m", F.lit(2))
     got = chat.recovered(turns).collect()
-    assert sum(r.n_turns for r in got if r.conv_id == one) == 1200 and len([r for r in got if r.conv_id == one]) == 3
+    assert sum(r.n_turns for r in got if r.conv_id == one) == 1200 and len([r for r in got if r.conv_id == one]) == 3 and all(r.agrees for r in got if r.conv_id == one)
     assert chat.recovered(turns.limit(0)).count() == 0
 
 
-def test_viterbi_against_all_paths():
+def test_chat_agreement_on_the_table(sp):
+    turns = sp.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    rows = chat.recovered(turns).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[chat.style_of(r.conv_id)].append(r.agrees)
+    assert len(by) == 4 and all(sum(v) >= 0.95 * len(v) for v in by.values()), {k: (sum(v), len(v)) for k, v in by.items()}
+
+
+def _best_path(seen, model):
     import itertools
 
-    lines = ["User: hi?", "more", "Assistant: yes", "tail of it"]
-    start, change, emit = chat._MODEL
-    obs = []
-    for line in lines:
-        kind, rest = chat.marker(line)
-        obs.append(emit[:, chat.MARKS.index(kind), int(rest.endswith("?")), 0, 0])
-    best = max(itertools.product(range(6), repeat=4), key=lambda p: start[p[0]] + obs[0][p[0]] + sum(change[a, b] + o[b] for a, b, o in zip(p, p[1:], obs[1:], strict=False)))
-    assert chat.viterbi(lines)[0] == list(best)
+    change, emit = model
+    score = lambda p: change[chat.BEGIN, p[0]] + emit[(p[0], *seen[0])] + sum(change[a, b] + emit[(b, *x)] for a, b, x in zip(p, p[1:], seen[1:], strict=False))
+    return list(max(itertools.product(range(chat.N), repeat=len(seen)), key=score))
+
+
+def test_viterbi_against_all_paths():
+    r = random.Random(3)
+    for _ in range(20):
+        lines = [r.choice(["User: hi?", "more", "", "Assistant: yes", "tail of it", "Note: x", "System: be"]) for _ in range(5)]
+        seen, _ = chat.observed(lines)
+        assert not seen or chat.viterbi(seen) == _best_path(seen, chat.PRIOR_MODEL)
+
+
+def test_segments_are_decoded_as_one_conversation(sp):
+    r = random.Random(8)
+    model = chat.PRIOR_MODEL
+    whole, cut = [], []
+    for conv in (1, 2):
+        lines = [r.choice(["User: hi?", "more", "words that say nothing", "Assistant: yes", "is it?", "Note: x", "tail"]) for _ in range(160)]
+        seen, _ = chat.observed(lines)
+        want = chat.viterbi(seen, model)
+        whole.append((conv, seen, want))
+        cut += [(conv, i // 4, chat.summed(seen[i : i + 4], model).ravel().tolist()) for i in range(0, len(seen), 4)]
+    around = {(x.conv_id, x.at): x for x in chat.boundaries(sp.createDataFrame(cut, "conv_id long, at long, m array<double>"), fan=3).collect()}
+    for conv, seen, want in whole:
+        got = [s for i in range(0, len(seen), 4) for s in chat.viterbi(seen[i : i + 4], model, np.array(around[conv, i // 4].entry), np.array(around[conv, i // 4].leave))]
+        assert got == want
