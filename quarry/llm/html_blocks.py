@@ -10,8 +10,11 @@ templates (article, section or div with telling or dumb class names; menus, head
 forms, reader comments and footers around and inside the article). No page of the input is used for it.
 
 Null and empty html give an empty text; unclosed and crossed tags, raw text elements, comments and character
-references follow the usual repairs; repeated pages each get a row; other columns are ignored; very long pages are
-read in windows of MAX_BLOCKS blocks that overlap, without dropping any block.
+references follow the usual repairs; a quote that is never closed ends with its tag; repeated pages each get a row; other
+columns are ignored, whatever they are called; blocks of exactly the least probability count as article. Very long
+pages are read in parts of PART blocks, with the state of the network carried from part to part in both directions, so
+that every block is labelled as if the page were read at once. Of elements nested deeper than NESTED the innermost ones
+give a block its path.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ import html as html_escapes
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +32,18 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import tune
 
-#: Elements that never show text, that stand alone, and that do not break a block.
-RAW = frozenset("script style noscript template textarea title svg iframe object select option datalist canvas math head".split())
+#: Elements whose content is no markup, that never show text, that stand alone, that do not break a block.
+RAW = frozenset("script style noscript textarea title iframe noembed noframes xmp".split())
+HIDDEN_TEXT = frozenset("head svg template select datalist".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br canvas cite code data del dfn em font i img ins kbd label mark math object q rp rt ruby s samp select small span strike strong sub sup svg template time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+#: A quote counts only behind "=" and where it is closed; no part is tried in two ways.
+_TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+)>|<[!?][^>]*+>", re.S)
 _ATTR = re.compile(r"(class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _NAME = re.compile(r"[a-z]+")
 _WORD = re.compile(r"\w+")
-DIM, HIDDEN, MAX_BLOCKS, OVERLAP = 96, 16, 2000, 100
+DIM, HIDDEN, PART, NESTED = 96, 16, 2000, 256
 PAGES, EPOCHS, BATCH, RATE, SEED = 480, 7, 24, 0.02, 7
 
 
@@ -56,8 +62,19 @@ def blocks(page: str | None) -> list[Block]:
     linked = 0
     page = page or ""
 
+    opened: Counter[str] = Counter()
+
     def path() -> tuple[str, ...]:
-        return tuple(x for name, marks in stack if name not in INLINE for x in (name, *marks))
+        """Marks of the innermost NESTED elements."""
+        return tuple(x for name, marks in stack[-NESTED:] if name not in INLINE for x in (name, *marks))
+
+    def hidden() -> bool:
+        return any(opened[name] for name in HIDDEN_TEXT)
+
+    def close(k: int):
+        for name, _ in stack[k:]:
+            opened[name] -= 1
+        del stack[k:]
 
     def close_block():
         nonlocal linked
@@ -70,55 +87,63 @@ def blocks(page: str | None) -> list[Block]:
 
     def take(text: str):
         nonlocal linked
-        if text:
+        if text and not hidden():
             parts.append(text)
-            if any(name == "a" for name, _ in stack):
+            if opened["a"]:
                 linked += len(text.strip())
 
-    at = 0
-    for m in iter(lambda: _TAG.search(page, at), None):
+    at, last = 0, page.rfind(">") + 1
+    for m in iter(lambda: _TAG.search(page, at, last), None):
         take(page[at : m.start()])
         at = m.end()
         if not m[2]:
+            if at == last and m[0].startswith("<!--") and not m[0].endswith(("-->", "--!>", "<!-->", "<!--->")):
+                at = len(page)
+                break
             continue
         name = m[2].lower()
         if m[1]:
-            if name not in INLINE:
+            if name not in INLINE and not hidden():
                 close_block()
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[name] else ():
                 if stack[k][0] == name:
-                    del stack[k:]
+                    close(k)
                     break
-                if name in INLINE and stack[k][0] not in INLINE:
+                if name in INLINE and name not in HIDDEN_TEXT and stack[k][0] not in INLINE:
                     break
             continue
-        if name in RAW and name != "head":
+        if name in RAW:
             if not m[3].endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
             continue
-        if name not in INLINE:
+        if name in CLOSES_P and (opened["svg"] or opened["select"]):  # what was never closed
+            close(next(k for k, (n, _) in enumerate(stack) if n in ("svg", "select")))
+        if name not in INLINE and not hidden():
             close_block()
+        if name not in INLINE:
             if name == "body":
                 stack[:] = [s for s in stack if s[0] != "head"]
-            if name in CLOSES_P:
+                opened["head"] = 0
+            if name in CLOSES_P and opened["p"]:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == "p":
-                        del stack[k:]
+                        close(k)
                         break
                     if stack[k][0] not in INLINE:
                         break
             same = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(name)
             while same and stack and (stack[-1][0] in same or stack[-1][0] in INLINE or stack[-1][0] == "p"):
-                stack.pop()
+                close(len(stack) - 1)
         elif name == "br":
             take(" ")
         if name not in VOID and not m[3].endswith("/"):
             marks = tuple(f".{w}" for _, v in _ATTR.findall(m[3]) for w in _NAME.findall(v.lower())) if m[3] else ()
             stack.append((name, marks))
+            opened[name] += 1
     take(page[at:])
     close_block()
-    return [b for b in out if "head" not in b.path]
+    return out
 
 
 def vector(b: Block) -> np.ndarray:
@@ -152,11 +177,11 @@ class Labeller:
             self.w[f"b{d}"] = bias
         self.w["o"], self.w["c"] = scale(2 * HIDDEN, 1)[:, 0], np.zeros(1, np.float32)
 
-    def _pass(self, x: np.ndarray, mask: np.ndarray, d: str):
-        """x: time, pages, DIM. Padding keeps the state."""
+    def _pass(self, x: np.ndarray, mask: np.ndarray, d: str, state: tuple[np.ndarray, np.ndarray] | None = None, keep: bool = True):
+        """x: time, pages, DIM. Padding keeps the state. The outputs, what training needs, and the last state."""
         wh, gates_x = self.w[f"h{d}"], x @ self.w[f"x{d}"] + self.w[f"b{d}"]
-        h = np.zeros((x.shape[1], HIDDEN), np.float32)
-        c, out, kept = h.copy(), np.zeros((*x.shape[:2], HIDDEN), np.float32), []
+        h, c = state or (np.zeros((x.shape[1], HIDDEN), np.float32),) * 2
+        out, kept = np.zeros((*x.shape[:2], HIDDEN), np.float32), []
         for t in range(len(x)) if d == "f" else range(len(x) - 1, -1, -1):
             z = gates_x[t] + h @ wh
             s = 1 / (1 + np.exp(-np.clip(z[:, : 3 * HIDDEN], -30, 30)))
@@ -165,17 +190,34 @@ class Labeller:
             m = mask[t][:, None]
             new = f * c + i * g
             y = np.tanh(new)
-            kept.append((t, h, c, i, f, o, g, y, m))
+            if keep:
+                kept.append((t, h, c, i, f, o, g, y, m))
             c, h = np.where(m, new, c), np.where(m, o * y, h)
             out[t] = h
-        return out, kept
+        return out, kept, (h, c)
+
+    def _chance(self, h: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(h @ self.w["o"] + self.w["c"], -30, 30)))
 
-    def forward(self, x: np.ndarray, mask: np.ndarray):
-        hf, kf = self._pass(x, mask, "f")
-        hb, kb = self._pass(x, mask, "b")
+    def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = True):
+        hf, kf, _ = self._pass(x, mask, "f", None, keep)
+        hb, kb, _ = self._pass(x, mask, "b", None, keep)
         h = np.concatenate([hf, hb], 2)
-        z = h @ self.w["o"] + self.w["c"]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30))), (h, kf, kb)
+        return self._chance(h), (h, kf, kb)
+
+    def long(self, page: list[Block], part: int = PART) -> np.ndarray:
+        """The labels of one page, read part by part from both ends with the state carried on."""
+        starts = range(0, len(page), part)
+        read = lambda b: stacked([np.array([vector(x) for x in page[b : b + part]])])
+        outs = {}
+        for d, order in (("f", starts), ("b", reversed(starts))):
+            state, out = None, np.zeros((len(page), HIDDEN), np.float32)
+            for b in order:
+                x, mask = read(b)
+                got, _, state = self._pass(x, mask, d, state, keep=False)
+                out[b : b + part] = got[:, 0]
+            outs[d] = out
+        return self._chance(np.concatenate([outs["f"], outs["b"]], 1))
 
     def _back(self, grads, x, dh_out, kept, d):
         dh_next = np.zeros((x.shape[1], HIDDEN), np.float32)
@@ -223,27 +265,15 @@ class Labeller:
                     self.w[n] -= (lr * (m1[n] / (1 - 0.9**step)) / (np.sqrt(m2[n] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
         return self
 
-    def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
+    def label(self, pages: list[list[Block]], part: int = PART) -> list[np.ndarray]:
         """Probability of each block of each page to be article text."""
-        windows, places = [], []
-        for k, p in enumerate(pages):
-            for b in range(0, max(1, len(p)), MAX_BLOCKS - 2 * OVERLAP):
-                if b and b + 2 * OVERLAP >= len(p):
-                    break
-                windows.append(p[b : b + MAX_BLOCKS])
-                places.append((k, b))
-        out = [np.zeros(len(p)) for p in pages]
-        order = sorted(range(len(windows)), key=lambda i: len(windows[i]))
+        out = [self.long(p, part) if len(p) > part else np.zeros(len(p)) for p in pages]
+        order = sorted((k for k, p in enumerate(pages) if 0 < len(p) <= part), key=lambda k: len(pages[k]))
         for k in range(0, len(order), 64):
-            some = [i for i in order[k : k + 64] if windows[i]]
-            if not some:
-                continue
-            x, mask = stacked([np.array([vector(b) for b in windows[i]]) for i in some])
-            p, _ = self.forward(x, mask)
+            some = order[k : k + 64]
+            p, _ = self.forward(*stacked([np.array([vector(b) for b in pages[i]]) for i in some]), keep=False)
             for j, i in enumerate(some):
-                page, b = places[i]
-                skip = OVERLAP if b else 0
-                out[page][b + skip : b + len(windows[i])] = p[skip : len(windows[i]), j]
+                out[i] = p[: len(pages[i]), j]
         return out
 
 
