@@ -16,9 +16,10 @@ A node that stays large at DEPTH holds near copies by the thousand, or texts aro
 are dealt into random cells of NODE_ROWS members, tied together by three members of the node that join every cell. The
 cells only bring most near copies into one component early. What they miss is found exactly: all documents of such
 nodes, of all trees together, go through a prefix-filter join on full sets. Shingles are ranked from the rarest; two
-sets at the threshold meet in a short prefix of the smaller one and a longer prefix of the other one. Pairs inside a
-component are left out, and texts around a passage that keeps them below the threshold have prefixes without it, so
-that the work does not grow with all pairs of a node. A posting list whose members are unlinked is compared whole.
+sets at the threshold share a shingle behind which both have enough others left. Pairs inside a component are left out,
+and texts that differ from a common passage or original by more than the threshold allows have no such shingle with
+it, so that the work does not grow with all pairs of a node. What remains of the square: members of one posting list that
+are unlinked, though each alone lies close enough to a common original.
 
 In a cell with many candidates a spanning forest of them, the most alike first, is confirmed on full sets before the
 others. With the components of the confirmed links, such cells are read again: every pair of different components is
@@ -43,6 +44,8 @@ from quarry.llm.common import checkpoint_dir, text_of, tune, written
 T, TREES, NODE_ROWS, DEPTH = 128, 8, 64, 3
 #: Rows of documents in candidate pairs that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Members of a posting list that one task compares at once.
+POSTING_ROWS = 50_000
 MAYBE_SLACK = 0.16
 #: The words of a text, and the letters that are lower-cased.
 WORDS = re.compile("[^\x20\x09-\x0d]+")
@@ -241,8 +244,8 @@ def _cells(reps: DataFrame, node_rows: int, depth: int) -> tuple[DataFrame, Data
 
 
 def _prefixes(full: DataFrame, deep: DataFrame, percent: int) -> DataFrame:
-    """token, doc_id, n, short: the rarest shingles of each set, as many as must hold one of any set at the threshold;
-    those in the prefix that a smaller set needs are short."""
+    """token, doc_id, n, rest: the rarest shingles of each set, as many as must hold one of any set at the threshold, and
+    how many shingles of the set stand from that one on."""
 
     def tokens(batches):
         for b in batches:
@@ -252,41 +255,45 @@ def _prefixes(full: DataFrame, deep: DataFrame, percent: int) -> DataFrame:
 
     rows = full.join(deep, "doc_id", "left_semi").mapInArrow(tokens, "doc_id long, n long, token long")
     counted = rows.join(rows.groupBy("token").agg(F.count("*").alias("df")), "token")
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "token")))
-    # least common shingles: percent of the larger set; 2 percent / (100 + percent) of the smaller one
-    long, short = (F.expr(f"n - (({a} * n + {b} - 1) div {b}) + 1") for a, b in ((percent, 100), (2 * percent, 100 + percent)))
-    return ranked.where((F.col("rank") <= long) & (F.col("df") > 1)).select("token", "doc_id", "n", (F.col("rank") <= short).alias("short"))
+    ranked = counted.withColumn("rest", F.col("n") + 1 - F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "token")))
+    return ranked.where((100 * F.col("rest") >= percent * F.col("n")) & (F.col("df") > 1)).select("token", "doc_id", "n", "rest")
 
 
 def _pairs_of_postings(percent: int, one: bool):
-    """Rows (token, doc_id, n, short, label) sorted by token -> pairs of different labels that the prefixes allow; with
-    one, a single pair of each member and other label in a posting list."""
+    """Rows (cell, doc_id, n, rest, label, main, place, parts, part) sorted by cell and n -> pairs of different labels that
+    the prefixes allow; with one, a single pair of each member and other label in a cell.
+
+    Two sets meet at the threshold only if, from the first shingle that they share, both have enough shingles left. Sizes
+    are sorted, so that the partners that the sizes allow are one range for each member.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def compare(token, ids, n, short, label):
-        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        stops = np.concatenate([starts[1:], [len(token)]])
-        mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
+    def compare(cell, ids, n, rest, label, main, place, parts, part):
+        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        stops = np.concatenate([starts[1:], [len(cell)]])
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for s, e in zip(starts[mixed].tolist(), stops[mixed].tolist(), strict=True):
-            doc, size, near = ids[s:e], n[s:e], short[s:e]
-            _, lab, count = np.unique(label[s:e], return_inverse=True, return_counts=True)
-            main, place = int(count.argmax()), np.arange(e - s)
-            for i in np.flatnonzero(lab != main):
-                ok = (lab != lab[i]) & ((lab == main) | (place > i))
-                ok &= 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
-                ok &= np.where(size < size[i], near, np.where(size > size[i], near[i], near & near[i]))
-                j = np.flatnonzero(ok)
+        most = ((100 + percent) * rest) // percent - n  # the largest partner
+        for s, e in zip(starts.tolist(), stops.tolist(), strict=True):
+            size, lab = n[s:e], label[s:e]
+            low = np.searchsorted(size, -(-percent * size // 100), "left")
+            high = np.searchsorted(size, np.minimum(100 * size // percent, most[s:e]), "right")
+            for i in np.flatnonzero(~main[s:e] & (high > low)):
+                j = np.arange(low[i], high[i])
+                k = j + s
+                ok = (lab[j] != lab[i]) & (rest[k] * (100 + percent) >= percent * (size[j] + size[i]))
+                # two members that are not of the main label meet in one part only, once
+                ok &= main[k] | ((j > i) & ((place[k] + place[s + i]) % parts[s + i] == part[s + i]))
+                k = k[ok]
                 if one:
-                    j = j[np.unique(lab[j], return_index=True)[1]]
-                left.append(np.minimum(doc[j], doc[i]))
-                right.append(np.maximum(doc[j], doc[i]))
+                    k = k[np.unique(label[k], return_index=True)[1]]
+                left.append(np.minimum(ids[k], ids[s + i]))
+                right.append(np.maximum(ids[k], ids[s + i]))
         return np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
 
     def run(batches):
         held = None
         for b in batches:
-            now = tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            now = tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(b.num_columns))
             if held is not None:
                 now = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
             cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
@@ -301,17 +308,30 @@ def _pairs_of_postings(percent: int, one: bool):
     return run
 
 
-def _of_postings(prefixes: DataFrame, found: DataFrame, reps: DataFrame, percent: int, one: bool) -> DataFrame:
-    """Pairs of the prefix join between different components whose sketches do not rule them out."""
+def _of_postings(prefixes: DataFrame, found: DataFrame, reps: DataFrame, percent: int, one: bool, posting_rows: int = POSTING_ROWS) -> DataFrame:
+    """Pairs of the prefix join between different components whose sketches do not rule them out.
+
+    A posting list of more than posting_rows members is dealt into parts: members of its largest component go to one part,
+    the others to all.
+    """
 
     def alike(batches):
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(-1, T) for k in (2, 3))
             yield b.select([0, 1]).filter(pa.array((x == y).mean(1) >= percent / 100 - MAYBE_SLACK, pa.bool_()))
 
+    sizes = found.groupBy(F.col("component").alias("label")).agg(F.count("*").alias("weight"))
     labelled = prefixes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    labelled = labelled.select("token", "doc_id", "n", "short", F.coalesce("component", "doc_id").alias("label"))
-    pairs = labelled.repartition("token").sortWithinPartitions("token").mapInArrow(_pairs_of_postings(percent, one), "a long, b long").distinct()
+    labelled = labelled.select("token", "doc_id", "n", "rest", F.coalesce("component", "doc_id").alias("label")).join(sizes, "label", "left")
+    lists = labelled.groupBy("token").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max(F.struct(F.coalesce("weight", F.lit(1)).alias("weight"), "label"))["label"].alias("most"), F.min("label").alias("x"), F.max("label").alias("y"))
+    rows = labelled.join(lists.where("x <> y").drop("x", "y"), "token")
+    # some partner that the sizes allow
+    rows = rows.where(F.expr(f"{100 + percent} * rest div {percent} - n >= greatest(least, ({percent} * n + 99) div 100)"))
+    rows = rows.withColumn("main", F.col("label") == F.col("most")).withColumn("parts", F.ceil(F.col("size") / posting_rows).cast("long"))
+    rows = rows.withColumn("place", F.pmod(F.xxhash64("doc_id", F.lit("place")), F.col("parts")))
+    rows = rows.withColumn("part", F.explode(F.when(F.col("main"), F.array("place")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))))
+    rows = rows.select(F.xxhash64("token", "part").alias("cell"), "doc_id", "n", "rest", "label", "main", "place", "parts", "part")
+    pairs = rows.repartition("cell").sortWithinPartitions("cell", "n").mapInArrow(_pairs_of_postings(percent, one), "a long, b long").distinct()
     sketch = lambda i, s: reps.select(F.col("doc_id").alias(i), F.col("sketch").alias(s))
     return pairs.join(sketch("a", "x"), "a").join(sketch("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
 
