@@ -579,6 +579,84 @@ def test_html_long_pages_keep_every_block():
     assert len(found) == 4500 and (y > 0.5).mean() > 0.99
 
 
+def _plain_labels(model, vectors):
+    """The network by its definition, one page, one block after the other."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    outs = {}
+    for d in "fb":
+        h, c, outs[d] = np.zeros(html_blocks.HIDDEN), np.zeros(html_blocks.HIDDEN), {}
+        for t in range(len(vectors)) if d == "f" else reversed(range(len(vectors))):
+            z = np.array(vectors[t], float) @ model.w[f"x{d}"] + model.w[f"b{d}"] + h @ model.w[f"h{d}"]
+            i, f, o, g = np.split(z, 4)
+            c = sigmoid(f) * c + sigmoid(i) * np.tanh(g)
+            h = sigmoid(o) * np.tanh(c)
+            outs[d][t] = h
+    return [float(sigmoid(np.concatenate([outs["f"][t], outs["b"][t]]) @ model.w["o"] + model.w["c"][0])) for t in range(len(vectors))]
+
+
+def test_html_labels_against_the_definition():
+    model = html_blocks.trained(pages=160, epochs=4)
+    r = random.Random(31)
+    pages = [html_blocks.blocks(html_blocks.made_page(r)[0]) for _ in range(12)]
+    want = [_plain_labels(model, [html_blocks.vector(b) for b in p]) for p in pages]
+    for part in (3, 7, 2000):  # parts carry the state on
+        assert all(np.allclose(y, w, atol=1e-4) for y, w in zip(model.label(pages, part), want, strict=True))
+
+
+def test_html_blocks_against_another_parser():
+    """Blocks of well-formed pages, cut by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Cutter(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.parts, self.skip = [], [], 0
+
+        def close_block(self):
+            text = " ".join("".join(self.parts).split())
+            self.parts = []
+            if text:
+                self.out.append(text)
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("head", "style", "script", "title")
+            if tag == "br":
+                self.parts.append(" ")
+            elif tag not in html_blocks.INLINE:
+                self.close_block()
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("head", "style", "script", "title")
+            if tag not in html_blocks.INLINE:
+                self.close_block()
+
+        def handle_data(self, data):
+            if not self.skip:
+                self.parts.append(data)
+
+    r = random.Random(32)
+    for _ in range(60):
+        page = html_blocks.made_page(r)[0]
+        cutter = Cutter()
+        cutter.feed(page)
+        cutter.close()
+        cutter.close_block()
+        assert [b.text for b in html_blocks.blocks(page)] == cutter.out
+
+
+def test_html_odd_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    for unit in ("<a '", '<a b="', "<!-- ", "<script ", "<a b='x\"", "<a ", "<svg>", "<b>x", "<div>x", "<p><b>", "<b></i>", "</x>"):
+        html_blocks.blocks("<p>x</p>" + unit * 20_000 + ">")
+    assert time.time() - began < 20
+    page = "<p>a<svg><text>no</text></svg>b</p><math>x+y</math><!-- c --><p title=\"a>b\">q</p><p it's>r</p><!-->s<object>o</object><select><option>z</select>t<a href='x>u</a>v"
+    assert [b.text for b in html_blocks.blocks(page)] == ["ab", "x+y", "q", "r", "sotuv"]
+    page = "<div><p>one <svg><g><path/></g><text>no</text></svg>two</p><svg><g><p>three</p><select><option>no<div>four</div></div>"
+    assert [b.text for b in html_blocks.blocks(page)] == ["one two", "three", "four"]
+
+
 def test_html_long_blocks_are_read_whole():
     model = html_blocks.trained(pages=160, epochs=4)
     text = lambda n: "<br>".join(f"Sentence {i} has some words to read in it." for i in range(n))
