@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import tune, written
+from quarry.llm.common import cleaned, tune, written
 
 SEGMENT_TURNS, FAN = 512, 64
 #: Turns of the segments that the model is counted on, about; and what the prior below is worth, in lines of each state.
@@ -295,6 +295,13 @@ def _spread(nodes: pd.DataFrame) -> pd.DataFrame:
 def boundaries(matrices: DataFrame, fan: int = FAN) -> DataFrame:
     """conv_id, at, entry, leave: for the matrix (conv_id, at, m) of each segment, the scores that reach it from before and
     after it. No task holds more than fan matrices of a conversation at once."""
+    with cleaned(matrices.sparkSession) as keep:
+        around, path = _boundaries(matrices, fan)
+        keep.append(path)
+    return around
+
+
+def _boundaries(matrices: DataFrame, fan: int) -> tuple[DataFrame, str]:
     kind = dict(matrices.dtypes)["conv_id"]
 
     def product(nodes: pd.DataFrame) -> pd.DataFrame:
@@ -309,12 +316,13 @@ def boundaries(matrices: DataFrame, fan: int = FAN) -> DataFrame:
         levels.append(written(up, "matrices")[0])
         top //= fan
     begin = [_NEVER] * N + [0.0]
+    path = ""
     around = levels.pop().select("conv_id", F.col("at").alias("up"), F.array(*map(F.lit, begin)).alias("entry"), F.array(*([F.lit(0.0)] * (N + 1))).alias("leave"))
     while levels:
         nodes = levels.pop().withColumn("up", F.floor(F.col("at") / fan).cast("long"))
         spread = nodes.join(around, ["conv_id", "up"]).groupBy("conv_id", "up").applyInPandas(_spread, f"conv_id {kind}, at long, entry array<double>, leave array<double>")
-        around, _ = written(spread.withColumnRenamed("at", "up"), "around")
-    return around.withColumnRenamed("up", "at")
+        around, path = written(spread.withColumnRenamed("at", "up"), "around")
+    return around.withColumnRenamed("up", "at"), path
 
 
 def recovered(turns: DataFrame, model: Model | None = None) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +23,11 @@ def tune(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of its own where none is set (tests on one machine)."""
+    """The cluster's shared folder; a folder of its own where none is set and all runs on one machine (tests)."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_dir:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         set_dir = "file://" + tempfile.mkdtemp(prefix="quarry-")
         spark.sparkContext.setCheckpointDir(set_dir)
     elif not spark.sparkContext.getCheckpointDir():
@@ -35,14 +40,34 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/quarry/{name}-{uuid.uuid4().hex}"
 
 
+_temporary: list[list[str]] = []
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
     """The frame as a table of the shared folder, which cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
+    if _temporary:
+        _temporary[-1].append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextlib.contextmanager
+def cleaned(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end all tables written inside, but for those whose paths are added to the list it gives."""
+    keep: list[str] = []
+    _temporary.append([])
+    try:
+        yield keep
+    finally:
+        for path in _temporary.pop():
+            if path not in keep:
+                delete(spark, path)
+            elif _temporary:
+                _temporary[-1].append(path)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Delete a table that nothing reads any more."""
     jvm = spark.sparkContext._jvm

@@ -27,7 +27,9 @@ confirmed too, whatever the forest held. No link between different components is
 dense group is made.
 
 Nulls, empty texts and texts without words have the empty set, which is linked with nothing. Repeated rows (same
-doc_id) collapse to one row. Rows with a null doc_id are left out. Other columns are ignored.
+doc_id) collapse to one row, whose component is the smallest of its texts'. Rows with a null doc_id are left out. Other
+columns are ignored, whatever they are called. Very long texts count with all their shingles. Of documents that tie, as
+copies do, the smallest doc_id stands for all.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import checkpoint_dir, text_of, tune, written
+from quarry.llm.common import cleaned, text_of, tune, written
 
 T, TREES, NODE_ROWS, DEPTH = 128, 8, 64, 3
 #: Rows of documents in candidate pairs that may be broadcast (8 bytes each); more are joined by a shuffle.
@@ -308,10 +310,10 @@ def _pairs_of_postings(percent: int, one: bool):
     return run
 
 
-def _of_postings(prefixes: DataFrame, found: DataFrame, reps: DataFrame, percent: int, one: bool, posting_rows: int = POSTING_ROWS) -> DataFrame:
+def _of_postings(prefixes: DataFrame, found: DataFrame, reps: DataFrame, percent: int, one: bool) -> DataFrame:
     """Pairs of the prefix join between different components whose sketches do not rule them out.
 
-    A posting list of more than posting_rows members is dealt into parts: members of its largest component go to one part,
+    A posting list of more than POSTING_ROWS members is dealt into parts: members of its largest component go to one part,
     the others to all.
     """
 
@@ -327,7 +329,7 @@ def _of_postings(prefixes: DataFrame, found: DataFrame, reps: DataFrame, percent
     rows = labelled.join(lists.where("x <> y").drop("x", "y"), "token")
     # some partner that the sizes allow
     rows = rows.where(F.expr(f"{100 + percent} * rest div {percent} - n >= greatest(least, ({percent} * n + 99) div 100)"))
-    rows = rows.withColumn("main", F.col("label") == F.col("most")).withColumn("parts", F.ceil(F.col("size") / posting_rows).cast("long"))
+    rows = rows.withColumn("main", F.col("label") == F.col("most")).withColumn("parts", F.ceil(F.col("size") / POSTING_ROWS).cast("long"))
     rows = rows.withColumn("place", F.pmod(F.xxhash64("doc_id", F.lit("place")), F.col("parts")))
     rows = rows.withColumn("part", F.explode(F.when(F.col("main"), F.array("place")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))))
     rows = rows.select(F.xxhash64("token", "part").alias("cell"), "doc_id", "n", "rest", "label", "main", "place", "parts", "part")
@@ -392,10 +394,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, trees: int = TREES, node_rows: int = NODE_ROWS, depth: int = DEPTH) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each document."""
+    """doc_id, n_shingles, component_id, kept for each document, as a table of the shared folder."""
     spark = docs.sparkSession
     tune(spark)
-    checkpoint_dir(spark)
+    with cleaned(spark) as keep:
+        out, path = written(_grouped(docs, doc_id, text, words, percent, trees, node_rows, depth), "groups")
+        keep.append(path)
+    return out
+
+
+def _grouped(docs: DataFrame, doc_id: str, text: str, words: int, percent: int, trees: int, node_rows: int, depth: int) -> DataFrame:
     texts = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("t"))
     sketches, _ = written(texts.mapInArrow(_sketched(words, trees), "doc_id long, n long, d1 long, d2 long, roots array<long>, sketch binary"), "sketches")
     first = F.min(F.struct("doc_id", "roots", "sketch"))

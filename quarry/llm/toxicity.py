@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_of, tune, written
+from quarry.llm.common import cleaned, text_of, tune, written
 from quarry.llm.near_dup import shingles
 
 SAMPLE_ROWS, MIN_DOCS, MIN_Z, MIN_ODDS = 40_000, 2, 7.5, 2.0
@@ -185,8 +185,12 @@ def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Learn from labelled rows that are not held out."""
-    spark = docs.sparkSession
-    tune(spark)
+    tune(docs.sparkSession)
+    with cleaned(docs.sparkSession):
+        return _trained(docs, labels, doc_id, text, toxic, sample_rows)
+
+
+def _trained(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic: str, sample_rows: int) -> Model:
     known = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id))).groupBy(F.col(doc_id).alias("d")).agg(F.max((F.col(toxic) > 0).cast("int")).alias("y"))
     n = known.count()
     keep = min(1.0, sample_rows / max(1, n))

@@ -397,7 +397,7 @@ def test_near_duplicates_against_brute_force(sp, odd, none):
     assert near_dup.near_duplicates(odd).count() == odd.select("doc_id").distinct().count()
 
 
-def test_near_duplicates_in_a_template_family(sp):
+def test_near_duplicates_in_a_template_family(sp, monkeypatch):
     """Texts around one long passage are unlinked; the few similar pairs among them are found in a node that stays large."""
     r = random.Random(9)
     passage = [f"p{i}" for i in range(100)]
@@ -413,6 +413,29 @@ def test_near_duplicates_in_a_template_family(sp):
     assert sum(want[i] != i for i in want) == 50
     got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(frame(sp, texts), words=2, node_rows=8, depth=1).collect()}
     assert got == want
+    monkeypatch.setattr(near_dup, "POSTING_ROWS", 5)  # posting lists in parts
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(frame(sp, texts), words=2, node_rows=8, depth=1).collect()}
+    assert got == want
+
+
+def test_near_copies_with_many_edits_meet_no_partner_in_vain(sp):
+    """Copies too far from all others are pruned by what is left of both sets, not compared with each member of a group."""
+    r = random.Random(10)
+    base = [f"b{i}" for i in range(150)]
+
+    def copy(i, share):
+        return " ".join(f"e{i}x{k}" if r.random() < share else w for k, w in enumerate(base))
+
+    texts = [copy(i, 0.01 if i % 3 else 0.12) for i in range(900)]
+    sets = {i: set(zip(t.split(), t.split()[1:], strict=False)) for i, t in enumerate(texts)}
+    found = sp.createDataFrame([(i, 1) for i in range(900) if i % 3], "node long, component long")
+    full = sp.createDataFrame([(i, near_dup.shingles(t, 2).tobytes()) for i, t in enumerate(texts)], "doc_id long, s binary")
+    prefixes = near_dup._prefixes(full, full.select("doc_id"), 80)
+    reps = sp.createDataFrame([(i, np.zeros(near_dup.T, np.uint16).tobytes()) for i in range(900)], "doc_id long, sketch binary")
+    pairs = {(x.a, x.b) for x in near_dup._of_postings(prefixes, found, reps, 80, False).collect()}
+    label = lambda i: 1 if i % 3 else i
+    true = {(a, b) for a in range(900) for b in range(a + 1, 900) if label(a) != label(b) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert true <= pairs and len(pairs) < 0.1 * 300 * 600 + len(true)
 
 
 def test_near_duplicates_keep_their_recall_in_deep_nodes(sp):
