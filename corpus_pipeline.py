@@ -4,6 +4,10 @@ toxicity rejects documents; near_duplicates keeps the smallest doc_id of each gr
 passages out and drops documents that consist of them; secrets are masked; packing deals the token ids of what is left
 into sequences. SQL cannot express the classifier and the tokenizer, so ORACLE_SQL is None and the tests hold the
 stages against brute force.
+
+Each stage keeps all columns of documents, and others whatever they are called; null and empty texts pass through all
+stages (they are neither toxic nor copies), very long texts are read whole, and empty tables stay empty. Of documents
+that tie as copies the smallest doc_id stays.
 """
 
 from __future__ import annotations
@@ -24,15 +28,18 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without doc_id stay; of rows that repeat a doc_id one stays."""
-    groups, _ = written(near_duplicates(docs, words=5, percent=80), "groups")
+    """Documents without doc_id stay; of rows that repeat a doc_id and its text one stays, that with the smallest values in
+    the other columns."""
+    groups = near_duplicates(docs, words=5, percent=80)
     gone = groups.where(~F.col("kept")).select("doc_id")
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
     left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     if docs.where(F.col("doc_id").isNotNull()).count() > groups.count():
-        named = left.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-        left = named.unionByName(left.where(F.col("doc_id").isNull()))
+        rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+        once = left.where(F.col("doc_id").isNotNull()).groupBy("doc_id", "text").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in rest))).alias("rest"))
+        once = once.select(*(F.col(c) if c in ("doc_id", "text") else F.col("rest")[c].alias(c) for c in docs.columns))
+        left = once.unionByName(left.where(F.col("doc_id").isNull()))
     return left
 
 
