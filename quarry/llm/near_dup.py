@@ -256,7 +256,7 @@ def _prefixes(full: DataFrame, deep: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), i)), pa.array(np.full(len(t), len(t))), pa.array(t)], ["doc_id", "n", "token"])
 
     rows = full.join(deep, "doc_id", "left_semi").mapInArrow(tokens, "doc_id long, n long, token long")
-    counted = rows.join(rows.groupBy("token").agg(F.count("*").alias("df")), "token")
+    counted = rows.withColumn("df", F.count("*").over(Window.partitionBy("token")))
     ranked = counted.withColumn("rest", F.col("n") + 1 - F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "token")))
     return ranked.where((100 * F.col("rest") >= percent * F.col("n")) & (F.col("df") > 1)).select("token", "doc_id", "n", "rest")
 
@@ -325,8 +325,10 @@ def _of_postings(prefixes: DataFrame, found: DataFrame, reps: DataFrame, percent
     sizes = found.groupBy(F.col("component").alias("label")).agg(F.count("*").alias("weight"))
     labelled = prefixes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     labelled = labelled.select("token", "doc_id", "n", "rest", F.coalesce("component", "doc_id").alias("label")).join(sizes, "label", "left")
-    lists = labelled.groupBy("token").agg(F.count("*").alias("size"), F.min("n").alias("least"), F.max(F.struct(F.coalesce("weight", F.lit(1)).alias("weight"), "label"))["label"].alias("most"), F.min("label").alias("x"), F.max("label").alias("y"))
-    rows = labelled.join(lists.where("x <> y").drop("x", "y"), "token")
+    own = Window.partitionBy("token")
+    largest = F.max(F.struct(F.coalesce("weight", F.lit(1)).alias("weight"), "label")).over(own)
+    rows = labelled.withColumns({"size": F.count("*").over(own), "least": F.min("n").over(own), "most": largest["label"], "x": F.min("label").over(own), "y": F.max("label").over(own)})
+    rows = rows.where("x <> y").drop("x", "y")
     # some partner that the sizes allow
     rows = rows.where(F.expr(f"{100 + percent} * rest div {percent} - n >= greatest(least, ({percent} * n + 99) div 100)"))
     rows = rows.withColumn("main", F.col("label") == F.col("most")).withColumn("parts", F.ceil(F.col("size") / POSTING_ROWS).cast("long"))
