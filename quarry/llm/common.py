@@ -6,7 +6,7 @@ import contextlib
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +75,40 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_caches: dict[str, Callable[[], None]] = {}
+_owner = ""
+
+
+def keeps(owner: str, clear: Callable[[], None]) -> None:
+    """Tell how to clear what a module's functions keep in a worker from task to task."""
+    _caches[owner] = clear
+
+
+def lean(run: Callable, owner: str) -> Callable:
+    """The function for mapInArrow, in workers that serve many stages: it clears what other modules keep, and gives free
+    memory back to the system at the end of a task."""
+
+    def wrapped(batches):
+        global _owner
+        if _owner != owner:
+            _owner = owner
+            for name, clear in _caches.items():
+                if name != owner:
+                    clear()
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow
+
+            pyarrow.default_memory_pool().release_unused()
+            with contextlib.suppress(AttributeError, OSError):  # not every system's library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

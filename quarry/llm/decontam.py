@@ -18,13 +18,15 @@ whatever repeats in the items.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_of, tune, written
+from quarry.llm.common import lean, text_of, tune, written
 
 WINDOW = 10
 #: Characters of items in one automaton. An automaton takes about 100 times this in a worker; more items make more
@@ -199,24 +201,16 @@ def _scanned(docs: DataFrame, automaton: Automaton, keep: list[str], text_at: st
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "n_words long, spans array<long>, items array<string>"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run, __name__), schema)
 
 
-def _scan_all(docs: DataFrame, items: DataFrame, keep: list[str], item_id: str, item_text: str, window: int, item_chars: int) -> DataFrame:
-    """docs has the columns keep and t. With several automata the results of each row meet again under a row number."""
+def _scan_many(docs: DataFrame, scans: Iterator[Automaton], keep: list[str]) -> DataFrame:
+    """keep..., n_words, spans, items: docs (keep..., t) through several automata; the results of each row meet again under a
+    row number."""
+    rows, _ = written(docs.withColumn("row", F.monotonically_increasing_id()), "decontam-docs")
     found = None
-    scans = automata(items, item_id, item_text, window, item_chars)
-    first = next(scans)
-    second = next(scans, None)
-    if second is None:
-        return _scanned(docs, first, keep, "t")
-    rows, path = written(docs.withColumn("row", F.monotonically_increasing_id()), "decontam-docs")
-    k, parts = 0, []
-    while first is not None:
-        part, _ = written(_scanned(rows, first, ["row"], "t"), f"decontam-{k}")
-        parts.append(part)
-        first, second, k = second, next(scans, None), k + 1
-    for part in parts:
+    for k, automaton in enumerate(scans):
+        part, _ = written(_scanned(rows, automaton, ["row"], "t"), f"decontam-{k}")
         found = part if found is None else found.unionByName(part)
     merged = found.groupBy("row").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("many"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
@@ -225,14 +219,20 @@ def _scan_all(docs: DataFrame, items: DataFrame, keep: list[str], item_id: str,
             joined = [[x for p in _merged([p for s in many for p in zip(s[::2], s[1::2], strict=True)]) for x in p] for many in b.column("many").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("n_words"), pa.array(joined, pa.list_(pa.int64())), b.column("items")], ["row", "n_words", "spans", "items"])
 
-    merged = merged.mapInArrow(join_spans, "row long, n_words long, spans array<long>, items array<string>")
+    merged = merged.mapInArrow(lean(join_spans, __name__), "row long, n_words long, spans array<long>, items array<string>")
     return rows.join(merged, "row").select(*keep, "n_words", "spans", "items")
 
 
 def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, item_chars: int = ITEM_CHARS) -> DataFrame:
     """doc_id, n_words, spans (begin, end, begin, end ... of hit words), items (sorted ids) for each document."""
     tune(docs.sparkSession)
-    return _scan_all(docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("t")), items, ["doc_id"], item_id, item_text, window, item_chars)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("t"))
+    scans = automata(items, item_id, item_text, window, item_chars)
+    first = next(scans)
+    second = next(scans, None)
+    if second is None:
+        return _scanned(rows, first, ["doc_id"], "t")
+    return _scan_many(rows, itertools.chain([first, second], scans), ["doc_id"])
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -264,33 +264,50 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", n_chars
     names, kinds = docs.columns, dict(docs.dtypes)
     inner = [f"c{i}" for i in range(len(names))]
     flat = docs.select(*(F.col(f"`{n}`").alias(i) for n, i in zip(names, inner, strict=True)), text_of(f"`{text}`").alias("t"))
-    found = _scan_all(flat, items, inner, item_id, item_text, window, item_chars)
     at_text = inner[names.index(text)]
     at_chars = inner[names.index(n_chars)] if n_chars in names else None
 
-    def run(batches):
-        for b in batches:
-            spans, n = b.column("spans").to_pylist(), b.column("n_words").to_pylist()
-            hit = [i for i, x in enumerate(spans) if x]
-            out = b.select(inner)
-            if hit:
-                texts, gone = b.column(at_text).to_pylist(), set()
-                for i in hit:
-                    if sum(spans[i][1::2]) - sum(spans[i][::2]) > drop_coverage * n[i]:
-                        gone.add(i)
-                    else:
-                        texts[i] = cut(texts[i], spans[i], max_span, max_coverage)
-                out = out.set_column(inner.index(at_text), at_text, pa.array(texts, out.schema.field(at_text).type))
-                if at_chars:
-                    sizes = b.column(at_chars).to_pylist()
-                    for i in hit:
-                        sizes[i] = len(texts[i])
-                    out = out.set_column(inner.index(at_chars), at_chars, pa.array(sizes, out.schema.field(at_chars).type))
-                out = out.filter(pa.array([i not in gone for i in range(out.num_rows)], pa.bool_()))
-            yield out
+    def shortened(b: pa.RecordBatch, spans: list[list[int]], n: list[int]) -> pa.RecordBatch:
+        """The columns of a batch, changed in the rows that have spans only."""
+        hit = [i for i, x in enumerate(spans) if x]
+        out = b.select(inner)
+        if not hit:
+            return out
+        texts, gone = b.column(at_text).to_pylist(), set()
+        for i in hit:
+            if sum(spans[i][1::2]) - sum(spans[i][::2]) > drop_coverage * n[i]:
+                gone.add(i)
+            else:
+                texts[i] = cut(texts[i], spans[i], max_span, max_coverage)
+        out = out.set_column(inner.index(at_text), at_text, pa.array(texts, out.schema.field(at_text).type))
+        if at_chars:
+            sizes = b.column(at_chars).to_pylist()
+            for i in hit:
+                sizes[i] = len(texts[i])
+            out = out.set_column(inner.index(at_chars), at_chars, pa.array(sizes, out.schema.field(at_chars).type))
+        return out.filter(pa.array([i not in gone for i in range(out.num_rows)], pa.bool_()))
 
     schema = ", ".join(f"{i} {kinds[n]}" for n, i in zip(names, inner, strict=True))
-    return found.mapInArrow(run, schema).toDF(*names)
+    scans = automata(items, item_id, item_text, window, item_chars)
+    first = next(scans)
+    second = next(scans, None)
+    if second is None:  # one automaton: a single pass scans and cuts
+        shared = docs.sparkSession.sparkContext.broadcast(first)
+
+        def run(batches):
+            for b in batches:
+                found = [words(t) for t in b.column("t").to_pylist()]
+                spans = [[x for p in shared.value.scan(f)[0] for x in p] for f in found]
+                yield shortened(b, spans, [len(f) for f in found])
+
+        return flat.mapInArrow(lean(run, __name__), schema).toDF(*names)
+
+    def cut_found(batches):
+        for b in batches:
+            yield shortened(b, b.column("spans").to_pylist(), b.column("n_words").to_pylist())
+
+    found = _scan_many(flat, itertools.chain([first, second], scans), inner)
+    return found.mapInArrow(lean(cut_found, __name__), schema).toDF(*names)
 
 
 def brute_force(text: str | None, items: list[tuple[str, str | None]], window: int = WINDOW) -> tuple[int, int, list[str]]:

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cleaned, text_of, tune, written
+from quarry.llm.common import cleaned, keeps, lean, text_of, tune, written
 
 T, TREES, NODE_ROWS, DEPTH = 128, 8, 64, 3
 #: Rows of documents in candidate pairs that may be broadcast (8 bytes each); more are joined by a shuffle.
@@ -54,6 +54,7 @@ WORDS = re.compile("[^\x20\x09-\x0d]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _WORD_CACHE = 200_000
 _cache: dict[str, int] = {}
+keeps(__name__, _cache.clear)
 _rng = np.random.default_rng(20240229)
 _SALT = _rng.integers(0, 1 << 63, T, np.uint64)
 #: Odd factors of 64 bits, so that products wrap: shorter ones would keep the order of the hashes.
@@ -212,7 +213,7 @@ def _pairs_of_cells(least: float, forest: bool):
 def _in_cells(cells: DataFrame, reps: DataFrame, threshold: float, forest: bool) -> DataFrame:
     """a, b, dense of the cells (cell, doc_id, label)."""
     full = cells.join(reps.select("doc_id", "n", "sketch"), "doc_id").select("cell", "doc_id", "n", "label", "sketch")
-    return full.repartition("cell").sortWithinPartitions("cell", "doc_id").mapInArrow(_pairs_of_cells(threshold, forest), "a long, b long, dense boolean")
+    return full.repartition("cell").sortWithinPartitions("cell", "doc_id").mapInArrow(lean(_pairs_of_cells(threshold, forest), __name__), "a long, b long, dense boolean")
 
 
 def _cells(reps: DataFrame, node_rows: int, depth: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
@@ -255,7 +256,7 @@ def _prefixes(full: DataFrame, deep: DataFrame, percent: int) -> DataFrame:
                 t = np.frombuffer(x.as_py(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(t), i)), pa.array(np.full(len(t), len(t))), pa.array(t)], ["doc_id", "n", "token"])
 
-    rows = full.join(deep, "doc_id", "left_semi").mapInArrow(tokens, "doc_id long, n long, token long")
+    rows = full.join(deep, "doc_id", "left_semi").mapInArrow(lean(tokens, __name__), "doc_id long, n long, token long")
     counted = rows.withColumn("df", F.count("*").over(Window.partitionBy("token")))
     ranked = counted.withColumn("rest", F.col("n") + 1 - F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "token")))
     return ranked.where((100 * F.col("rest") >= percent * F.col("n")) & (F.col("df") > 1)).select("token", "doc_id", "n", "rest")
@@ -335,9 +336,9 @@ def _of_postings(prefixes: DataFrame, found: DataFrame, reps: DataFrame, percent
     rows = rows.withColumn("place", F.pmod(F.xxhash64("doc_id", F.lit("place")), F.col("parts")))
     rows = rows.withColumn("part", F.explode(F.when(F.col("main"), F.array("place")).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))))
     rows = rows.select(F.xxhash64("token", "part").alias("cell"), "doc_id", "n", "rest", "label", "main", "place", "parts", "part")
-    pairs = rows.repartition("cell").sortWithinPartitions("cell", "n").mapInArrow(_pairs_of_postings(percent, one), "a long, b long").distinct()
+    pairs = rows.repartition("cell").sortWithinPartitions("cell", "n").mapInArrow(lean(_pairs_of_postings(percent, one), __name__), "a long, b long").distinct()
     sketch = lambda i, s: reps.select(F.col("doc_id").alias(i), F.col("sketch").alias(s))
-    return pairs.join(sketch("a", "x"), "a").join(sketch("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(alike, "a long, b long")
+    return pairs.join(sketch("a", "x"), "a").join(sketch("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(lean(alike, __name__), "a long, b long")
 
 
 def _full_sets(texts: DataFrame, ends: DataFrame, words: int) -> DataFrame:
@@ -350,7 +351,7 @@ def _full_sets(texts: DataFrame, ends: DataFrame, words: int) -> DataFrame:
     ends, _ = written(ends.distinct(), "ends")
     if ends.count() <= BROADCAST_ROWS:
         ends = F.broadcast(ends)
-    return written(texts.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(sets, "doc_id long, s binary"), "sets", "none")[0]
+    return written(texts.join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(lean(sets, __name__), "doc_id long, s binary"), "sets", "none")[0]
 
 
 def _confirmed(full: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -367,7 +368,7 @@ def _confirmed(full: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
     left = pairs.join(full.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a")
     both = left.join(full.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(lean(test, __name__), "a long, b long")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -407,7 +408,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def _grouped(docs: DataFrame, doc_id: str, text: str, words: int, percent: int, trees: int, node_rows: int, depth: int) -> DataFrame:
     texts = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("t"))
-    sketches, _ = written(texts.mapInArrow(_sketched(words, trees), "doc_id long, n long, d1 long, d2 long, roots array<long>, sketch binary"), "sketches")
+    sketches, _ = written(texts.mapInArrow(lean(_sketched(words, trees), __name__), "doc_id long, n long, d1 long, d2 long, roots array<long>, sketch binary"), "sketches")
     first = F.min(F.struct("doc_id", "roots", "sketch"))
     classes, _ = written(sketches.where("n > 0").groupBy("d1", "d2", "n").agg(first.alias("rep"), F.count("*").alias("copies")), "classes")
     reps = classes.select("rep.doc_id", "n", "rep.roots", "rep.sketch")

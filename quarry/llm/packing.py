@@ -23,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import text_of, tune
-from quarry.llm.tokens import sliced, tokenizer
+from quarry.llm.common import keeps, lean, text_of, tune
+from quarry.llm.tokens import forget, sliced, tokenizer
 
+keeps(__name__, forget)
 MAX_TOKENS, MAX_SEGMENTS, POOL = 1024, 64, 256
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 _FIELDS = [f.split()[0] for f in _SCHEMA.split(", ")]
@@ -179,4 +180,4 @@ def pack(docs: DataFrame, tokenizer_path: str, mode: str = "spaced", end_id: int
             yield flushed()
 
     bear = F.col(f"`{loss}`").cast("long") if loss else F.lit(None).cast("long")
-    return docs.select(F.col(doc_id).cast("long").alias("d"), text_of(text).alias("t"), bear.alias("l")).mapInArrow(run, _SCHEMA)
+    return docs.select(F.col(doc_id).cast("long").alias("d"), text_of(text).alias("t"), bear.alias("l")).mapInArrow(lean(run, __name__), _SCHEMA)

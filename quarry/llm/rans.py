@@ -21,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import delete, text_of, tune, written
-from quarry.llm.tokens import sliced, tokenizer
+from quarry.llm.common import delete, keeps, lean, text_of, tune, written
+from quarry.llm.tokens import forget, sliced, tokenizer
 
+keeps(__name__, forget)
 MAGIC, VERSION = b"QRNS", 1
 LANES, CHECKPOINT_STEPS, BLOCK_IDS = 2048, 64, 1 << 18
 #: A file is closed at the end of the document that fills so many ids.
@@ -192,7 +193,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, mode: str = "words", end_id:
     tune(spark)
     run, schema = _tokenised(tokenizer_path, mode, end_id, file_ids)
     ranged = docs.select(F.col(doc_id).cast("long").alias("d"), text_of(text).alias("t")).repartitionByRange("d").sortWithinPartitions("d")
-    ids, ids_path = written(ranged.mapInArrow(run, schema), "ids")
+    ids, ids_path = written(ranged.mapInArrow(lean(run, __name__), schema), "ids")
     counts = ids.select(F.explode(F.arrays_zip("seen", "n")).alias("c")).groupBy(F.col("c.seen").alias("id")).agg(F.sum("c.n").alias("n")).toPandas()
     table = Frequencies(counts["id"].to_numpy(np.int64), counts["n"].to_numpy(np.int64))
     sums = ids.groupBy("part").agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n")).collect()
@@ -208,7 +209,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, mode: str = "words", end_id:
                 data = encode_file(_raw(one.column(4)[0].as_py()), shared.value)
                 yield pa.RecordBatch.from_arrays([*one.columns[:4], pa.array([data], pa.binary())], ["part", "before", "docs", "lens", "data"])
 
-    files, path = written(ids.drop("seen", "n").mapInArrow(encode, "part int, before bigint, docs array<bigint>, lens array<bigint>, data binary"), "rans", "none")
+    files, path = written(ids.drop("seen", "n").mapInArrow(lean(encode, __name__), "part int, before bigint, docs array<bigint>, lens array<bigint>, data binary"), "rans", "none")
     delete(spark, ids_path)
     return EncodedCorpus(files, shared, starts, path)
 
@@ -237,4 +238,4 @@ def read_digests(corpus: EncodedCorpus) -> DataFrame:
                     raise ValueError("a file has fewer ids than its documents")
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(start + ends - lens, pa.int64()), pa.array(lens, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return corpus.files.select("part", "before", "docs", "lens", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return corpus.files.select("part", "before", "docs", "lens", "data").mapInArrow(lean(decode, __name__), "doc_id long, start long, n_tokens long, ids_crc32 long")

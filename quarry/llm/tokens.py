@@ -13,7 +13,7 @@ import re
 from array import array
 
 #: Pieces a worker keeps before it starts anew; about 200 bytes each.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
 #: Letters whose normal form is themselves and whose lower case is one letter: Latin and Cyrillic. A text with any
 #: other sign beyond ASCII is left to the tokenizer.
 _SMALL, _LARGE = "a-zß-öø-ÿа-џ", "A-ZÀ-ÖØ-ÞЀ-Я"
@@ -39,6 +39,13 @@ _BYTE_LETTERS = _byte_letters()
 _workers: dict[tuple[str, str], CachedTokenizer] = {}
 
 
+def forget() -> None:
+    """Clear what the tokenizers of this process have learned."""
+    for t in _workers.values():
+        for cache in (t.parts, t.first, t.later):
+            cache.clear()
+
+
 class _Pieces(dict):
     """Ids by piece; a piece that is missing is learned."""
 

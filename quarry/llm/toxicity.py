@@ -29,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import cleaned, text_of, tune, written
+from quarry.llm.common import cleaned, lean, text_of, tune, written
 from quarry.llm.near_dup import shingles
 
 SAMPLE_ROWS, MIN_DOCS, MIN_Z, MIN_ODDS = 40_000, 2, 7.5, 2.0
 #: Tokens that the prior is worth, score of a word that says nothing, greatest score of a word.
 PRIOR, NEUTRAL, MOST = 2000.0, -0.15, 8.0
 PREFIXES = (8, 7, 6, 5, 4)
+#: Features that a task counts before it hands the counts on.
+COUNTED = 100_000
 #: A segment counts as significant below this probability.
 SIGNIFICANT, THRESHOLD = 0.05, 0.3
 _WORD = re.compile(r"\w+")
@@ -163,7 +165,7 @@ def _counted(batches):
                     own[f] += k
             n[y].update(own)
             d.update(own.keys())
-        if len(d) > 300_000:
+        if len(d) > COUNTED:
             yield rows()
     yield rows()
 
@@ -196,7 +198,7 @@ def _trained(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic:
     keep = min(1.0, sample_rows / max(1, n))
     known = known.where(F.pmod(F.xxhash64("d", F.lit("sample")), F.lit(1_000_000)) < int(keep * 1_000_000)) if keep < 1 else known
     rows = docs.select(F.col(doc_id).alias("d"), text_of(text).alias("t")).join(F.broadcast(known), "d")  # at most about sample_rows ids
-    keyed = rows.select("d", "t", "y").mapInArrow(_keyed, f"d {dict(rows.dtypes)['d']}, t string, y int, h3 long, h4 long")
+    keyed = rows.select("d", "t", "y").mapInArrow(lean(_keyed, __name__), f"d {dict(rows.dtypes)['d']}, t string, y int, h3 long, h4 long")
     # near copies would make a text's rare words look toxic
     once = keyed.groupBy("h3", "y").agg(F.min(F.struct("d", "t", "h4")).alias("m")).groupBy("m.h4", "y").agg(F.min(F.struct("m.d", "m.t")).alias("m"))
     sample, _ = written(once.select("m.d", "m.t", "y"), "toxicity-sample")
@@ -204,7 +206,7 @@ def _trained(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic:
     if not sizes.get(1) or not sizes.get(0):
         rate = (sizes.get(1, 0) + 0.5) / (sum(sizes.values()) + 1 + 9 * (not sizes))
         return Model({}, curve=(math.log(rate / (1 - rate)), 0.0, 0.0))
-    counts = sample.mapInArrow(_counted, "f string, n1 long, n0 long, d long").groupBy("f").agg(*(F.sum(c).cast("double").alias(c) for c in ("n1", "n0", "d")))
+    counts = sample.mapInArrow(lean(_counted, __name__), "f string, n1 long, n0 long, d long").groupBy("f").agg(*(F.sum(c).cast("double").alias(c) for c in ("n1", "n0", "d")))
     counts, _ = written(counts.where(F.col("d") >= MIN_DOCS), "toxicity-counts")
     c1, c0 = (max(1.0, x or 0.0) for x in counts.where("f not like '%:%'").agg(F.sum("n1"), F.sum("n0")).collect()[0])
     both = F.col("n1") + F.col("n0")
@@ -226,7 +228,7 @@ def _trained(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic:
                 length.append(len(s))
             yield pa.RecordBatch.from_arrays([pa.array(hist, pa.list_(pa.float64())), pa.array(top, pa.float64()), pa.array(length, pa.int64())], ["hist", "top", "n"])
 
-    clean = sample.where("y = 0").mapInArrow(seen, "hist array<double>, top double, n long")
+    clean = sample.where("y = 0").mapInArrow(lean(seen, __name__), "hist array<double>, top double, n long")
     pairs = clean.select(F.explode(F.transform(F.filter(F.sequence(F.lit(0), F.size("hist")), lambda i: (i % 2 == 0) & (i < F.size("hist"))), lambda i: F.struct(F.get("hist", i).alias("v"), F.get("hist", i + 1).alias("k")))).alias("p"))
     hist = {r.v: r.k for r in pairs.groupBy("p.v").agg(F.sum("p.k").alias("k")).collect()}
     tops = clean.where("n > 0").select("top", "n").toPandas()  # sample_rows at most
@@ -247,7 +249,7 @@ def _trained(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, toxic:
             s = [model.summary(model.found(t)[0]) for t in b.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in s], pa.float64()), pa.array([x for _, x in s], pa.float64()), b.column("y")], ["a", "b", "y"])
 
-    table = sample.select("t", "y").mapInArrow(summed, "a double, b double, y int").toPandas().sort_values(["a", "b", "y"])
+    table = sample.select("t", "y").mapInArrow(lean(summed, __name__), "a double, b double, y int").toPandas().sort_values(["a", "b", "y"])
     model.curve = _fit(table[["a", "b"]].to_numpy(), table["y"].to_numpy(float))
     return model
 
@@ -269,7 +271,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             else:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.score(t) for t in texts], pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col(doc_id), text_of(text)).mapInArrow(run, f"doc_id {kind}, score double" + (", passages array<struct<begin: long, end: long, score: double, p: double>>" if passages else ""))
+    return docs.select(F.col(doc_id), text_of(text)).mapInArrow(lean(run, __name__), f"doc_id {kind}, score double" + (", passages array<struct<begin: long, end: long, score: double, p: double>>" if passages else ""))
 
 
 def digests(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -287,4 +289,4 @@ def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold:
         for b in batches:
             yield b.filter(pa.array([m.score(t) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run, __name__), docs.schema)
