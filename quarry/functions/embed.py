@@ -12,7 +12,6 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 DIM = 384
 _WORD = re.compile(r"\w+")
@@ -76,11 +75,3 @@ def embedded(files: DataFrame, text: str, embedder=None, column: str = "embeddin
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(v), pa.list_(pa.float32()))], [*names, column])
 
     return files.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema), f"{column} array<float>"]))
-
-
-def embedding_text(content, description=None, names=None, limit: int = 8000):
-    """What is embedded of a file: description, the first 6000 letters of the content, its names thrice."""
-    head = F.coalesce(F.concat(F.lit("Description: "), description, F.lit("\n\n")), F.lit("")) if description is not None else F.lit("")
-    parts = [F.substring(F.coalesce(content, F.lit("")), 1, 6000)]
-    parts += [F.concat_ws(" ", names, names, names)] if names is not None else []
-    return F.substring(F.concat(head, F.concat_ws(" ", *parts)), 1, limit)

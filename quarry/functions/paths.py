@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,7 +91,22 @@ def short_name(name: Column) -> Column:
 
 def excluded(path: Column, names: list[str], prefixes: list[str]) -> Column:
     """Whether the path lies in a folder of these names or below one of these prefixes."""
-    out = F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, names))) if names else F.lit(False)
+    folders = F.split(path, "/")
+    out = F.arrays_overlap(F.slice(folders, 1, F.size(folders) - 1), F.array(*map(F.lit, names))) if names else F.lit(False)
     for p in prefixes:
-        out = out | path.startswith(p)
+        out = out | path.startswith(p.rstrip("/") + "/")
     return out
+
+
+def class_candidates(fqcn: str) -> list[str]:
+    """Paths where a class of three segments or more is looked for first; the vendor's part of a module is in kebab case."""
+    parts = fqcn.replace("\\\\", "\\").split("\\")
+    if len(parts) < 3:
+        return []
+    vendor, module = parts[0].lower(), re.sub("^-", "", re.sub("([A-Z])", r"-\1", parts[1]).lower())
+    return [f"vendor/{vendor}/{'/'.join(parts[1:])}.php", f"vendor/{vendor}/{module}/{'/'.join(parts[2:])}.php", f"app/code/{'/'.join(parts)}.php"]
+
+
+def is_version(text: Column) -> Column:
+    """Three numbers with points, and a suffix of letters, digits, points and dashes or none."""
+    return text.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+(?:-[0-9A-Za-z.-]+)?$")

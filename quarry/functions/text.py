@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column
@@ -61,15 +62,23 @@ def query_terms(query: str) -> list[str]:
     return [t for t in re.split(r"[\s_\\]+", query.lower()) if len(t) > 2]
 
 
+def _is(word: str):
+    return lambda x: x == word
+
+
 def bm25(text: Column, terms: list[str]) -> Column:
     """Sum of saturated term frequencies, without document frequencies, against a fixed average length."""
-    w = words(text)
-    norm = F.lit(K1) * (1 - B + B * F.size(w) / AVERAGE_LENGTH)
-    out = F.lit(0.0)
-    for t in terms:
-        tf = (F.size(w) - F.size(F.array_remove(w, t))).cast("double")
-        out = out + tf * (K1 + 1) / (tf + norm)
-    return out
+
+    def weight(w: Column) -> Column:
+        norm = F.lit(K1) * (1 - B + B * F.size(w) / AVERAGE_LENGTH)
+        out = F.lit(0.0)
+        for t in terms:
+            tf = F.size(F.filter(w, _is(t))).cast("double")
+            out = out + tf * (K1 + 1) / (tf + norm)
+        return out
+
+    # only words that count are kept apart; the array is made once, however many terms there are
+    return F.get(F.transform(F.array(words(text)), weight), 0)
 
 
 def brace_expand(pattern: str) -> list[str]:
@@ -77,11 +86,30 @@ def brace_expand(pattern: str) -> list[str]:
     m = re.search(r"\{([^{}]*)\}", pattern)
     if not m:
         return [pattern]
-    return [x for part in m[1].split(",") for x in brace_expand(pattern[: m.start()] + part + pattern[m.end() :])]
+    return [x for part in m[1].split(",") for x in brace_expand(pattern[: m.start()] + part.strip() + pattern[m.end() :])]
+
+
+def last_json(output: str):
+    """The last line of a program's output that is JSON; else what is left without log lines. ValueError without any."""
+    rows = output.split("\n")
+    for row in reversed(rows):
+        try:
+            if row.strip():
+                return json.loads(row)
+        except ValueError:
+            continue
+    log = re.compile(r"^\s*(?:\x1b\[|\[[\d\-T:.Z]+)")
+    first = next((i for i, r in enumerate(rows) if r.strip() and not log.match(r) and re.match(r'\s*[\[{"\-0-9tfn]', r)), 0)
+    return json.loads("\n".join(r for r in rows[first:] if r.strip() and not log.match(r)))
+
+
+def pascal(name: Column) -> Column:
+    """snake_case to PascalCase; letters behind the first of each part stay as they are."""
+    return F.array_join(F.transform(F.split(name, "_"), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1_000_000))), "")
 
 
 def glob_regex(include: str) -> str:
-    """An anchored, case-insensitive regex for a glob with braces; commas outside of braces separate globs."""
+    """An anchored, case-insensitive regex for a glob of names with braces; commas outside of braces separate globs."""
     parts = re.split(r",(?![^{}]*\})", include)
     globs = [g.strip() for p in parts for g in brace_expand(p) if g.strip()]
     one = lambda g: "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in g)

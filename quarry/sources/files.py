@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.paths import excluded
+from quarry.functions.text import brace_expand
 
 EXTENSIONS = ("php", "xml", "phtml", "js", "graphqls")
 MAX_BYTES = 100_000
 #: Folders and prefixes that are not scanned.
-EXCLUDED_NAMES = ("node_modules", ".git", "generated", "var", "pub", "setup", "dev", "test", "tests", "Test", ".idea")
-EXCLUDED_PREFIXES = ("lib/web/", "vendor/bin/", "vendor/composer/", "update/")
+EXCLUDED_NAMES = ("node_modules", ".git", "var", "generated", "Test", "Tests", "test", "tests", "_files", "fixtures", "performance-toolkit")
+EXCLUDED_PREFIXES = ("vendor/bin", "pub/static", "dev/tests", "dev/tools")
 
 
 def ignore_patterns(lines: list[str]) -> list[str]:
@@ -38,6 +39,24 @@ def scan(spark: SparkSession, root: str, ignore: list[str] = [], names: tuple[st
     return rows.where(~excluded(F.col("path"), list(names), list(prefixes)) & ~ignored(F.col("path"), ignore))
 
 
+def globbed(files: DataFrame, *globs: str) -> DataFrame:
+    """Files of a tree whose path fits one of some globs: "**/" is any number of folders, "*" and "?" stay inside a name."""
+
+    def regex(glob: str) -> str:
+        out, i = "", 0
+        while i < len(glob):
+            if glob.startswith("**/", i):
+                out, i = out + "(?:[^/]+/)*", i + 3
+            elif glob[i] == "*":
+                out, i = out + "[^/]*", i + 1
+            else:
+                out, i = out + ("[^/]" if glob[i] == "?" else re.escape(glob[i])), i + 1
+        return out
+
+    every = [x for g in globs for x in brace_expand(g)]
+    return files.where(F.col("path").rlike("^(?:" + "|".join(map(regex, every)) + ")$"))
+
+
 def _quoted(text: str) -> str:
     return "\\Q" + text + "\\E"
 
