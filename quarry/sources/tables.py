@@ -16,11 +16,16 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", path.alias("path"), F.coalesce("text", F.lit("")).alias("content"), F.col("n_chars").alias("size"))
 
 
-def vector_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, path, search_text, component_type, embedding, label: vectors with the metadata of their documents."""
-    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, embedding."""
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, path, search_text, component_type: what is known of each vector, from its document."""
+    kinds = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("label_"), F.col("label").cast("string")).alias("component_type"))
     docs = corpus(spark, sf_dir).select(F.col("doc_id").alias("id"), "path", F.col("content").alias("search_text"))
-    return vectors.join(docs, "id").select("id", "path", "search_text", F.concat(F.lit("label_"), F.col("label").cast("string")).alias("component_type"), "embedding", "label")
+    return docs.join(kinds, "id").select("id", "path", "search_text", "component_type")
 
 
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
