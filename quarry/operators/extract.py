@@ -6,14 +6,26 @@ any order inside a tag.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.paths import di_area
-
-#: Words before which a table name stands, and words that are no table names.
-SQL_NAME = r"(?i)(?:from|join|into|update|getTableName\(|getTable\()\s*['\"`(]*\s*['\"`]?([a-z_][a-z0-9_]{2,})"
-SQL_STOP = ("select", "where", "set", "values", "the", "and", "this", "table", "null", "order", "group", "array", "column", "index", "key")
+from quarry.functions.paths import di_area, short_name
+
+#: Strings that hold SQL, the table names in them, names given to getTable(), and words that are no tables.
+SQL_TEXTS = (r"(?s)Zend_Db_Expr\s*\(\s*'(.*?)'", r"(?s)->query\s*\(\s*['\"](.+?)['\"]")
+SQL_NAME = r"(?i)\b(?:from|into|update|join|table)\s+`?(\w+)`?"
+GET_TABLE = r"getTable(?:Name)?\s*\(\s*['\"](\w+)['\"]"
+SQL_STOP = tuple("as set where and or not null true false select insert update delete from into values group order having limit offset on inner left right outer cross join if then else end when case new old main_table related".split())
+#: Tables and triggers of set-up scripts.
+NEW_TABLE = r"newTable\s*\(\s*(?:\$\w+->getTable\s*\(\s*)?['\"](\w+)['\"]"
+SETUP_TABLE = r"getTable\s*\(\s*['\"](\w+)['\"]"
+STATEMENT, STATEMENT_STOP = r"(?s)addStatement\s*\(\s*'(.*?)'", ("as", "set", "where")
+TRIGGER_START = r"riggerFactory[^\n]*create\(\)"
+TRIGGER_NAME, TRIGGER_TABLE = r"setName\s*\(\s*['\"]([^'\"]+)['\"]", r"setTable\s*\(\s*(?:\$(\w+)|['\"]([^'\"]+)['\"])"
+TRIGGER_EVENT, TRIGGER_TIME = r"setEvent\s*\([^)]*EVENT_(\w+)", r"setTime\s*\([^)]*TIME_(\w+)"
+DROP_TRIGGER = r"dropTrigger\s*\(\s*['\"]([^'\"]+)['\"]"
 #: Error types in the order in which they are tried, with the words that show them.
 ERRORS = (
     ("missing_preference", r"(?i)cannot instantiate interface\s+([\w\\]+)"),
@@ -72,11 +84,18 @@ def virtual_types(files: DataFrame) -> DataFrame:
 
 
 def di_arguments(files: DataFrame) -> DataFrame:
+    """target, arg, xsi_type, value, item, path: arguments of types and virtual types; the items of an array, one row each,
+    have their own type and value. Attributes may come in any order."""
     src = files.where(F.col("path").endswith("di.xml"))
     both = elements(src, "type").unionByName(elements(src, "virtualType"))
-    pattern = r"<argument\s+name=\"([^\"]*)\"\s+xsi:type=\"([^\"]*)\"[^>]*>([^<]*)"
-    parts = F.explode(F.arrays_zip(*(_all(F.col("body"), pattern, k).alias(n) for k, n in ((1, "arg"), (2, "xsi_type"), (3, "value")))))
-    return both.select(attribute(F.col("tag"), "name").alias("target"), "path", parts.alias("a")).select("target", "a.arg", "a.xsi_type", F.trim("a.value").alias("value"), "path")
+    one = r"(?s)(<argument\s[^>]*>)(.*?)</argument>"
+    parts = F.explode(F.arrays_zip(_all(F.col("body"), one, 1).alias("t"), _all(F.col("body"), one, 2).alias("b")))
+    args = both.select(attribute(F.col("tag"), "name").alias("target"), "path", parts.alias("a"))
+    args = args.select("target", attribute(F.col("a.t"), "name").alias("arg"), attribute(F.col("a.t"), "xsi:type").alias("xsi_type"), F.col("a.b").alias("body"), "path")
+    plain = args.where("xsi_type <> 'array'").select("target", "arg", "xsi_type", F.trim(F.regexp_extract("body", "^([^<]*)", 1)).alias("value"), F.lit(None).cast("string").alias("item"), "path")
+    item = r"(<item\s[^>]*[^/]>)([^<]*)</item>"
+    items = args.where("xsi_type = 'array'").select("target", "arg", "path", F.explode(F.arrays_zip(_all(F.col("body"), item, 1).alias("t"), _all(F.col("body"), item, 2).alias("v"))).alias("i"))
+    return plain.unionByName(items.select("target", "arg", attribute(F.col("i.t"), "xsi:type").alias("xsi_type"), F.trim("i.v").alias("value"), attribute(F.col("i.t"), "name").alias("item"), "path"))
 
 
 def observers(files: DataFrame) -> DataFrame:
@@ -104,10 +123,16 @@ def layout_nodes(files: DataFrame) -> DataFrame:
 
 
 def fieldsets(files: DataFrame) -> DataFrame:
-    t = elements(files.where(F.col("path").endswith("fieldset.xml")), "fieldset")
+    """path, scope, fieldset, field, aspect: fieldsets inside a scope with its id, and those that stand in none."""
+    src = files.where(F.col("path").endswith("fieldset.xml"))
+    outer = r"(?s)(<scope\s[^>]*>)(.*?)</scope>"
+    scoped = src.select("path", F.explode(F.arrays_zip(_all(F.col("content"), outer, 1).alias("t"), _all(F.col("content"), outer, 2).alias("b"))).alias("s"))
+    scoped = scoped.select("path", attribute(F.col("s.t"), "id").alias("scope"), F.col("s.b").alias("content"))
+    bare = src.select("path", F.lit(None).cast("string").alias("scope"), F.regexp_replace("content", outer, "").alias("content"))
+    sets = elements_in(scoped.unionByName(bare), ["scope"], "fieldset")
     pattern = r"(?s)(<field\s[^>]*>)(.*?)</field>"
-    f = t.select("path", attribute(F.col("tag"), "id").alias("fieldset"), F.explode(F.arrays_zip(_all(F.col("body"), pattern, 1).alias("t"), _all(F.col("body"), pattern, 2).alias("b"))).alias("f"))
-    return f.select("path", "fieldset", attribute(F.col("f.t"), "name").alias("field"), F.explode(_all(F.col("f.b"), r"<aspect\s+name=\"([^\"]*)\"", 1)).alias("aspect"))
+    f = sets.select("path", "scope", "fieldset", F.explode(F.arrays_zip(_all(F.col("content"), pattern, 1).alias("t"), _all(F.col("content"), pattern, 2).alias("b"))).alias("f"))
+    return f.select("path", "scope", "fieldset", attribute(F.col("f.t"), "name").alias("field"), F.explode(_all(F.col("f.b"), r"<aspect\s+name=\"([^\"]*)\"", 1)).alias("aspect"))
 
 
 def system_fields(files: DataFrame) -> DataFrame:
@@ -134,25 +159,110 @@ def graphql_ops(files: DataFrame) -> DataFrame:
     return files.where(F.col("path").endswith(".graphqls")).select("path", pairs.alias("p")).select("path", F.col("p.op").alias("op"), cls.alias("resolver_class"))
 
 
+#: The head of a class, with what it extends and implements over lines, and its namespace and imports.
+CLASS_HEAD = r"(?m)^[ \t]*((?:abstract\s+|final\s+|readonly\s+)*)(class|interface|trait|enum)\s+(\w+)(?:\s*:\s*\w+)?(?:\s+extends\s+([\w\\]+(?:\s*,\s*[\w\\]+)*))?(?:\s+implements\s+([\w\\]+(?:\s*,\s*[\w\\]+)*))?"
+NAMESPACE = r"(?m)^\s*namespace\s+([\w\\]+)\s*;"
+USE = r"(?m)^\s*use\s+(?:function\s+|const\s+)?([\w\\]+)(?:\s+as\s+(\w+))?\s*;"
+
+
+def _zipped(content: Column, pattern: str, groups: dict[str, int]) -> Column:
+    return F.explode(F.arrays_zip(*(_all(content, pattern, k).alias(n) for n, k in groups.items())))
+
+
 def classes(files: DataFrame) -> DataFrame:
-    """fqcn, kind, parent and interfaces as written, path."""
+    """fqcn, kind, is_abstract, parent and interfaces as written (comma-joined), path: every class, interface, trait and
+    enumeration of a file."""
+    src = files.where(F.col("path").endswith(".php"))
+    ns = F.nullif(F.regexp_extract("content", NAMESPACE, 1), F.lit(""))
+    c = src.select("path", ns.alias("ns"), _zipped(F.col("content"), CLASS_HEAD, {"marks": 1, "kind": 2, "name": 3, "parent": 4, "listed": 5}).alias("c"))
+    names = F.nullif(F.array_join(F.transform(F.split("c.listed", ","), lambda x: F.trim(F.regexp_replace(x, r"\s+", ""))), ", "), F.lit(""))
+    parent = F.nullif(F.regexp_replace("c.parent", r"\s+", ""), F.lit(""))
+    return c.select(F.concat_ws("\\", "ns", "c.name").alias("fqcn"), "c.kind", F.col("c.marks").contains("abstract").alias("is_abstract"), parent.alias("parent"), names.alias("interfaces"), "path")
+
+
+def imports(files: DataFrame) -> DataFrame:
+    """path, fqcn, alias of the use statements of PHP files."""
     src = files.where(F.col("path").endswith(".php"))
-    ns = F.regexp_extract("content", r"(?m)^namespace\s+([\w\\]+)\s*;", 1)
-    head = r"(?m)^(?:abstract\s+|final\s+)*(class|interface|trait)\s+(\w+)(?:\s+extends\s+([\w\\]+))?(?:\s+implements\s+([\w\\, ]+))?"
-    g = lambda k: F.regexp_extract("content", head, k)
-    return src.where(g(2) != "").select(F.concat_ws("\\", F.nullif(ns, F.lit("")), g(2)).alias("fqcn"), g(1).alias("kind"), F.nullif(g(3), F.lit("")).alias("parent"), F.nullif(F.trim(g(4)), F.lit("")).alias("interfaces"), "path")
+    u = src.select("path", _zipped(F.col("content"), USE, {"name": 1, "as": 2}).alias("u"))
+    name = F.regexp_replace("u.name", r"^\\", "")
+    return u.select("path", name.alias("fqcn"), F.coalesce(F.nullif(F.col("u.as"), F.lit("")), short_name(name)).alias("alias"))
+
+
+def resolved_parents(files: DataFrame) -> DataFrame:
+    """fqcn, parent of each class: the whole name of what it extends, by its own use statements, else its namespace."""
+    c = classes(files).where(F.col("parent").isNotNull()).select("path", "fqcn", F.explode(F.split("parent", ",")).alias("written"))
+    u = imports(files).select("path", F.col("alias").alias("first"), F.col("fqcn").alias("used")).dropDuplicates(["path", "first"])
+    named = c.withColumn("first", F.element_at(F.split("written", r"\\"), 1)).join(u, ["path", "first"], "left")
+    rest = F.expr(r"substring(written, length(first) + 1)")
+    ns = F.regexp_extract("fqcn", r"^(.*)\\\w+$", 1)
+    relative = F.when(ns == "", F.col("written")).otherwise(F.concat_ws("\\", ns, "written"))
+    whole = F.when(F.col("written").startswith("\\"), F.regexp_replace("written", r"^\\", "")).when(F.col("used").isNotNull(), F.concat("used", rest)).when(F.col("written").contains("\\"), F.col("written")).otherwise(relative)
+    return named.select("fqcn", whole.alias("parent"), "path")
+
+
+#: A function with its marks, parameters and type of return; a parameter; a property.
+METHOD = r"(?:(abstract)\s+)?(?:(final)\s+)?(public|protected|private)\s+(?:(static)\s+)?(?:(abstract)\s+)?function\s+&?(\w+)\s*\(([^)]*)\)(?:\s*:\s*(\??[\w\\|]+))?"
+PARAMETER = r"(?:(\??[\w\\|]+)\s+)?&?(?:\.\.\.)?\$(\w+)(\s*=)?"
+PROPERTY = r"(?m)^\s*(public|protected|private)\s+(static\s+)?(?:readonly\s+)?(?:(\??[\w\\|]+)\s+)?\$(\w+)"
 
 
 def methods(files: DataFrame) -> DataFrame:
-    """path, visibility, method of PHP functions."""
-    pattern = r"(public|protected|private)\s+(?:static\s+)?function\s+(\w+)"
-    pairs = F.explode(F.arrays_zip(_all(F.col("content"), pattern, 1).alias("v"), _all(F.col("content"), pattern, 2).alias("m")))
-    return files.where(F.col("path").endswith(".php")).select("path", pairs.alias("p")).select("path", F.col("p.v").alias("visibility"), F.col("p.m").alias("method"))
+    """path, visibility, method, is_static, is_abstract, return_type, params (as written) of PHP functions."""
+    groups = {"a1": 1, "v": 3, "s": 4, "a2": 5, "m": 6, "p": 7, "r": 8}
+    m = files.where(F.col("path").endswith(".php")).select("path", _zipped(F.col("content"), METHOD, groups).alias("x"))
+    blank = lambda n: F.nullif(F.col(f"x.{n}"), F.lit(""))
+    return m.select("path", F.col("x.v").alias("visibility"), F.col("x.m").alias("method"), (F.col("x.s") != "").alias("is_static"), (F.concat("x.a1", "x.a2") != "").alias("is_abstract"), blank("r").alias("return_type"), F.trim(F.regexp_replace("x.p", r"\s+", " ")).alias("params"))
+
+
+def method_params(files: DataFrame) -> DataFrame:
+    """path, method, position (from 1), type_hint, variable, is_optional of the parameters of PHP functions."""
+    m = methods(files).select("path", "method", F.posexplode(F.arrays_zip(*(_all(F.col("params"), PARAMETER, k).alias(n) for n, k in (("t", 1), ("v", 2), ("d", 3))))).alias("at", "p"))
+    return m.select("path", "method", (F.col("at") + 1).cast("long").alias("position"), F.nullif(F.col("p.t"), F.lit("")).alias("type_hint"), F.col("p.v").alias("variable"), (F.col("p.d") != "").alias("is_optional"))
+
+
+def properties(files: DataFrame) -> DataFrame:
+    """path, visibility, is_static, type_hint, property of PHP classes."""
+    p = files.where(F.col("path").endswith(".php")).select("path", _zipped(F.col("content"), PROPERTY, {"v": 1, "s": 2, "t": 3, "n": 4}).alias("x"))
+    return p.select("path", F.col("x.v").alias("visibility"), (F.col("x.s") != "").alias("is_static"), F.nullif(F.col("x.t"), F.lit("")).alias("type_hint"), F.col("x.n").alias("property"))
+
+
+#: What shows a class's role: words in its interfaces, in its parent, in its name, in its namespace.
+ROLES = {
+    "is_controller": (("ActionInterface",), ("Action",), (), ()),
+    "is_repository": (("RepositoryInterface",), (), ("Repository",), ("Repository",)),
+    "is_plugin": ((), (), ("Plugin",), ("\\Plugin\\",)),
+    "is_observer": (("ObserverInterface",), (), (), ()),
+    "is_model": ((), ("AbstractModel", "AbstractDb"), (), ()),
+    "is_block": ((), ("Template", "AbstractBlock"), (), ()),
+    "is_helper": ((), ("AbstractHelper", "AbstractData"), ("Helper",), ("\\Helper\\",)),
+    "is_setup": (("PatchInterface", "InstallSchemaInterface", "InstallDataInterface", "UpgradeSchemaInterface", "UpgradeDataInterface"), (), ("InstallSchema", "InstallData", "UpgradeSchema", "UpgradeData", "Patch"), ("\\Setup\\",)),
+    "is_resolver": (("ResolverInterface", "BatchResolverInterface"), (), (), ()),
+}
+
+
+def class_roles(files: DataFrame) -> DataFrame:
+    """path, fqcn, a flag for each role and is_api_interface: of the first class of each PHP file, by what it extends,
+    implements, is called and defines."""
+    src = files.where(F.col("path").endswith(".php"))
+    head = lambda k: F.regexp_extract("content", CLASS_HEAD, k)
+    rows = src.select("path", "content", F.regexp_extract("content", NAMESPACE, 1).alias("ns"), head(2).alias("kind"), head(3).alias("name"), head(4).alias("parent"), head(5).alias("listed")).where("name <> ''")
+    has = lambda c, words: reduce(lambda a, w: a | F.col(c).contains(w), words, F.lit(False))
+    tests = {}
+    for role, (listed, parent, name, ns) in ROLES.items():
+        within = reduce(lambda a, w: a | F.concat("ns", F.lit("\\")).contains(w) if role in ("is_helper", "is_setup") else a | F.col("ns").contains(w), ns, F.lit(False))
+        tests[role] = has("listed", listed) | has("parent", parent) | has("name", name) | within
+    tests["is_controller"] = tests["is_controller"] | F.col("content").rlike(r"function\s+execute\s*\(")
+    tests["is_plugin"] = tests["is_plugin"] | F.col("content").rlike(PLUGIN_METHOD)
+    tests["is_api_interface"] = (F.col("kind") == "interface") & F.col("ns").contains("Api")
+    return rows.select("path", F.concat_ws("\\", F.nullif(F.col("ns"), F.lit("")), "name").alias("fqcn"), *(t.alias(n) for n, t in tests.items()))
+
+
+PLUGIN_METHOD = r"public\s+function\s+(before|after|around)([A-Z]\w*)"
 
 
 def plugin_methods(files: DataFrame) -> DataFrame:
     """path, type (before, after, around), target_method of interceptors."""
-    pattern = r"public\s+function\s+(before|after|around)([A-Z]\w*)"
+    pattern = PLUGIN_METHOD
     pairs = F.explode(F.arrays_zip(_all(F.col("content"), pattern, 1).alias("t"), _all(F.col("content"), pattern, 2).alias("m")))
     name = F.concat(F.lower(F.substring("p.m", 1, 1)), F.substring("p.m", 2, 1000))
     return files.where(F.col("path").endswith(".php")).select("path", pairs.alias("p")).select("path", F.col("p.t").alias("type"), name.alias("target_method"))
@@ -160,7 +270,7 @@ def plugin_methods(files: DataFrame) -> DataFrame:
 
 def ctor_params(files: DataFrame) -> DataFrame:
     """path, type_hint, variable of constructors."""
-    args = F.regexp_extract("content", r"(?s)function\s+__construct\s*\(([^)]*)\)", 1)
+    args = F.regexp_extract("content", r"(?s)function\s+__construct\s*\((.*?)\)\s*[{:]", 1)
     pairs = F.explode(F.arrays_zip(_all(args, r"([\w\\]+)\s+\$(\w+)", 1).alias("t"), _all(args, r"([\w\\]+)\s+\$(\w+)", 2).alias("v")))
     return files.where(F.col("content").contains("__construct")).select("path", pairs.alias("p")).select("path", F.col("p.t").alias("type_hint"), F.col("p.v").alias("variable"))
 
@@ -170,30 +280,80 @@ def dispatches(files: DataFrame) -> DataFrame:
 
 
 def sql_tables(files: DataFrame) -> DataFrame:
-    """path, table: names after the words that take a table."""
-    names = F.array_distinct(F.transform(_all(F.col("content"), SQL_NAME, 1), F.lower))
-    return files.select("path", F.explode(F.array_except(names, F.array(*map(F.lit, SQL_STOP)))).alias("table"))
+    """path, table: names in SQL strings that are no words of SQL, and names given to getTable(), in small letters."""
+    src = files.where(F.col("content").rlike(r"Zend_Db_Expr|->query|getTable"))
+    texts = F.concat(*(_all(F.col("content"), p, 1) for p in SQL_TEXTS))
+    inside = F.flatten(F.transform(texts, lambda t: F.transform(F.regexp_extract_all(t, F.lit(SQL_NAME), F.lit(1)), F.lower)))
+    named = F.transform(_all(F.col("content"), GET_TABLE, 1), F.lower)
+    names = F.array_distinct(F.concat(F.array_except(inside, F.array(*map(F.lit, SQL_STOP))), named))
+    return src.select("path", F.explode(names).alias("table"))
+
+
+def setup_tables(files: DataFrame) -> DataFrame:
+    """path, table, is_created: tables that set-up scripts create, name, or use in the statements of triggers."""
+    src = files.where(F.col("content").rlike("getTable|newTable|addStatement"))
+    made = _all(F.col("content"), NEW_TABLE, 1)
+    triggers = F.col("content").rlike("TriggerFactory|createTrigger")
+    statements = F.when(triggers, _all(F.col("content"), STATEMENT, 1)).otherwise(F.array().cast("array<string>"))
+    used = F.array_except(F.flatten(F.transform(statements, lambda t: F.regexp_extract_all(t, F.lit(SQL_NAME), F.lit(1)))), F.array(*map(F.lit, STATEMENT_STOP)))
+    names = F.array_distinct(F.concat(_all(F.col("content"), SETUP_TABLE, 1), made, used))
+    rows = src.select("path", made.alias("made"), F.explode(names).alias("table"))
+    return rows.select("path", "table", F.array_contains("made", F.col("table")).alias("is_created"))
 
 
 def db_triggers(files: DataFrame) -> DataFrame:
-    """path, name, table, event, timing of triggers that set-up scripts create."""
-    one = r"(?s)setName\(\s*['\"]([^'\"]+)['\"]\s*\).*?setTime\(\s*Trigger::TIME_(\w+)\s*\).*?setEvent\(\s*Trigger::EVENT_(\w+)\s*\).*?setTable\(\s*['\"]([^'\"]+)['\"]"
-    parts = F.explode(F.arrays_zip(*(_all(F.col("content"), one, k).alias(n) for k, n in ((1, "name"), (2, "timing"), (3, "event"), (4, "table")))))
-    return files.where(F.col("content").contains("setEvent(")).select("path", parts.alias("t")).select("path", "t.name", F.lower("t.timing").alias("timing"), F.lower("t.event").alias("event"), "t.table")
+    """path, name, table, event, timing, statement of triggers that set-up scripts create, and those that they drop.
+
+    A script is cut where a factory makes a trigger; the first name, table, event and time of each part count.
+    """
+    src = files.where(F.col("content").rlike("TriggerFactory|triggerFactory|createTrigger|dropTrigger"))
+    parts = F.split("content", TRIGGER_START)
+    first = lambda p, k=1: F.nullif(F.regexp_extract("part", p, k), F.lit(""))
+    each = src.select("path", F.explode(F.slice(parts, 2, F.size(parts))).alias("part"))
+    made = each.select("path", first(TRIGGER_NAME).alias("name"), F.coalesce(first(TRIGGER_TABLE, 1), first(TRIGGER_TABLE, 2)).alias("table"), F.lower(first(TRIGGER_EVENT)).alias("event"), F.lower(first(TRIGGER_TIME)).alias("timing"), first(STATEMENT).alias("statement")).where(F.col("name").isNotNull())
+    gone = src.select("path", F.explode(F.array_distinct(_all(F.col("content"), DROP_TRIGGER, 1))).alias("name")).join(made.select("path", "name"), ["path", "name"], "left_anti")
+    none = F.lit(None).cast("string")
+    return made.unionByName(gone.select("path", "name", none.alias("table"), F.lit("dropped").alias("event"), none.alias("timing"), none.alias("statement")))
 
 
 def test_methods(files: DataFrame) -> DataFrame:
-    """path, test_method, has_mock of test classes."""
+    """path, test_method, covers (comma-joined), has_mock of test classes."""
     src = files.where(F.col("path").endswith("Test.php"))
-    return src.select("path", F.explode(_all(F.col("content"), r"function\s+(test\w+)", 1)).alias("test_method"), F.col("content").rlike("createMock|getMockBuilder").alias("has_mock"))
+    covers = F.array_join(F.array_sort(F.array_distinct(_all(F.col("content"), r"@covers\s+([\w\\:]+)", 1))), ",")
+    return src.select("path", F.explode(_all(F.col("content"), r"function\s+(test\w+)", 1)).alias("test_method"), covers.alias("covers"), F.col("content").rlike("createMock|getMockBuilder").alias("has_mock"))
 
 
 def js_modules(files: DataFrame) -> DataFrame:
-    """path, module_type, dependencies (comma-joined), flags of scripts."""
+    """path, module_type, dependencies, classes, functions (comma-joined) and role flags of scripts, with a mixin's target
+    and a component's name."""
     c = F.col("content")
-    kind = F.when(c.rlike(r"(?s)define\(\s*\["), "amd").when(c.rlike(r"(?m)^\s*(import|export)\s"), "esm").when(c.rlike(r"module\.exports|require\("), "commonjs").when(c.rlike(r"^\s*\(function"), "iife").otherwise("unknown")
-    deps = F.array_join(_all(F.regexp_extract("content", r"(?s)define\(\s*\[([^\]]*)\]", 1), r"['\"]([^'\"]+)['\"]", 1), ",")
-    return files.where(F.col("path").endswith(".js")).select("path", kind.alias("module_type"), deps.alias("dependencies"), c.contains("Component.extend(").alias("is_ui_component"), c.contains("$.widget(").alias("is_widget"), c.contains("mixin").alias("is_mixin"))
+    kind = F.when(c.contains("define("), "amd").when(c.contains("import ") | c.contains("export "), "esm").when(c.contains("module.exports") | c.contains("require("), "commonjs").when(c.contains("(function(") & c.contains("})("), "iife")
+    deps = F.when(kind == "amd", _all(F.regexp_extract("content", r"(?s)define\([^\[]*\[([^\]]*)\]", 1), r"['\"]([^'\"]+)['\"]", 1)).otherwise(F.array().cast("array<string>"))
+    used = F.concat(deps, _all(c, r"(?m)^\s*import\s[^;\n]*?['\"]([^'\"]+)['\"]", 1), _all(c, r"\brequire\(\s*['\"]([^'\"]+)['\"]", 1))
+    names = _all(c, r"\bclass\s+(\w+)", 1)
+    functions = _all(c, r"\bfunction\s+(\w+)\s*\(", 1)
+    any_dep = lambda *words: F.exists(used, lambda d: reduce(lambda a, w: a | d.contains(w), words, F.lit(False)))
+    mixin = c.contains("'mixins':") | c.contains("return function (target)") | c.contains("return function(target)")
+    rows = files.where(F.col("path").endswith(".js"))
+    return rows.select(
+        "path",
+        F.coalesce(kind, F.lit("unknown")).alias("module_type"),
+        F.array_join(F.array_distinct(used), ",").alias("dependencies"),
+        F.array_join(names, ",").alias("classes"),
+        F.array_join(functions, ",").alias("functions"),
+        (c.contains("uiComponent") | c.contains("_Ui/js/") | any_dep("uiComponent")).alias("is_ui_component"),
+        (c.contains("$.widget(") | c.contains("jQuery.widget(") | c.contains("$.mage.") | any_dep("jquery/ui")).alias("is_widget"),
+        mixin.alias("is_mixin"),
+        F.nullif(F.regexp_extract("content", r"'mixins':[^'\"]*['\"]([^'\"]*)['\"]", 1), F.lit("")).alias("mixin_target"),
+        (c.contains("ko.component") | c.contains("ko.bindingHandlers") | F.exists(used, lambda d: d.isin("ko", "knockout"))).alias("is_knockout"),
+        F.when(c.contains("Component.extend("), F.get(names, 0)).alias("component_name"),
+    )
+
+
+def js_exports(files: DataFrame) -> DataFrame:
+    """path, name of what modules export."""
+    names = F.concat(_all(F.col("content"), r"(?m)^\s*export\s+(?:default\s+)?(?:async\s+)?(?:class|function|const|let|var)\s+(\w+)", 1), _all(F.col("content"), r"\bexports\.(\w+)\s*=", 1))
+    return files.where(F.col("path").endswith(".js")).select("path", F.explode(F.array_distinct(names)).alias("name"))
 
 
 def errors(texts: DataFrame, text: str = "error") -> DataFrame:
