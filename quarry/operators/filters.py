@@ -47,6 +47,16 @@ def module_matches(patterns: str | list[str]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def in_module(name: str) -> Column:
+    """Whether module or path belong to a module as a whole, in both forms of a tree (Vendor/Module, vendor/module-name)."""
+    parts = name.split("_")
+    out = F.lower(F.coalesce("module", F.lit(""))) == name.lower()
+    if len(parts) == 2:
+        kebab = re.sub("([a-z])([A-Z])", r"\1-\2", parts[1]).lower()
+        out = out | F.col("path").startswith(f"app/code/{parts[0]}/{parts[1]}/") | F.col("path").startswith(f"vendor/{parts[0].lower()}/module-{kebab}/")
+    return out
+
+
 def include_modules(df: DataFrame, patterns: str | list[str]) -> DataFrame:
     return df.where(module_matches(patterns))
 

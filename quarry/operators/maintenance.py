@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.vectors import is_valid
+from quarry.operators.learning import numbered
+from quarry.session import checkpointed
+
 COMPACT_ABOVE = 0.20
 
 
@@ -28,9 +34,26 @@ def tombstone_ratio(index: DataFrame) -> DataFrame:
 
 
 def compacted(index: DataFrame, above: float = COMPACT_ABOVE) -> DataFrame:
-    """Live rows where more than a share of all is dead; else all rows."""
-    share = index.agg((F.count_if("is_deleted") / F.nullif(F.count("*"), F.lit(0))).alias("__r"))
-    return index.join(F.broadcast(share), F.lit(True)).where(~F.col("is_deleted") | ~(F.col("__r") > above)).drop("__r")
+    """Live rows where more than a share of all is dead; else all rows. The index is computed once."""
+    once = checkpointed(index)
+    dead, every = once.agg(F.count_if("is_deleted"), F.count("*")).first()
+    return once.where(~F.col("is_deleted")) if every and dead / every > above else once
+
+
+def inserted(index: DataFrame | None, rows: DataFrame, dim: int, order: str = "path", vector: str = "embedding") -> DataFrame:
+    """The index with new rows behind it: ids go on from the greatest one in an order, dealt by ranges; rows whose vector is
+    not valid are dead from the start."""
+    last = -1 if index is None else index.agg(F.max("id")).first()[0]
+    last = -1 if last is None else last
+    fresh = numbered(rows.withColumn("all_", F.lit(0)), "all_", [order]).withColumn("id", F.col("n") + F.lit(last)).drop("all_", "n")
+    fresh = fresh.withColumn("is_deleted", ~is_valid(F.col(vector), dim))
+    return fresh if index is None else index.unionByName(fresh)
+
+
+def removed(index: DataFrame, paths: DataFrame) -> DataFrame:
+    """The index with the rows of these paths dead."""
+    gone = paths.select("path").distinct().withColumn("gone_", F.lit(True))
+    return index.join(gone, "path", "left").withColumn("is_deleted", F.col("is_deleted") | F.coalesce("gone_", F.lit(False))).select(*index.columns)
 
 
 def pending(files: DataFrame, indexed: DataFrame) -> DataFrame:
@@ -44,7 +67,16 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(own)).where("__n = 1").drop("__n")
 
 
-def described(files: DataFrame, descriptions: DataFrame) -> DataFrame:
-    """path, content_hash, stale: whether a file needs a new description, by the hash of its content."""
+def described(files: DataFrame, descriptions: DataFrame, force: bool = False) -> DataFrame:
+    """path, content_hash, stale: whether a file needs a new description, by the hash of its content, or by force."""
     now = files.select("path", F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_hash"))
-    return now.join(descriptions.select("path", F.col("hash").alias("__h")), "path", "left").select("path", "content_hash", (~F.col("__h").eqNullSafe(F.col("content_hash"))).alias("stale"))
+    return now.join(descriptions.select("path", F.col("hash").alias("__h")), "path", "left").select("path", "content_hash", (F.lit(force) | ~F.col("__h").eqNullSafe(F.col("content_hash"))).alias("stale"))
+
+
+def redescribed(files: DataFrame, descriptions: DataFrame, describe: Callable[[DataFrame], DataFrame], now: Column, force: bool = False) -> DataFrame:
+    """descriptions (path, hash, description, ts) with new rows for stale files; describe adds a column description to
+    (path, content) and may call what it likes. The newest row of a path counts."""
+    stale = described(files, descriptions, force).where("stale").select("path", F.col("content_hash").alias("hash"))
+    fresh = describe(files.join(stale.select("path"), "path", "left_semi").select("path", "content")).join(stale, "path")
+    rows = descriptions.select("path", "hash", "description", "ts").unionByName(fresh.select("path", "hash", "description", now.alias("ts")))
+    return latest(rows, ["path"], [F.desc("ts")])
