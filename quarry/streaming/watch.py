@@ -1,7 +1,7 @@
 """An index that follows a tree: micro-batches compare a scan with the stored manifest.
 
 A file source sees added files only, so each trigger scans the whole tree, and foreachBatch applies the change set: new
-versions of the manifest and the index, a compaction where too much is dead. A repeated batch finds nothing changed.
+version of the manifest and the index together, a compaction where too much is dead. A repeated batch finds nothing changed.
 """
 
 from __future__ import annotations
@@ -11,33 +11,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.maintenance import COMPACT_ABOVE, change_set
+from quarry.operators.maintenance import COMPACT_ABOVE, change_set, compacted, removed
 from quarry.sources import store
 
 
-def apply_changes(spark: SparkSession, files: DataFrame, root: str, build: Callable[[DataFrame], DataFrame], compact_above: float = COMPACT_ABOVE) -> dict[str, int]:
+def apply_changes(spark: SparkSession, files: DataFrame, root: str, build: Callable[[DataFrame], DataFrame], compact_above: float = COMPACT_ABOVE, force: bool = False, parts: int = 1) -> dict[str, int]:
     """Bring manifest and index below root up to date with files (path, content, size, mtime); counts by change.
 
-    build: files to index rows (path and more). is_deleted marks rows of files that changed or went.
+    build: files to index rows (path and more). is_deleted marks rows of files that changed or went. Manifest and index are
+    one version, so that a crash leaves the one before. force builds everything anew. parts: a first or forced build commits
+    after each so many-th part of the files (by a hash of the path), and a build that was stopped goes on from there.
     """
-    known = store.versions(spark, f"{root}/manifest")
+    known = store.versions(spark, root)
     now = files.select("path", "size", "mtime")
-    if not known:
-        index = build(files).withColumn("is_deleted", F.lit(False))
-        store.save(index, f"{root}/index")
-        store.save(now, f"{root}/manifest")
+    if force or not known:
+        for k in range(parts):
+            some = files if parts == 1 else files.where(F.pmod(F.xxhash64("path"), F.lit(parts)) == k)
+            index, manifest = build(some).withColumn("is_deleted", F.lit(False)), some.select("path", "size", "mtime")
+            if k:
+                index, manifest = store.load(spark, root, name="index").unionByName(index), store.load(spark, root, name="manifest").unionByName(manifest)
+            store.save_all({"index": index, "manifest": manifest}, root)
         return {"added": now.count()}
-    changes = change_set(store.load(spark, f"{root}/manifest"), now).persist()
+    changes = change_set(store.load(spark, root, name="manifest"), now).persist()
     counts = dict(changes.groupBy("change").count().collect())
     if counts:
-        old = store.load(spark, f"{root}/index")
-        gone = changes.where("change <> 'added'").select("path", F.lit(True).alias("__gone"))
-        kept = old.join(gone, "path", "left").withColumn("is_deleted", F.col("is_deleted") | F.coalesce("__gone", F.lit(False))).select(*old.columns)
+        old = store.load(spark, root, name="index")
+        kept = removed(old, changes.where("change <> 'added'"))
         fresh = build(files.join(changes.where("change <> 'deleted'"), "path", "left_semi")).withColumn("is_deleted", F.lit(False)).select(*old.columns)
-        new = kept.unionByName(fresh)
-        dead, every = new.agg(F.count_if("is_deleted"), F.count("*")).first()
-        store.save(new.where(~F.col("is_deleted")) if every and dead / every > compact_above else new, f"{root}/index")
-        store.save(now, f"{root}/manifest")
+        new = compacted(kept.unionByName(fresh), compact_above)
+        store.save_all({"index": new, "manifest": now}, root)
     changes.unpersist()
     return counts
 
