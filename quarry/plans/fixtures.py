@@ -101,8 +101,16 @@ class Install
 {
     public function run($setup)
     {
-        $t = $factory->create()->setName('trg_cart')->setTime(Trigger::TIME_AFTER)->setEvent(Trigger::EVENT_INSERT)->setTable('shop_cart');
-        $u = $factory->create()->setName('trg_item')->setTime(Trigger::TIME_BEFORE)->setEvent(Trigger::EVENT_DELETE)->setTable('shop_item');
+        $t = $this->triggerFactory->create()->setName('trg_cart')->setTime(Trigger::TIME_AFTER)->setEvent(Trigger::EVENT_INSERT)->setTable('shop_cart');
+        $u = $this->triggerFactory->create()
+            ->setName('trg_item')->setTime(Trigger::TIME_BEFORE)
+            ->setEvent(Trigger::EVENT_DELETE)->setTable($itemTable)
+            ->addStatement('INSERT INTO shop_log SELECT * FROM `shop_item` WHERE id = OLD.id');
+        $c->createTrigger($u);
+        $c->dropTrigger('trg_old');
+        $c->newTable($setup->getTable('shop_new'));
+        $c->newTable('shop_plain');
+        $x = $setup->getTable("shop_named");
     }
 }
 """,
@@ -135,6 +143,253 @@ class View
     "vendor/acme/module-extra/view/frontend/web/js/slider.js": """define(['jquery', 'uiComponent'], function ($, Component) {
     return Component.extend({});
 });
+""",
+    "vendor/acme/module-guard/Model/Chains.php": """<?php
+namespace Acme\\Guard\\Model;
+
+class Chains
+{
+    public function plain() { $a->one()->two(); $b->three($x, 1)->four(); }
+
+
+
+
+
+
+
+    public function over()
+    {
+        $cart
+            ->getQuote()
+            ->getId();
+    }
+
+
+
+
+
+
+
+    public function safe() { $c->five()?->six(); $d->seven()->eight(); }
+
+
+
+
+
+
+
+    public function checks()
+    {
+        if (!isset($e) || is_null($f)) { return; }
+        $e->nine()->ten();
+        $f->nine()->ten();
+        $g->nine()->ten();
+    }
+
+
+
+
+
+
+
+    public function compared($h)
+    {
+        if ($h === null) { return; }
+        $h->nine()->ten();
+        if ($i instanceof Item) { $i->nine()->ten(); }
+    }
+
+
+
+
+
+
+
+    public function negated($j)
+    {
+        $ok = all(!$j, 1);
+        $j->nine()->ten();
+    }
+
+
+
+
+
+
+
+    public function chosen($k)
+    {
+        $k->nine()->ten();
+        $y = $z ?: 1;
+    }
+
+
+
+
+
+
+
+    public function merged($l)
+    {
+        $l->nine()->ten();
+        $y = $z ?? 1;
+    }
+
+
+
+
+
+
+
+    public function nulls($item)
+    {
+        $item->setPrice(null);
+        $item->setData('price', null);
+        $item->setMany(
+            null,
+            1
+        );
+        $item->setPrice(nullable());
+        $item->settle(null);
+    }
+}
+""",
+    "app/code/Acme/Shop/Model/Sql.php": """<?php
+namespace Acme\\Shop\\Model;
+
+class Sql
+{
+    const PATH = 'shop/cart/limit';
+
+    public function run()
+    {
+        $e = new \\Zend_Db_Expr('SELECT id FROM `Shop_Cart` JOIN shop_item ON 1 LEFT JOIN related ON 1');
+        $this->db->query("UPDATE shop_rate SET x = 1 WHERE y IN (SELECT z FROM main_table)");
+        $a = $this->res->getTable('shop_order');
+        $b = $this->res->getConnection()->select()->from($this->res->getTableName("Shop_Order_Item"));
+        $c = "SELECT * FROM shop_unseen";
+        return $this->config->getValue(self::PATH);
+    }
+}
+""",
+    "app/code/Acme/Shop/Model/Many.php": """<?php
+namespace Acme\\Shop\\Model;
+
+use Acme\\Other\\Base as OtherBase;
+use Acme\\Shop\\Api\\CartInterface;
+use Acme\\Tools;
+
+final class Many extends OtherBase implements
+    CartInterface,
+    \\Countable
+{
+    private ?Tools $tools;
+    protected static $count = 0;
+    public readonly int $id;
+
+    public static function make(int $id, ?Tools $tools = null, string ...$names): self { return new self(); }
+
+    abstract protected function later(&$row);
+}
+
+readonly class Pair extends Tools\\Box {}
+
+abstract class Near extends Base {}
+
+enum Suit: string implements HasLabel { case A = 'a'; }
+
+trait Counts {}
+
+interface Both extends CartInterface, \\Countable {}
+""",
+    "app/code/Acme/Shop/Model/Base.php": """<?php
+namespace Acme\\Shop\\Model;
+
+class Base extends \\Acme\\Other\\Base
+{
+    protected function shared() { return $this->helper->load(1); }
+}
+""",
+    "app/code/Acme/Other/Base.php": """<?php
+namespace Acme\\Other;
+
+abstract class Base
+{
+    public function __construct(
+        \\Acme\\Shop\\Api\\CartInterface $helper
+    ) {
+        $this->helper = $helper;
+    }
+
+    public function top() { return $this->missing(); }
+}
+""",
+    "app/code/Acme/Shop/Model/Leaf.php": """<?php
+namespace Acme\\Shop\\Model;
+
+class Leaf extends Near
+{
+    public function start()
+    {
+        $this->shared();
+        $this->top();
+        return $this->helper->load(2);
+    }
+}
+""",
+    "app/code/Acme/Shop/etc/frontend/di.xml": """<config>
+  <type name="Acme\\Shop\\Model\\Pool">
+    <arguments>
+      <argument xsi:type="string" name="label"> Pool </argument>
+      <argument name="modifiers" xsi:type="array">
+        <item name="first" xsi:type="object">Acme\\Shop\\First</item>
+        <item xsi:type="string" sortOrder="2" name="second">two</item>
+      </argument>
+    </arguments>
+  </type>
+</config>""",
+    "app/code/Acme/Other/etc/fieldset.xml": """<config><fieldset id="flat"><field name="a"><aspect name="to_b"/></field></fieldset><scope id="admin"><fieldset id="inner"><field name="c"><aspect name="to_d"/></field></fieldset></scope></config>""",
+    "app/code/Acme/Shop/Unit/ManyTest.php": """<?php
+/** @covers \\Acme\\Shop\\Model\\Many::make */
+class ManyTest
+{
+    public function testMake() { $b = $this->getMockBuilder(Many::class); }
+}
+""",
+    "app/code/Acme/Shop/view/base/web/js/module.js": """import $ from 'jquery';
+import { x } from "Acme_Shop/js/x";
+export class Basket {}
+export default function total(a) { return a; }
+const y = 1;
+""",
+    "app/code/Acme/Shop/view/base/web/js/node.js": """const ko = require('ko');
+function first() {}
+exports.second = first;
+module.exports = { first };
+""",
+    "app/code/Acme/Shop/view/base/web/js/once.js": """(function($) { $.widget('acme.once', {}); })(jQuery);
+""",
+    "app/code/Acme/Shop/view/base/web/js/mixin.js": """var config = { config: { 'mixins': { 'Acme_Shop/js/x': { 'Acme_Shop/js/y': true } } } };
+""",
+    "app/code/Acme/Shop/Observer/Notify.php": """<?php
+namespace Acme\\Shop\\Observer;
+
+use Acme\\Event\\ObserverInterface;
+
+class Notify implements ObserverInterface
+{
+    public function send($observer) { return 1; }
+}
+""",
+    "app/code/Acme/Shop/Helper/Text.php": """<?php
+namespace Acme\\Shop\\Helper;
+
+class Text extends AbstractHelper {}
+""",
+    "app/code/Acme/Shop/Setup/Patch/Fill.php": """<?php
+namespace Acme\\Shop\\Setup\\Patch;
+
+class Fill implements DataPatchInterface {}
 """,
     "lib/internal/Acme/Framework/Base.php": """<?php
 namespace Acme\\Framework;
@@ -145,6 +400,25 @@ interface Base
 """,
 }
 CALLS = [("Cart::save", "Cart::load"), ("Cart::load", "ItemRepository::fetch"), ("ItemRepository::fetch", "Connection::query"), ("Cart::save", "EventManager::dispatch"), ("Connection::query", "Connection::open"), ("Cart::load", "Cart::save")]
+#: Rows of an index, for every rule of the keyword bonus: id, path, search_text, class_name, component_type, flags.
+INDEX = [
+    (1, "a/Helper/Data.php", "text helper", "Data", "helper", False, False, False, False),
+    (2, "a/etc/di.xml", "wires", None, "di_config", False, False, False, False),
+    (3, "a/etc/db_schema.xml", "tables", None, "db_schema", False, False, False, False),
+    (4, "a/Plugin/Log.php", "log", "Log", "plugin", True, False, False, False),
+    (5, "a/Model/ItemRepository.php", "items", "ItemRepository", "model", False, False, False, False),
+    (6, "a/Model/Items.php", "items", "Items", "repository", False, True, False, False),
+    (7, "a/Setup/Install.php", "install", "Install", "setup", False, False, False, False),
+    (8, "a/Observer/Count.php", "count", "Count", "observer", False, False, True, False),
+    (9, "a/Resolver/Cart.php", "cart", "Cart", "model", False, False, False, False),
+    (10, "a/Model/Carts.php", "cart", "Carts", "graphql_resolver", False, False, False, True),
+    (11, "a/etc/schema.graphqls", "schema", None, "graphql_schema", False, False, False, False),
+    (12, "a/graph-ql/x.php", "x", "X", "other", False, False, False, False),
+    (13, "lib/Framework/Plugin/AbstractPlugin.php", "plugin base", "AbstractPlugin", "plugin", False, False, False, False),
+    (14, "lib/framework/PluginInterface.php", "plugin", "PluginInterface", "other", False, False, False, False),
+    (15, "a/plugin/plugin/Plugin.php", "plugin observer setup helper", "PluginObserverSetup", "plugin", True, True, True, True),
+]
+BONUS_QUERIES = ["helper", "di.xml for items", "db_schema tables", "plugin", "repository items", "setup of it", "observer", "resolver cart", "graphql schema", "plugin plugin observer setup helper"]
 ERRORS = [
     (1, "Cannot instantiate interface Acme\\Shop\\Api\\CartInterface in vendor/acme/a.php:12"),
     (2, "Class Acme\\Shop\\Model\\Gone does not exist at app/b.php(33)"),
@@ -170,6 +444,26 @@ NAMES = [(1, "CartItemRepository"), (2, "loadById"), (3, "plain"), (4, "XMLReade
 ENTRIES = [(1, "/V1/carts"), (2, "cart_saved_after"), (3, "cartItems"), (4, "shop/cart/view"), (5, "plain")]
 
 
+GATE_CALLS = [
+    (1, 1, "2024-01-01 00:00:00", "search", 5), (1, 2, "2024-01-01 00:00:29", "find_plugin", None), (1, 3, "2024-01-01 00:00:30", "find_class", None), (1, 4, "2024-01-01 00:00:59", "search", 6),
+    (1, 5, "2024-01-01 00:01:59", "search", 7), (1, 6, "2024-01-01 00:02:10", "search", 7), (1, 7, "2024-01-01 00:02:20", "trace_flow", None), (1, 8, "2024-01-01 00:02:21", "find_config", None), (1, 9, "2024-01-01 00:02:22", "grep", None),
+    (2, 10, "2024-01-01 00:00:00", "find_observer", None), (2, 11, "2024-01-01 00:00:01", "search", None), (2, 12, "2024-01-01 00:00:02", "find_observer", None), (2, 13, "2024-01-01 00:00:03", "find_controller", None), (2, 14, "2024-01-01 00:00:04", "find_block", None),
+]
+CONDITIONS = [
+    {"types": ["plugin", "Controller"]},
+    {"patterns": ["plugin", "controller"], "module": "Acme_Shop"},
+    {"classes": ["Item", "A"], "content": ["HAS", "item"]},
+    {"methods": ["none"], "file_types": ["xml"]},
+    {"module": "Other_Cart"},
+    {},
+]
+CASES = [(1, ["plugin", "cart"], ["test"], 0.3), (2, ["plugin", "cart"], ["test"], 0.3), (3, ["plugin", "cart", "tax"], [], 0.1), (4, ["plugin", "tax"], [], 0.9), (5, ["plugin", "tax"], ["x"], 0.0), (6, ["tax", "rate"], [], 0.0)]
+CASE_RESULTS = [
+    (1, 1, "A Plugin for it", 0.5), (1, 2, "test at six", 0.4), (1, 11, "cart too late", 0.1), (2, 1, "a plugin", 0.5), (2, 6, "a test, but too late", 0.3), (3, 1, "nothing", 0.5), (4, 1, "tax plugin", 0.5), (5, 1, "no match", 0.5), (5, 2, "x", 0.4), (6, 1, "no", 0.1),
+]
+DIFFS = [("a/etc/di.xml", "--- a\n+++ b\n+x\n+y\n-z"), ("a/Model/X.php", "+1\n" * 150 + "-2\n" * 100), ("a/Plugin/Y.php", ""), ("a/Model/Z.php", " same\n-gone")]
+
+
 def literal(value) -> str:
     if value is None:
         return "NULL"

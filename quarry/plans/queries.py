@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from quarry.functions import paths, text
 from quarry.functions.vectors import is_valid
-from quarry.operators import extract, filters, graph, learning, lines, maintenance, metrics, retrieval
+from quarry.operators import extract, filters, graph, indexing, learning, lines, maintenance, metrics, retrieval
 from quarry.plans import fixtures as X
+from quarry.sources.files import globbed
 from quarry.sources.store import stats
-from quarry.sources.tables import corpus, query_vector, read, searches, vector_index
+from quarry.sources.tables import corpus, metadata, query_vector, read, searches, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TEXT_QUERY = "the and label_2"
@@ -56,15 +57,35 @@ def vector_validity(spark, sf_dir):
 
 @query
 def hybrid_search(spark, sf_dir):
-    return retrieval.hybrid_search(vector_index(spark, sf_dir), query_vector(spark, sf_dir), TEXT_QUERY, 10)
+    return retrieval.hybrid_search(vectors(spark, sf_dir), query_vector(spark, sf_dir), TEXT_QUERY, 10, metadata=metadata(spark, sf_dir))
 
 
 @query
 def keyword_bonus(spark, sf_dir):
-    rows = vector_index(spark, sf_dir)
+    rows = metadata(spark, sf_dir)
     return rows.select("id", F.round(retrieval.keyword_bonus(rows, TEXT_QUERY), 6).alias("bonus"))
 
 
+@query
+def type_bonus(spark, sf_dir):
+    """Every rule of the bonus over rows that fit it and rows that nearly do."""
+    names = "id long, path string, search_text string, class_name string, component_type string, is_plugin boolean, is_repository boolean, is_observer boolean, is_resolver boolean"
+    rows = spark.createDataFrame(X.INDEX, names)
+    out = None
+    for q in X.BONUS_QUERIES:
+        one = rows.select(F.lit(q).alias("q"), "id", F.round(retrieval.keyword_bonus(rows, q), 6).alias("bonus"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def vector_insert(spark, sf_dir):
+    """New rows behind an index: ids go on by path, invalid vectors are dead."""
+    rows = read(spark, sf_dir, "embeddings").select(F.concat(F.lit("p"), F.lpad(F.col("vec_id").cast("string"), 9, "0")).alias("path"), F.when(F.col("vec_id") % 7 == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding")).alias("embedding"), (F.col("vec_id") % 2).alias("half"))
+    first = maintenance.inserted(None, rows.where("half = 0").drop("half"), 64)
+    return maintenance.inserted(first, rows.where("half = 1").drop("half"), 64).select("id", "path", "is_deleted")
+
+
 @query
 def bm25_score(spark, sf_dir):
     return corpus(spark, sf_dir).select("doc_id", F.round(text.bm25(F.col("content"), text.query_terms(BM25_QUERY)), 6).alias("bm25"))
@@ -220,7 +241,13 @@ def grep_files_only(spark, sf_dir):
 
 @query
 def grep_include(spark, sf_dir):
-    return lines.grep(code(spark), "public function", include="*.{php,phtml}", ignore_case=True).select("path", "line")
+    return lines.grep(code(spark), "PUBLIC function", include="[!a-z]*, C*.{php, phtml}, ?ase.php", ignore_case=True).select("path", "line")
+
+
+@query
+def grep_context(spark, sf_dir):
+    """Ranges of lines around matches below a folder."""
+    return lines.with_context(code(spark), lines.grep(code(spark), "getCustomer|function (count|save)", scope="app/code/Acme"), 2)
 
 
 @query
@@ -261,7 +288,19 @@ def null_risks(spark, sf_dir):
 
 @query
 def set_null_calls(spark, sf_dir):
-    return lines.grep(code(spark), lines.NULL_CALL).select("path", "line")
+    return lines.located(code(spark), lines.NULL_CALL, {"setter": 1}).select("path", "line", "setter")
+
+
+@query
+def unchecked_chains(spark, sf_dir):
+    return lines.located(code(spark), lines.UNCHECKED_CHAIN, {"property": 1, "callee": 2}).select("path", "line", "property", "callee")
+
+
+@query
+def method_body(spark, sf_dir):
+    """Whole methods and the first lines of methods."""
+    rows = code(spark).where(F.col("path").endswith("Cart.php") | F.col("path").endswith("Many.php"))
+    return rows.select("path", F.explode(F.array(*map(F.lit, ("load", "save", "make", "later", "none")))).alias("method"), "content").select("path", "method", lines.method_body(F.col("content"), F.col("method")).alias("body"), lines.method_body(F.col("content"), F.col("method"), 3).alias("cut"), lines.method_snippet(F.col("content"), F.col("method"), 2).alias("snippet"))
 
 
 @query
@@ -292,14 +331,21 @@ for _name, _f in {
     "system_fields": extract.system_fields,
     "graphql_ops": extract.graphql_ops,
     "php_classes": extract.classes,
+    "php_imports": extract.imports,
+    "php_parents": extract.resolved_parents,
     "php_methods": extract.methods,
+    "php_params": extract.method_params,
+    "php_properties": extract.properties,
+    "class_roles": extract.class_roles,
     "plugin_methods": extract.plugin_methods,
     "ctor_params": extract.ctor_params,
     "event_dispatches": extract.dispatches,
     "sql_tables": extract.sql_tables,
+    "setup_tables": extract.setup_tables,
     "db_triggers": extract.db_triggers,
     "test_methods": extract.test_methods,
     "js_modules": extract.js_modules,
+    "js_exports": extract.js_exports,
 }.items():
     _extract(_name, _f)
 
@@ -332,7 +378,62 @@ def preference_resolve(spark, sf_dir):
 
 @query
 def inheritance_resolve(spark, sf_dir):
-    return graph.ancestors(extract.classes(code(spark)))
+    return graph.ancestors(extract.resolved_parents(code(spark)))
+
+
+@query
+def class_lookup(spark, sf_dir):
+    """Names to classes: whole names, short names, unknown ones."""
+    names = spark.createDataFrame([("Acme\\Shop\\Model\\Base",), ("\\Acme\\Other\\Base",), ("Base",), ("Elsewhere\\Cart",), ("Nothing",)], "name string")
+    return graph.class_paths(names, extract.classes(code(spark)))
+
+
+@query
+def inherited_methods(spark, sf_dir):
+    c = code(spark)
+    classes = extract.classes(c)
+    own = extract.methods(c).select("path", "method").join(classes.select("path", "fqcn"), "path").select("fqcn", "method", "path")
+    asked = spark.createDataFrame([("Acme\\Shop\\Model\\Leaf", m) for m in ("start", "shared", "top", "missing")], "fqcn string, method string")
+    return graph.defining_classes(asked, extract.resolved_parents(c), own)
+
+
+@query
+def typed_calls(spark, sf_dir):
+    return graph.calls(code(spark))
+
+
+@query
+def traced_calls(spark, sf_dir):
+    return graph.traced_calls(code(spark), spark.createDataFrame([("Leaf", "start"), ("Gone", "x")], "class string, method string"), 3)
+
+
+@query
+def api_bodies(spark, sf_dir):
+    return graph.api_bodies(code(spark))
+
+
+@query
+def config_consumers(spark, sf_dir):
+    c = code(spark)
+    return graph.config_consumers(c, extract.system_fields(c))
+
+
+@query
+def search_rows(spark, sf_dir):
+    """What an index knows of each file, with descriptions of some."""
+    known = spark.createDataFrame([("app/code/Acme/Shop/Helper/Text.php", "Cuts texts.")], "path string, description string")
+    rows = indexing.index_rows(code(spark), known)
+    flags = F.array_join(F.array_compact(F.array(*(F.when(F.col(c), F.lit(c[3:])) for c in sorted(x for x in rows.columns if x.startswith("is_"))))), ",")
+    return rows.select("path", "type", "component_type", "class_name", "class_type", "namespace", "extends", F.array_join("implements", ",").alias("implements"), F.array_join("methods", ",").alias("methods"), "method_name", flags.alias("flags"))
+
+
+@query
+def search_texts(spark, sf_dir):
+    """The search text and embedded text of files of each kind."""
+    known = spark.createDataFrame([("app/code/Acme/Shop/Helper/Text.php", "Cuts texts.")], "path string, description string")
+    rows = indexing.index_rows(code(spark), known)
+    some = rows.where(F.col("path").endswith("Helper/Text.php") | F.col("path").endswith("frontend/di.xml") | F.col("path").endswith("node.js"))
+    return some.select("path", "search_text", "embed_text")
 
 
 @query
@@ -443,6 +544,13 @@ def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.signals(searches(spark, sf_dir), "6 hours", "6 hours")
 
 
+@query
+def signal_gates(spark, sf_dir):
+    """The gates as they are used, 30 and 60 seconds: a call on the second of the gate is too late."""
+    calls = spark.createDataFrame(X.GATE_CALLS, "user_id long, event_id long, ts string, tool string, k long").withColumn("ts", F.col("ts").cast("timestamp"))
+    return learning.signals(calls).select("user_id", "event_id", "signal", "search_id")
+
+
 @query
 def session_signals(spark, sf_dir):
     return _signals(spark, sf_dir).select("user_id", "event_id", "signal", "search_id")
@@ -454,12 +562,13 @@ def signal_features(spark, sf_dir):
 
 
 def _learned(spark: SparkSession, sf_dir: str):
-    return learning.learned(_signals(spark, sf_dir).withColumn("query", F.concat_ws(" ", F.lit("query"), F.lit("term"), (F.col("k") % 20).cast("string"))))
+    return learning.learned(_signals(spark, sf_dir).withColumn("query", F.concat_ws(" ", F.lit("query"), F.lit("Term"), F.concat(F.lit("kind"), (F.col("k") % 7).cast("string")))))
 
 
 @query
 def pattern_weights(spark, sf_dir):
-    return _learned(spark, sf_dir)[0].groupBy("feature").agg(F.count("*").alias("n_patterns"), F.sum("n").alias("n_updates"), F.round(F.max("weight"), 6).alias("most"), F.round(F.min("weight"), 6).alias("least"))
+    """Weights of each pattern, told by its size, since engines hash patterns each in its way."""
+    return _learned(spark, sf_dir)[0].groupBy("feature").agg(F.count("*").alias("n_patterns"), F.sum("n").alias("n_updates"), F.round(F.max("weight"), 6).alias("most"), F.round(F.min("weight"), 6).alias("least"), F.round(F.sum(F.col("weight") * F.col("n")), 4).alias("weighted"))
 
 
 @query
@@ -467,6 +576,24 @@ def term_weights(spark, sf_dir):
     return _learned(spark, sf_dir)[1].select("term", "feature", F.round("weight", 6).alias("weight"), "n")
 
 
+@query
+def global_weights(spark, sf_dir):
+    return _learned(spark, sf_dir)[2].select("feature", F.round("weight", 6).alias("weight"), "n")
+
+
+@query
+def learned_adjustment(spark, sf_dir):
+    """Results of several queries moved by what was learned: the tables of weights joined by pattern, term and feature."""
+    queries = spark.createDataFrame([(1, "kind3 term query"), (2, "TERM kind5 other"), (3, "unknown words")], "query_id long, query string")
+    rows = results(spark).select(F.explode(F.array(*(F.lit(i).cast("long") for i in (1, 2, 3)))).alias("query_id"), (F.col("qid") * 100 + F.col("id")).alias("id"), "path", "type", "component_type", "is_plugin", "is_controller").dropDuplicates(["query_id", "id"])
+    return learning.query_adjustments(queries, rows, *_learned(spark, sf_dir)).select("query_id", "id", F.round("adjustment", 6).alias("adjustment"))
+
+
+@query
+def learning_status(spark, sf_dir):
+    return learning.status(*_learned(spark, sf_dir))
+
+
 @query
 def score_adjustment(spark, sf_dir):
     rows = results(spark)
@@ -508,3 +635,56 @@ def quality_by_category(spark, sf_dir):
 @query
 def percentile_latency(spark, sf_dir):
     return metrics.latency(read(spark, sf_dir, "events"), "value")
+
+
+@query
+def relevance(spark, sf_dir):
+    """Which results fit the conditions of a query, and how well."""
+    rows = results(spark).withColumn("class_name", F.regexp_extract("path", r"([A-Z]\w*)\.php$", 1)).withColumn("content", F.concat(F.lit("class "), "class_name", F.lit(" has a cart")))
+    out = None
+    for i, conditions in enumerate(X.CONDITIONS):
+        one = rows.select(F.lit(i).cast("long").alias("case_id"), "qid", "id", metrics.relevant(rows, conditions).alias("fits"), F.round(metrics.relevance(rows, conditions), 6).alias("grade"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query
+def pattern_pass(spark, sf_dir):
+    return _passed(spark).select("case_id", F.array_join("missed", ",").alias("missed"), "expected_hits", "unexpected_hits", "top_score", "passed")
+
+
+def _passed(spark: SparkSession) -> DataFrame:
+    found = spark.createDataFrame(X.CASE_RESULTS, "case_id long, rank long, text string, score double")
+    cases = spark.createDataFrame(X.CASES, "case_id long, expected array<string>, unexpected array<string>, min_score double")
+    return metrics.pattern_pass(found, cases)
+
+
+@query
+def missed_patterns(spark, sf_dir):
+    return metrics.missed_patterns(_passed(spark))
+
+
+@query
+def diff_risk(spark, sf_dir):
+    return lines.diff_risk(spark.createDataFrame(X.DIFFS, "path string, diff string"))
+
+
+@query
+def glob_scan(spark, sf_dir):
+    return globbed(code(spark), "**/etc/**/di.xml", "app/code/*/Shop/{Helper,Observer}/*.php", "vendor/**/?iew.php").select("path")
+
+
+@query
+def class_candidates(spark, sf_dir):
+    names = ["Acme\\ShopCart\\Model\\Item", "Acme\\Shop", "A\\\\B\\\\C"]
+    return spark.createDataFrame([(n, i, p) for n in names for i, p in enumerate(paths.class_candidates(n))], "name string, place long, path string")
+
+
+@query
+def pascal_names(spark, sf_dir):
+    return spark.createDataFrame([(1, "price_list"), (2, "sku"), (3, "isoCode_a"), (4, "")], "id long, name string").select("id", text.pascal(F.col("name")).alias("pascal"))
+
+
+@query
+def safe_versions(spark, sf_dir):
+    return spark.createDataFrame([(1, "1.2.3"), (2, "1.2.3-beta.1"), (3, "1.2"), (4, "1.2.3; rm"), (5, "v1.2.3")], "id long, v string").select("id", paths.is_version(F.col("v")).alias("ok"))

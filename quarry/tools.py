@@ -1,6 +1,6 @@
 """The catalogue of 47 tools over one code tree: every tool gives a DataFrame composed of the operators.
 
-Engine(files) takes path and content; relations are extracted once and cached by Spark as the caller wishes. Search tools
+Engine(files) takes path and content; relations are extracted once. Search tools
 rank an index of the same files by the embedder's similarity, keyword bonus and term weights.
 """
 
@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import paths, text
 from quarry.functions.embed import HashingEmbedder, embedded
-from quarry.operators import extract, filters, graph, lines, maintenance, retrieval
+from quarry.operators import extract, filters, graph, indexing, learning, lines, maintenance, retrieval
+from quarry.session import checkpointed
 from quarry.sources import store
 
 TOOLS: dict[str, str] = {}
@@ -27,39 +29,51 @@ def tool(f: Callable) -> Callable:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, files: DataFrame, embedder=None, descriptions: DataFrame | None = None, diffs: DataFrame | None = None, config: DataFrame | None = None):
+    """files: path, content. Relations and the index are computed once and kept as reliable checkpoints; with a root the
+    index is kept there as a versioned table and read again by later engines.
+
+    descriptions: path, description (and hash, ts); diffs: path, diff (and commit, staged); config: env, scope, config_path,
+    value; feedback: the three tables of learned weights; adapter: the learned change of query vectors.
+    """
+
+    def __init__(self, spark: SparkSession, files: DataFrame, embedder=None, descriptions: DataFrame | None = None, diffs: DataFrame | None = None, config: DataFrame | None = None, feedback: tuple[DataFrame, DataFrame, DataFrame] | None = None, adapter=None, root: str | None = None):
         self.spark, self.files, self.embedder = spark, files, embedder or HashingEmbedder()
-        self.descriptions, self.diffs, self.config = descriptions, diffs, config
+        self.descriptions, self.diffs, self.config, self.feedback, self.adapter, self.root = descriptions, diffs, config, feedback, adapter, root
         self._index: DataFrame | None = None
         self._cache: dict[tuple, DataFrame] = {}
+        self._relations: dict[str, DataFrame] = {}
+
+    def relation(self, name: str) -> DataFrame:
+        """A relation of quarry.operators.extract over the files."""
+        if name not in self._relations:
+            self._relations[name] = checkpointed(getattr(extract, name)(self.files))
+        return self._relations[name]
 
     # The index
 
+    def _built(self) -> DataFrame:
+        known = self.descriptions if self.descriptions is not None and "description" in self.descriptions.columns else None
+        rows = embedded(indexing.index_rows(self.files, known), "embed_text", self.embedder).drop("embed_text")
+        return maintenance.inserted(None, rows, len(self.embedder([""])[0]))
+
     @tool
-    def index(self) -> DataFrame:
-        """Rows of the index: path, types, module, names, search text, role flags, vector."""
-        if self._index is None:
-            p, c = F.col("path"), F.col("content")
-            name = F.nullif(F.regexp_extract("content", r"(?m)^(?:abstract\s+|final\s+)*(?:class|interface|trait)\s+(\w+)", 1), F.lit(""))
-            rows = self.files.select(p, c, paths.file_type(p).alias("type"), paths.component_type(p).alias("component_type"), paths.module(p).alias("module"), paths.area(p).alias("area"), name.alias("class_name"), F.array_join(F.regexp_extract_all("content", F.lit(r"function\s+(\w+)"), F.lit(1)), " ").alias("methods"))
-            low = F.lower(F.concat(F.lit("/"), p))
-            for role in ("plugin", "controller", "observer", "block", "model"):
-                rows = rows.withColumn(f"is_{role}", low.contains(f"/{role}/"))
-            rows = rows.withColumn("is_repository", low.contains("repository")).withColumn("is_resolver", low.contains("resolver"))
-            camel = text.split_camel(F.coalesce("class_name", F.lit("")))
-            rows = rows.withColumn("search_text", F.concat_ws(" ", F.regexp_replace("path", "[/._-]+", " "), "class_name", camel, "methods", "component_type"))
-            rows = rows.withColumn("__t", F.concat_ws(" ", "search_text", F.substring("content", 1, 6000)))
-            self._index = embedded(rows, "__t", self.embedder).drop("__t").withColumn("id", F.xxhash64("path")).withColumn("is_deleted", F.lit(False))
-        return self._index
+    def index(self, path: str | None = None) -> DataFrame:
+        """Rows of the index: path, types, module, names, search text, role flags, vector; of all files or of those below a path."""
+        if self._index is None and self.root:
+            if not store.versions(self.spark, self.root):
+                store.save(self._built(), self.root)
+            self._index = store.load(self.spark, self.root)
+        elif self._index is None:
+            self._index = checkpointed(self._built())
+        return self._index.where(lines.under(F.col("path"), path)) if path else self._index
 
     @tool
     def search(self, query: str, limit: int = 10, modules=None, without=None, expand: bool = True, precise: bool = False) -> DataFrame:
-        """Ranked files for a query, with module filters, expansion and a precise mode."""
+        """Ranked files for a query with their descriptions, module filters, expansion and a precise mode."""
         key = ("search", query, limit, str(modules), str(without), expand, precise)
         if key not in self._cache:
             asked = query if precise or not expand else self._expanded(query)
-            fetch = 200 if modules or without else 60 if precise else 30
-            rows = self._ranked(asked, fetch)
+            rows = self._ranked(asked, max(limit, 200 if modules else 60 if precise else 30))
             rows = retrieval.bm25_rerank(rows, query)
             if precise:
                 rows = rows.where(filters.precise(F.concat_ws(" ", "search_text", "class_name", "path", "methods"), query))
@@ -75,27 +89,41 @@ class Engine:
         return " ".join([query, *(s for t in query.lower().split() for s in text.SYNONYMS.get(t, ()))])
 
     def _ranked(self, query: str, fetch: int) -> DataFrame:
-        vector = [float(x) for x in self.embedder([query])[0]]
-        near = retrieval.nearest(self.index(), vector, 3 * fetch)
-        return near.withColumn("score", F.col("similarity") + retrieval.keyword_bonus(near, query))
-
-    def _found(self, query: str, role: Column | None = None, least: int = 1, limit: int = 10, **boosts) -> DataFrame:
-        rows = retrieval.metadata_boost(self._ranked(query, 30), **boosts)
+        """The best rows by similarity, bonus and what was learned, out of three times as many by similarity alone."""
+        vector = np.asarray(self.embedder([query])[0], float)
+        vector = self.adapter.adjust(vector) if self.adapter is not None else vector
+        learned = None
+        if self.feedback is not None:
+            known = learning.weights_for(query, *self.feedback)
+            learned = lambda df: learning.adjustment(df, *known)
+        near = retrieval.reranked(self.index(), [float(x) for x in vector], query, 3 * fetch, learned)
+        return near.orderBy(F.desc("score"), "path").limit(fetch)
+
+    def _found(self, query: str, role: Column | None = None, least: int = 1, limit: int = 10, fetch: int = 30, **boosts) -> DataFrame:
+        rows = retrieval.metadata_boost(self._ranked(query, fetch), **boosts)
         if role is not None:
             rows = filters.soft_filter(rows.withColumn("__all", F.lit(1)), role, ["__all"], least).drop("__all")
         return retrieval.ranked(rows.orderBy(F.desc("score"), "path").limit(limit), [F.desc("score"), F.col("path")])
 
+    def _with_body(self, rows: DataFrame, method: Column | str) -> DataFrame:
+        """rows (path) with the body of a method in their file."""
+        return rows.join(self.files.select("path", F.col("content").alias("content_")), "path", "left").withColumn("body", lines.method_body(F.col("content_"), method)).drop("content_")
+
     @tool
-    def find_class(self, class_name: str) -> DataFrame:
-        """Classes by whole, partial or short name."""
-        return extract.classes(self.files).where(filters.class_matches(F.col("fqcn"), class_name)).orderBy(F.lower("fqcn") != class_name.lower(), "fqcn", "path")
+    def find_class(self, class_name: str, namespace: str | None = None) -> DataFrame:
+        """Classes by whole, partial or short name, in a namespace or any."""
+        rows = self.relation("classes").where(filters.class_matches(F.col("fqcn"), class_name))
+        if namespace:
+            rows = rows.where(F.lower("fqcn").contains(namespace.lower().strip("\\")))
+        return rows.orderBy(F.lower("fqcn") != class_name.lower(), "fqcn", "path")
 
     @tool
-    def find_method(self, method: str, class_name: str | None = None) -> DataFrame:
-        """Files that define a method, those of the class first."""
-        rows = extract.methods(self.files).where(F.col("method") == method)
-        order = [~F.col("path").contains(f"/{class_name}.php")] if class_name else []
-        return rows.orderBy(*order, "path", "method")
+    def find_method(self, method: str, class_name: str | None = None, limit: int = 5) -> DataFrame:
+        """Files that define a method, whole names before partial ones and those of the class first, with its body."""
+        rows = self.relation("methods").where(F.lower("method").contains(method.lower())).select("path", "method", "visibility").distinct()
+        exact = F.lower("method") == method.lower()
+        order = [~exact, *([~F.col("path").endswith(f"/{class_name.rsplit(chr(92), 1)[-1]}.php")] if class_name else []), "path", "method"]
+        return self._with_body(rows.orderBy(*order).limit(limit), F.col("method")).orderBy(*order)
 
     @tool
     def find_config(self, query: str, config_type: str | None = None) -> DataFrame:
@@ -115,42 +143,52 @@ class Engine:
 
     @tool
     def find_plugin(self, target: str | None = None, method: str | None = None) -> DataFrame:
-        """Declared interceptors of a class with their methods."""
-        rows = extract.plugins(self.files)
-        rows = rows.where(filters.class_matches(F.col("target"), target)) if target else rows
-        own = extract.plugin_methods(self.files).select(F.regexp_extract("path", r"([^/]+)\.php$", 1).alias("short"), "type", "target_method")
+        """Declared interceptors of a class, or of classes in a namespace of that name, with their methods and bodies."""
+        rows = self.relation("plugins")
+        if target:
+            rows = rows.where(filters.class_matches(F.col("target"), target) | filters.segment_matches(F.col("target"), target))
+        own = self.relation("plugin_methods").select(F.col("path").alias("class_path"), F.regexp_extract("path", r"([^/]+)\.php$", 1).alias("short"), F.col("type"), "target_method")
         out = rows.withColumn("short", paths.short_name(F.col("plugin_class"))).join(own, "short", "left").drop("short")
-        return out.where(F.col("target_method") == method) if method else out
+        out = out.where(F.col("target_method") == method) if method else out
+        name = F.concat("type", F.upper(F.substring("target_method", 1, 1)), F.substring("target_method", 2, 1000))
+        bodies = self.files.select(F.col("path").alias("class_path"), F.col("content").alias("content_"))
+        return out.join(bodies, "class_path", "left").withColumn("body", lines.method_body(F.col("content_"), name)).drop("content_", "class_path")
 
     @tool
     def find_observer(self, event: str) -> DataFrame:
-        """Observers of an event."""
-        return extract.observers(self.files).where(F.col("event") == event)
+        """Observers of an event; where none is declared, the files that a search finds for it, with a null name."""
+        rows = self.relation("observers").where(F.col("event") == event)
+        if not rows.isEmpty():
+            return rows
+        found = self._found(f"observer {event}", F.col("is_observer") | F.col("path").endswith("events.xml"))
+        none = F.lit(None).cast("string")
+        return found.select(F.lit(event).alias("event"), none.alias("name"), F.col("class_name").alias("instance"), none.alias("method"), "path")
 
     @tool
     def find_preference(self, interface: str) -> DataFrame:
         """What an interface is bound to."""
-        return extract.preferences(self.files).where(filters.class_matches(F.col("iface"), interface))
+        return self.relation("preferences").where(filters.class_matches(F.col("iface"), interface))
 
     @tool
     def find_api(self, query: str, method: str | None = None) -> DataFrame:
         """Web routes whose url or service holds the query."""
-        rows = extract.routes(self.files).where(F.lower(F.concat_ws(" ", "url", "service_class", "service_method")).contains(query.lower()))
+        rows = self.relation("routes").where(F.lower(F.concat_ws(" ", "url", "service_class", "service_method")).contains(query.lower()))
         return rows.where(F.col("http_method") == method.upper()) if method else rows
 
     @tool
     def find_controller(self, route: str, area: str | None = None) -> DataFrame:
-        """Controllers, those that share most segments with a route first."""
+        """Controllers, those that share most segments with a route first, with the body of execute()."""
         hits = F.lit(0)
         for s in route.strip("/").lower().split("/"):
             hits = hits + F.lower("path").contains(s).cast("int")
         rows = self.index().where(F.col("is_controller") & (F.lit(area is None) | (F.col("area") == (area or ""))))
-        return rows.withColumn("hits", hits).orderBy(F.desc("hits"), "path").limit(20)
+        top = rows.withColumn("hits", hits).orderBy(F.desc("hits"), "path").limit(20)
+        return self._with_body(top.drop("content"), "execute").orderBy(F.desc("hits"), "path")
 
     @tool
     def find_block(self, query: str) -> DataFrame:
         """View classes for a query."""
-        return self._found(query, F.col("is_block"), flags=("is_block",))
+        return self._found(query, filters.role("is_block", "/Block/"), flags=("is_block",))
 
     @tool
     def find_cron(self, job: str) -> DataFrame:
@@ -158,9 +196,14 @@ class Engine:
         return self._found(f"cron {job}", F.col("component_type").isin("crontab_config", "cron"), path_contains=("cron",))
 
     @tool
-    def find_graphql(self, query: str) -> DataFrame:
-        """Schema operations and their resolvers."""
-        return extract.graphql_ops(self.files).where(F.lower("op").contains(query.lower()) | F.lower("resolver_class").contains(query.lower()))
+    def find_graphql(self, query: str, schema_type: str | None = None) -> DataFrame:
+        """Schema operations and their resolvers; of a type (type, input, interface, enum, query, mutation) or all."""
+        rows = self.relation("graphql_ops").where(F.lower("op").contains(query.lower()) | F.lower("resolver_class").contains(query.lower()))
+        if not schema_type:
+            return rows
+        name = schema_type.lower()
+        head = rf"(?i)\b(?:type\s+{name}|{name}\s+\w+)\b" if name in ("query", "mutation") else rf"(?i)\b{name}\s+\w+"
+        return rows.join(self.files.where(F.col("content").rlike(head)).select("path"), "path", "left_semi")
 
     @tool
     def find_db_schema(self, table: str) -> DataFrame:
@@ -171,49 +214,70 @@ class Engine:
     @tool
     def find_trigger(self, name: str | None = None, table: str | None = None) -> DataFrame:
         """Database triggers by name or table."""
-        rows = extract.db_triggers(self.files)
+        rows = self.relation("db_triggers")
         rows = rows.where(F.col("name") == name) if name else rows
         return rows.where(F.col("table") == table) if table else rows
 
     @tool
     def find_table_usage(self, table: str) -> DataFrame:
         """Files that use a table, by kind of use."""
-        rows = extract.sql_tables(self.files).where(F.col("table") == table.lower())
+        rows = self.relation("sql_tables").where(F.col("table") == table.lower())
         kind = F.when(F.lower("path").contains("/setup/"), "setup").when(F.lower("path").contains("/model/"), "model").when(F.col("path").endswith(".xml"), "schema").otherwise("other")
         return rows.select("path", "table", kind.alias("usage"))
 
     @tool
     def module_structure(self, module: str) -> DataFrame:
-        """Files of a module by overlapping categories."""
-        rows = self.index().where(F.lower(F.coalesce("module", F.lit(""))) == module.lower())
-        flags = F.array_compact(F.array(*(F.when(F.col(f"is_{r}"), F.lit(r)) for r in ("plugin", "controller", "observer", "block", "model", "repository", "resolver")), F.when(F.col("type") == "xml", F.lit("config"))))
+        """Files of a module by overlapping categories: controllers, models, blocks, plugins, observers, apis, configs, other."""
+        rows = self.index().where(filters.in_module(module))
+        p = F.concat(F.lit("/"), F.col("path"))
+        has = lambda part: p.contains(part)
+        known = {
+            "controllers": F.col("is_controller") | has("/Controller/"),
+            "models": (F.col("is_model") | has("/Model/")) & ~has("ResourceModel"),
+            "blocks": F.col("is_block") | has("/Block/"),
+            "plugins": F.col("is_plugin") | has("/Plugin/"),
+            "observers": F.col("is_observer") | has("/Observer/"),
+            "apis": has("/Api/"),
+            "configs": F.col("type") == "xml",
+        }
+        some = known["controllers"] | has("/Model/") | known["blocks"] | known["plugins"] | known["observers"] | known["apis"] | known["configs"]
+        flags = F.array_compact(F.array(*(F.when(t, F.lit(k)) for k, t in known.items()), F.when(~some, F.lit("other"))))
         return rows.select(F.explode(flags).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
 
     @tool
-    def analyze_diff(self) -> DataFrame:
-        """Added and removed lines of each file of the given diffs (path, diff), and a risk by size and kind."""
+    def analyze_diff(self, commit: str | None = None, staged: bool | None = None) -> DataFrame:
+        """Added and removed lines of each file of the given diffs, a risk by size and kind, and all of them together (path
+        null): the sums and the greatest risk."""
         if self.diffs is None:
             raise ValueError("the engine has no diffs")
-        count = lambda sign: F.size(F.filter(F.split("diff", "\n"), lambda x: x.startswith(sign) & ~x.startswith(sign * 3))).cast("long")
-        rows = self.diffs.select("path", count("+").alias("added"), count("-").alias("removed"))
-        size = F.col("added") + F.col("removed")
-        return rows.withColumn("risk", F.least(F.lit(1.0), size / 200 + F.when(paths.component_type(F.col("path")).isin("di_config", "db_schema", "plugin"), 0.3).otherwise(0.0)))
+        rows = self.diffs
+        rows = rows.where(F.col("commit") == commit) if commit else rows
+        rows = rows.where(F.col("staged") == staged) if staged is not None else rows
+        each = lines.diff_risk(rows)
+        total = each.agg(F.lit(None).cast("string").alias("path"), F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.max("risk").alias("risk"))
+        return each.unionByName(total)
 
     @tool
-    def complexity(self, threshold: int = 0, top: int = 50) -> DataFrame:
-        """The most complex files."""
-        return lines.complexity(self.files, threshold).orderBy(F.desc("complexity"), "path").limit(top)
+    def complexity(self, threshold: int = 0, top: int = 50, module: str | None = None, path: str | None = None) -> DataFrame:
+        """The most complex files, of a module, below a path or of all."""
+        rows = self.files.where(lines.under(F.col("path"), path)) if path else self.files
+        if module:
+            rows = rows.withColumn("module", paths.module(F.col("path"))).where(filters.in_module(module))
+        return lines.complexity(rows, threshold).orderBy(F.desc("complexity"), "path").limit(top)
 
     @tool
-    def describe(self) -> DataFrame:
-        """Files whose description is missing or out of date."""
-        known = self.descriptions if self.descriptions is not None else self.spark.createDataFrame([], "path string, hash string")
-        return maintenance.described(self.files, known).where("stale")
+    def describe(self, force: bool = False, describer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """Files whose description is missing or out of date, or all by force; with a describer, all descriptions after it
+        wrote the stale ones."""
+        known = self.descriptions if self.descriptions is not None else self.spark.createDataFrame([], "path string, hash string, description string, ts timestamp")
+        if describer is None:
+            return maintenance.described(self.files, known, force).where("stale")
+        return maintenance.redescribed(self.files, known, describer, F.current_timestamp(), force)
 
     @tool
     def find_fieldset(self, fieldset: str | None = None, aspect: str | None = None) -> DataFrame:
         """Fields of fieldsets by aspect."""
-        rows = extract.fieldsets(self.files)
+        rows = self.relation("fieldsets")
         rows = rows.where(F.col("fieldset") == fieldset) if fieldset else rows
         rows = rows.where(F.col("aspect") == aspect) if aspect else rows
         return rows.groupBy("fieldset", "aspect").agg(F.array_sort(F.collect_list("field")).alias("fields"))
@@ -221,26 +285,33 @@ class Engine:
     @tool
     def trace_shipping_chain(self, carrier: str | None = None) -> DataFrame:
         """Carrier classes with their interceptors."""
-        rows = extract.classes(self.files).where(F.lower("parent").contains("carrier") | F.lower("interfaces").contains("carrier") | F.lower("fqcn").contains((carrier or "carrier").lower()))
-        return rows.join(extract.plugins(self.files).select(F.col("target").alias("fqcn"), F.col("name").alias("plugin")), "fqcn", "left")
+        rows = self.relation("classes").where(F.lower("parent").contains("carrier") | F.lower("interfaces").contains("carrier") | F.lower("fqcn").contains((carrier or "carrier").lower()))
+        return rows.join(self.relation("plugins").select(F.col("target").alias("fqcn"), F.col("name").alias("plugin")), "fqcn", "left")
 
     @tool
-    def trace_flow(self, entry: str) -> DataFrame:
-        """What answers an entry point: a web route, event, schema operation or controller."""
-        kind = self.spark.range(1).select(paths.entry_type(F.lit(entry)).alias("k")).first()[0]
-        if kind == "api":
-            return self.trace_api(url=entry)
+    def trace_flow(self, entry: str, entry_type: str | None = None, depth: str = "shallow") -> DataFrame:
+        """What answers an entry point: a web route, event, schema operation, scheduled job or controller. A deep trace of a
+        route or controller gives the calls below its method."""
+        kind = entry_type if entry_type and entry_type != "auto" else self.spark.range(1).select(paths.entry_type(F.lit(entry)).alias("k")).first()[0]
+        if kind == "cron":
+            return self.find_cron(entry)
         if kind == "event":
             return self.find_event_flow(entry)
-        return self.find_graphql(entry) if kind == "graphql" else self.find_controller(entry)
+        if kind == "graphql":
+            return self.find_graphql(entry)
+        rows = self.trace_api(url=entry) if kind == "api" else self.find_controller(entry)
+        if depth != "deep":
+            return rows
+        start = rows.select(F.coalesce("impl", "service_class").alias("class"), F.col("service_method").alias("method")) if kind == "api" else rows.where(F.col("hits") > 0).limit(3).select(F.concat_ws("\\", "namespace", "class_name").alias("class"), F.lit("execute").alias("method"))
+        return graph.traced_calls(self.files, start, 2)
 
     @tool
     def trace_dependency(self, class_name: str, direction: str = "both") -> DataFrame:
         """Bindings, interceptors and constructor uses of a class: what it resolves to, and what depends on it."""
-        p, c = extract.preferences(self.files), extract.ctor_params(self.files)
+        p, c = self.relation("preferences"), self.relation("ctor_params")
         down = p.where(filters.class_matches(F.col("iface"), class_name)).select(F.lit("resolves_to").alias("kind"), F.col("impl").alias("name"), "path")
         up = c.where(filters.class_matches(F.col("type_hint"), class_name)).select(F.lit("used_by").alias("kind"), F.col("variable").alias("name"), "path")
-        up = up.unionByName(extract.plugins(self.files).where(filters.class_matches(F.col("target"), class_name)).select(F.lit("plugin").alias("kind"), F.col("name"), "path"))
+        up = up.unionByName(self.relation("plugins").where(filters.class_matches(F.col("target"), class_name)).select(F.lit("plugin").alias("kind"), F.col("name"), "path"))
         return down if direction == "resolve" else up if direction == "dependents" else down.unionByName(up)
 
     @tool
@@ -249,129 +320,137 @@ class Engine:
         return extract.errors(self.spark.createDataFrame([(error,)], "error string"))
 
     @tool
-    def performance_profile(self, subsystem: str) -> DataFrame:
+    def performance_profile(self, subsystem: str, threshold: int = 0) -> DataFrame:
         """The most complex files of a subsystem."""
         rows = self._found(SUBSYSTEMS.get(subsystem, subsystem), limit=30)
-        return rows.join(lines.complexity(self.files), "path", "left").select("path", "score", F.coalesce("complexity", F.lit(0)).alias("complexity"), F.coalesce("rating", F.lit("unknown")).alias("rating")).orderBy(F.desc("complexity"), "path")
+        return rows.join(lines.complexity(self.files), "path", "left").select("path", "score", F.coalesce("complexity", F.lit(0)).alias("complexity"), F.coalesce("rating", F.lit("unknown")).alias("rating")).where(F.col("complexity") >= threshold).orderBy(F.desc("complexity"), "path")
 
     @tool
     def find_layout(self, query: str | None = None, handle: str | None = None) -> DataFrame:
         """Layout nodes by name or handle."""
         if not query and not handle:
             raise ValueError("query or handle is needed")
-        rows = extract.layout_nodes(self.files)
+        rows = self.relation("layout_nodes")
         rows = rows.where(F.lower("name").contains(query.lower())) if query else rows
         return rows.where(F.col("handle") == handle) if handle else rows
 
     @tool
     def impact_analysis(self, class_name: str) -> DataFrame:
         """References to a class by kind."""
-        f = self.files
-        return graph.impact(class_name, extract.preferences(f), extract.plugins(f), extract.ctor_params(f), extract.observers(f), extract.classes(f))
+        return graph.impact(class_name, *map(self.relation, ("preferences", "plugins", "ctor_params", "observers", "classes")))
 
     @tool
     def find_event_flow(self, event: str) -> DataFrame:
         """Who dispatches an event and who observes it."""
-        return graph.event_flow(extract.dispatches(self.files), extract.observers(self.files)).where(F.col("event") == event)
+        return graph.event_flow(self.relation("dispatches"), self.relation("observers")).where(F.col("event") == event)
 
     @tool
     def find_test(self, class_name: str, method: str | None = None) -> DataFrame:
         """Tests of a class by the name of their file."""
-        rows = extract.test_methods(self.files).where(F.col("path").contains(f"{class_name}Test"))
+        rows = self.relation("test_methods").where(F.col("path").contains(f"{class_name}Test"))
         return rows.where(F.lower("test_method").contains(method.lower())) if method else rows
 
     @tool
     def find_implementors(self, interface: str) -> DataFrame:
         """Classes and bindings of an interface."""
-        return graph.implementors(extract.classes(self.files), extract.preferences(self.files), interface)
+        return graph.implementors(self.relation("classes"), self.relation("preferences"), interface)
 
     @tool
-    def find_callers(self, method: str) -> DataFrame:
-        """Call sites of a method, five a file at most."""
-        sites = lines.enclosing(lines.lines(self.files.where(F.col("content").contains(method)))).where(F.col("text").rlike(rf"(->|::)\Q{method}\E\s*\(") | F.col("text").contains(f'method="{method}"'))
-        return lines.capped(sites, ["path"], 5, [F.col("line")]).select("path", "line", "method", F.trim("text").alias("text"))
+    def find_callers(self, method: str, class_name: str | None = None) -> DataFrame:
+        """Call sites of a method in code and configuration, five a file at most; files that name the class first."""
+        short = class_name.rsplit("\\", 1)[-1] if class_name else ""
+        src = self.files.where(F.col("content").contains(method)).withColumn("names_class", F.lit(not short) | F.col("content").contains(short))
+        sites = lines.enclosing(lines.lines(src)).where(F.col("text").rlike(rf"(->|::)\Q{method}\E\s*\(") | F.col("text").contains(f'method="{method}"'))
+        top = lines.capped(sites, ["path"], 5, [F.col("line")]).join(src.select("path", "names_class"), "path")
+        return top.select("path", "line", "method", F.trim("text").alias("text"), "names_class").orderBy(~F.col("names_class"), "path", "line")
 
     @tool
     def find_di_wiring(self, class_name: str) -> DataFrame:
         """All declarations that name a class, by kind."""
-        f = self.files
+        r = self.relation
         parts = [
-            extract.preferences(f).select(F.lit("preference").alias("kind"), F.col("iface").alias("subject"), F.col("impl").alias("value"), "path"),
-            extract.plugins(f).select(F.lit("plugin").alias("kind"), F.col("target").alias("subject"), F.col("plugin_class").alias("value"), "path"),
-            extract.virtual_types(f).select(F.lit("virtual_type").alias("kind"), F.col("name").alias("subject"), F.col("type").alias("value"), "path"),
-            extract.di_arguments(f).select(F.lit("argument").alias("kind"), F.col("target").alias("subject"), F.concat_ws("=", "arg", "value").alias("value"), "path"),
-            extract.ctor_params(f).select(F.lit("constructor").alias("kind"), F.col("type_hint").alias("subject"), F.col("variable").alias("value"), "path"),
+            r("preferences").select(F.lit("preference").alias("kind"), F.col("iface").alias("subject"), F.col("impl").alias("value"), "path"),
+            r("plugins").select(F.lit("plugin").alias("kind"), F.col("target").alias("subject"), F.col("plugin_class").alias("value"), "path"),
+            r("virtual_types").select(F.lit("virtual_type").alias("kind"), F.col("name").alias("subject"), F.col("type").alias("value"), "path"),
+            r("di_arguments").select(F.lit("argument").alias("kind"), F.col("target").alias("subject"), F.concat_ws("=", F.concat_ws("/", "arg", "item"), F.substring("value", 1, 200)).alias("value"), "path"),
+            r("ctor_params").select(F.lit("constructor").alias("kind"), F.col("type_hint").alias("subject"), F.col("variable").alias("value"), "path"),
         ]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return out.where(filters.class_matches(F.col("subject"), class_name) | filters.class_matches(F.col("value"), class_name))
 
-    def calls(self) -> DataFrame:
-        """caller, callee: calls inside methods, own ones by class, others by the constructor's type of the property."""
-        src = lines.lines(self.files.where(F.col("path").endswith(".php")))
-        inside = lines.enclosing(src, reach=200).where(F.col("method").isNotNull())
-        short = F.regexp_extract("path", r"([^/]+)\.php$", 1)
-        own = inside.select("path", F.concat_ws("::", short, "method").alias("caller"), F.explode(F.regexp_extract_all("text", F.lit(r"\$this->(\w+)\("), F.lit(1))).alias("m")).select("caller", F.concat_ws("::", short, "m").alias("callee"))
-        pattern = r"\$this->(\w+)->(\w+)\("
-        pair = F.explode(F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("p"), F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("m")))
-        other = inside.select("path", F.concat_ws("::", short, "method").alias("caller"), pair.alias("c")).select("path", "caller", F.col("c.p").alias("variable"), F.col("c.m").alias("m"))
-        typed = other.join(extract.ctor_params(self.files), ["path", "variable"], "left")
-        return own.unionByName(typed.select("caller", F.concat_ws("::", F.coalesce(paths.short_name(F.col("type_hint")), "variable"), "m").alias("callee"))).distinct()
-
     @tool
     def trace_call_chain(self, class_name: str, method: str, depth: int = 3) -> DataFrame:
-        """Calls below a method, with their trails."""
-        start = self.spark.createDataFrame([(f"{class_name.rsplit(chr(92), 1)[-1]}::{method}",)], "method string")
-        return graph.call_chain(self.calls(), start, depth)
+        """Calls below a method, through inheritance and bindings, with their trails."""
+        return graph.traced_calls(self.files, self.spark.createDataFrame([(class_name, method)], "class string, method string"), depth)
 
     @tool
-    def trace_data_flow(self, attribute: str) -> DataFrame:
-        """Lines that set, read or declare an attribute, with their method."""
+    def trace_data_flow(self, attribute: str, model_class: str | None = None) -> DataFrame:
+        """The first line of each file and kind that sets, reads or declares an attribute, with its method; files that name
+        the model first."""
         pascal = "".join(p[:1].upper() + p[1:] for p in attribute.split("_"))
-        rows = lines.enclosing(lines.lines(self.files))
+        short = model_class.rsplit("\\", 1)[-1] if model_class else ""
+        src = self.files.where(F.col("content").contains(attribute) | F.col("content").contains(pascal)).withColumn("names_model", F.lit(not short) | F.col("content").contains(short))
+        rows = lines.enclosing(lines.lines(src))
         t = F.col("text")
-        kind = F.when(t.contains(f"set{pascal}(") | t.rlike(rf"setData\(\s*'{attribute}'"), "setter").when(t.contains(f"get{pascal}(") | t.rlike(rf"getData\(\s*'{attribute}'"), "getter").when(t.rlike(rf"const\s+\w+\s*=\s*'{attribute}'"), "constant").when(F.col("path").endswith(".xml") & t.contains(f'"{attribute}"'), "xml")
-        return rows.withColumn("kind", kind).where(F.col("kind").isNotNull()).select("path", "line", "kind", "method")
+        kind = F.when(t.contains(f"set{pascal}(") | t.rlike(rf"setData\(\s*['\"]{attribute}['\"]"), "setter").when(t.contains(f"get{pascal}(") | t.rlike(rf"getData\(\s*['\"]{attribute}['\"]"), "getter").when(t.rlike(rf"const\s+\w+\s*=\s*['\"]{attribute}['\"]"), "constant").when(F.col("path").endswith(".xml") & t.contains(f'"{attribute}"'), "xml")
+        found = rows.withColumn("kind", kind).where(F.col("kind").isNotNull())
+        first = filters.best_per(found, ["path", "kind"], [F.col("line")]).join(src.select("path", "names_model"), "path")
+        return first.select("path", "line", "kind", "method", "names_model").orderBy(~F.col("names_model"), "path", "line", "kind")
 
     @tool
     def find_event_dispatchers(self, event: str) -> DataFrame:
         """Lines that dispatch an event, their method and context, and its number of observers."""
         rows = lines.context_text(lines.enclosing(lines.lines(self.files.where(F.col("content").contains(event)))), 2, 2).where(F.col("text").rlike(rf"dispatch\(\s*['\"]{event}['\"]"))
-        heard = self.find_observer(event).agg(F.count("*").alias("n_observers"))
-        return rows.select("path", "line", "method", "context").join(F.broadcast(heard), F.lit(True))
+        heard = self.relation("observers").where(F.col("event") == event).count()
+        return rows.select("path", "line", "method", "context", F.lit(heard).cast("long").alias("n_observers"))
 
     @tool
-    def batch(self, queries: list[str], limit: int = 5) -> DataFrame:
-        """Up to ten searches in one plan."""
+    def batch(self, queries: list, limit: int = 5) -> dict[str, DataFrame] | DataFrame:
+        """Up to ten requests: texts are searched by their vectors in one plan; {"tool", "args"} run that tool, and give a
+        frame for each place and name."""
         if len(queries) > 10:
             raise ValueError("at most 10 queries")
+        if any(isinstance(q, dict) for q in queries):
+            out = {}
+            for i, q in enumerate(queries):
+                if q["tool"] not in TOOLS or q["tool"] == "batch":
+                    raise ValueError(f"no tool {q['tool']} in a batch")
+                out[f"{i}:{q['tool']}"] = getattr(self, q["tool"])(**q.get("args", {}))
+            return out
         vectors = [(i, [float(x) for x in v]) for i, v in enumerate(self.embedder(queries))]
         asked = self.spark.createDataFrame(vectors, "query_id int, vector array<float>")
-        return retrieval.batch_nearest(self.index().select("id", "embedding"), asked, limit).join(self.index().select("id", "path"), "id")
+        top = retrieval.batch_nearest(self.index().where(~F.col("is_deleted")).select("id", "embedding"), asked, limit)
+        return self.index().select("id", "path").join(F.broadcast(top), "id")  # limit rows for each of ten queries
 
     @tool
-    def grep(self, pattern: str, include: str | None = None, ignore_case: bool = False, limit: int = 50, files_only: bool = False) -> DataFrame:
-        """Matching lines, or files with their number of matches."""
+    def grep(self, pattern: str, include: str | None = None, ignore_case: bool = False, limit: int = 50, files_only: bool = False, path: str | None = None, context: int | None = None) -> DataFrame:
+        """Matching lines, files with their number of matches, or with a context the ranges of lines around matches."""
+        found = lines.grep(self.files, pattern, include, ignore_case, path)
         if files_only:
-            return lines.grep(self.files, pattern, include, ignore_case).groupBy("path").agg(F.count("*").alias("n_matches")).orderBy("path").limit(min(limit, lines.MAX_RESULTS))
-        return lines.top_matches(lines.grep(self.files, pattern, include, ignore_case), limit)
+            return found.groupBy("path").agg(F.count("*").alias("n_matches")).orderBy("path").limit(min(limit, lines.MAX_RESULTS))
+        if context is None:
+            return lines.top_matches(found, limit)
+        return lines.with_context(self.files, lines.top_matches(found, limit), context).orderBy("path", "first")
 
     @tool
-    def ast_search(self, pattern: str, limit: int = 50) -> DataFrame:
-        """Named structural patterns: set-null, unchecked-chain."""
-        regex = {"set-null": lines.NULL_CALL, "unchecked-chain": r"\$this->\w+->\w+\("}[pattern]
-        return lines.top_matches(lines.grep(self.files, regex, "*.php"), limit)
+    def ast_search(self, pattern: str, limit: int = 50, path: str | None = None) -> DataFrame:
+        """Named structural patterns (set-null, unchecked-chain), over lines too: path, line, and what was called."""
+        regex = {"set-null": lines.NULL_CALL, "unchecked-chain": lines.UNCHECKED_CHAIN}[pattern]
+        src = self.files.where(F.col("path").endswith(".php"))
+        src = src.where(lines.under(F.col("path"), path)) if path else src
+        return lines.located(src.select("path", "content"), regex, {"text": 1}).drop("content").orderBy("path", "line").limit(min(limit, lines.MAX_RESULTS))
 
     @tool
-    def find_dataobject_issues(self, limit: int = 100) -> DataFrame:
+    def find_dataobject_issues(self, limit: int = 100, path: str | None = None) -> DataFrame:
         """Setters called with null."""
-        return self.ast_search("set-null", limit)
+        return self.ast_search("set-null", limit, path)
 
     @tool
-    def enrich(self) -> DataFrame:
+    def enrich(self, path: str | None = None) -> DataFrame:
         """Chains of method calls with their guards."""
-        return lines.method_chains(self.files)
+        return lines.method_chains(self.files, path)
 
     @tool
     def find_null_risks(self, first_method: str | None = None, limit: int = 100) -> DataFrame:
@@ -380,23 +459,35 @@ class Engine:
 
     @tool
     def trace_api(self, url: str | None = None, interface: str | None = None, method: str | None = None) -> DataFrame:
-        """Routes with binding and interceptors."""
-        rows = graph.api_trace(extract.routes(self.files), extract.preferences(self.files), extract.plugins(self.files))
+        """Routes with binding, interceptors and the body that answers them."""
+        rows = graph.api_trace(self.relation("routes"), self.relation("preferences"), self.relation("plugins"))
+        bodies = graph.api_bodies(self.files).select("url", "http_method", "body")
+        rows = rows.join(bodies, ["url", "http_method"], "left")
         rows = rows.where(F.col("url").contains(url)) if url else rows
         rows = rows.where(filters.class_matches(F.col("service_class"), interface)) if interface else rows
         return rows.where(F.col("http_method") == method.upper()) if method else rows
 
     @tool
     def trace_config(self, config_path: str | None = None, keyword: str | None = None) -> DataFrame:
-        """Fields and values of configuration paths in each environment."""
+        """Fields and values of configuration paths in each environment, and the classes that read them (comma-joined)."""
         values = self.config if self.config is not None else self.spark.createDataFrame([], "env string, scope string, config_path string, value string")
-        rows = graph.config_trace(extract.system_fields(self.files), values)
+        fields = self.relation("system_fields")
+        readers = graph.config_consumers(self.files, fields).groupBy("config_path").agg(F.array_join(F.array_sort(F.collect_set("class")), ",").alias("consumers"))
+        rows = graph.config_trace(fields, values).join(readers, "config_path", "left")
         rows = rows.where(F.col("config_path") == config_path) if config_path else rows
         return rows.where(F.lower(F.concat_ws(" ", "config_path", "value")).contains(keyword.lower())) if keyword else rows
 
     @tool
-    def read(self, path: str, start: int = 1, end: int = 1_000_000) -> DataFrame:
-        """Numbered lines of a file. A path that leaves the tree is refused."""
+    def read(self, path: str, start: int = 1, end: int | None = None, method: str | None = None) -> DataFrame:
+        """Numbered lines of a file, or those of one method. A path that leaves the tree is refused."""
         if path.startswith("/") or ".." in path.split("/"):
             raise ValueError(f"{path} is not below the root")
-        return lines.read_range(self.files, path, start, end)
+        one = self.files.where(F.col("path") == path)
+        if method:
+            parts = F.split("content", "\n")
+            first = F.array_position(F.transform(parts, lambda x: x.contains(f"function {method}(")), True)
+            body = F.split(lines.method_body(F.col("content"), method), "\n")
+            rows = one.where(first > 0).select(first.alias("first"), F.posexplode(body).alias("at", "text"))
+            return rows.select((F.col("first") + F.col("at")).cast("long").alias("line"), "text")
+        rows = lines.lines(one).where(F.col("line") >= start).select("line", "text")
+        return rows.where(F.col("line") <= end) if end is not None else rows
