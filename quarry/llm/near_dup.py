@@ -53,7 +53,19 @@ MAYBE_SLACK = 0.16
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _WORD_CACHE = 200_000
-_cache: dict[str, int] = {}
+
+
+class _Hashes(dict):
+    """64-bit hashes by word; one that is missing is made."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        got = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return got
+
+
+_cache = _Hashes()
 keeps(__name__, _cache.clear)
 _rng = np.random.default_rng(20240229)
 _SALT = _rng.integers(0, 1 << 63, T, np.uint64)
@@ -64,18 +76,10 @@ _B = _rng.integers(0, 1 << 63, T, np.uint64)
 
 def word_hashes(text: str) -> np.ndarray:
     """64-bit hashes of the lower-cased words."""
-    import xxhash
-
     if len(_cache) > _WORD_CACHE:
         _cache.clear()
     found = (text.lower() if text.isascii() else text.translate(_LOWER)).split() if text.isascii() and not _ODD.search(text) else WORDS.findall(text.translate(_LOWER))
-    get, out = _cache.get, []
-    for w in found:
-        h = get(w)
-        if h is None:
-            h = _cache[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        out.append(h)
-    return np.array(out, np.uint64)
+    return np.fromiter(map(_cache.__getitem__, found), np.uint64, len(found))
 
 
 #: Letters that str.split() takes for white space and WORDS does not.

@@ -49,32 +49,41 @@ def features(word: str) -> list[str]:
     return [word, *(f"{k}:{word[:k]}" for k in PREFIXES if len(word) >= k)]
 
 
+class _Scores(dict):
+    """Scores by word; one that is missing is looked up in a model's weights."""
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: str) -> float:
+        get, got = self.weights.get, NEUTRAL
+        for f in features(word):
+            s = get(f)
+            if s is not None:
+                got = max(-MOST, min(MOST, s))
+                break
+        self[word] = got
+        return got
+
+
 class Model:
     def __init__(self, weights: dict[str, float], scale: float = 1.0, k: float = 0.1, curve: tuple[float, ...] = (0.0, 0.0, 0.0)):
         self.weights, self.scale, self.k, self.curve = weights, scale, k, curve
-        self.cache: dict[str, float] = {}
+        self.cache = _Scores(weights)
 
     def __getstate__(self):
-        return {**self.__dict__, "cache": {}}
+        return {k: v for k, v in self.__dict__.items() if k != "cache"}
 
-    def word(self, w: str) -> float:
-        get = self.weights.get
-        for f in features(w):
-            s = get(f)
-            if s is not None:
-                return max(-MOST, min(MOST, s))
-        return NEUTRAL
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.cache = _Scores(self.weights)
 
     def scores(self, text: str) -> np.ndarray:
-        cache, out = self.cache, []
-        if len(cache) > _WORD_CACHE:
-            cache.clear()
-        for w in _WORD.findall(text.lower()):
-            s = cache.get(w)
-            if s is None:
-                s = cache[w] = self.word(w)
-            out.append(s)
-        return np.array(out)
+        if len(self.cache) > _WORD_CACHE:
+            self.cache.clear()
+        found = _WORD.findall(text.lower())
+        return np.fromiter(map(self.cache.__getitem__, found), float, len(found))
 
     def bits(self, score: float, n: int) -> float:
         """Score above chance: the expected number of such segments in n words is exp(-bits)."""
