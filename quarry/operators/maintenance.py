@@ -73,6 +73,14 @@ def described(files: DataFrame, descriptions: DataFrame, force: bool = False) ->
     return now.join(descriptions.select("path", F.col("hash").alias("__h")), "path", "left").select("path", "content_hash", (F.lit(force) | ~F.col("__h").eqNullSafe(F.col("content_hash"))).alias("stale"))
 
 
+def index_counters(files: DataFrame, index: DataFrame, kind: Column) -> DataFrame:
+    """kind, n_found, n_indexed, n_skipped, n_invalid: files by a class of theirs, and what became of them."""
+    own = index.groupBy("path").agg(F.max("is_deleted").alias("dead_"))
+    rows = files.select("path", kind.alias("kind")).join(own, "path", "left")
+    known = F.col("dead_").isNotNull()
+    return rows.groupBy("kind").agg(F.count("*").alias("n_found"), F.count_if(known & ~F.col("dead_")).alias("n_indexed"), F.count_if(~known).alias("n_skipped"), F.count_if(known & F.col("dead_")).alias("n_invalid"))
+
+
 def redescribed(files: DataFrame, descriptions: DataFrame, describe: Callable[[DataFrame], DataFrame], now: Column, force: bool = False) -> DataFrame:
     """descriptions (path, hash, description, ts) with new rows for stale files; describe adds a column description to
     (path, content) and may call what it likes. The newest row of a path counts."""

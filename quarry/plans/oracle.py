@@ -239,6 +239,10 @@ ORACLE: dict[str, str] = {
     "quality_by_category": f"""SELECT category, n_queries, precision, mrr, CASE WHEN points >= 95 THEN 'A+' WHEN points >= 90 THEN 'A' WHEN points >= 85 THEN 'B+' WHEN points >= 80 THEN 'B' WHEN points >= 75 THEN 'C+' WHEN points >= 70 THEN 'C' WHEN points >= 60 THEN 'D' ELSE 'F' END AS grade FROM (
  SELECT coalesce(lang, 'all') AS category, count(*) AS n_queries, round(avg(round(precision, 6)), 6) AS precision, round(avg(round(mrr, 6)), 6) AS mrr, round(100 * (0.6 * avg(round(f1, 6)) + 0.4 * avg(CASE WHEN f1 > 0 THEN 1.0 ELSE 0.0 END)), 4) AS points FROM {PER} GROUP BY ROLLUP (lang))""",
     "percentile_latency": "SELECT count(*) AS n, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean, max(value) FILTER (WHERE i = floor(n * 0.5)) AS p50, max(value) FILTER (WHERE i = floor(n * 0.9)) AS p90, max(value) FILTER (WHERE i = floor(n * 0.99)) AS p99, round(1000 / avg(value), 6) AS throughput FROM (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE value IS NOT NULL)",
+    "chain_depth": "SELECT * FROM (VALUES ('Leaf::start', CAST(2 AS BIGINT)), ('Cart::save', CAST(0 AS BIGINT))) t(start, depth)",
+    "first_per_file": f"SELECT path, min(line) AS line FROM {CORPUS_LINES} WHERE regexp_matches(text, '[0-9]') GROUP BY path",
+    "index_counters": f"SELECT split_part(path, '/', 2) AS kind, count(*) AS n_found, count(*) FILTER (WHERE doc_id % 4 <> 1 AND NOT is_deleted) AS n_indexed, count(*) FILTER (WHERE doc_id % 4 = 1) AS n_skipped, count(*) FILTER (WHERE doc_id % 4 <> 1 AND is_deleted) AS n_invalid FROM {MARKED} GROUP BY 1",
+    "windowed_counts": f"SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, tool, count(*) AS n FROM {_CALLS} WHERE tool IS NOT NULL GROUP BY 1, 2",
     "vector_insert": """WITH v AS (SELECT vec_id % 2 AS half, vec_id % 7 = 0 AS is_deleted, 'p' || lpad(CAST(vec_id AS VARCHAR), 9, '0') AS path FROM embeddings)
  SELECT row_number() OVER (ORDER BY half, path) - 1 AS id, path, is_deleted FROM v""",
     "type_bonus": _TYPE_BONUS,

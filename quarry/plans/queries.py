@@ -14,6 +14,7 @@ from quarry.plans import fixtures as X
 from quarry.sources.files import globbed
 from quarry.sources.store import stats
 from quarry.sources.tables import corpus, metadata, query_vector, read, searches, vectors
+from quarry.streaming.signals import windowed_counts as windowed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TEXT_QUERY = "the and label_2"
@@ -407,6 +408,19 @@ def traced_calls(spark, sf_dir):
     return graph.traced_calls(code(spark), spark.createDataFrame([("Leaf", "start"), ("Gone", "x")], "class string, method string"), 3)
 
 
+@query
+def chain_depth(spark, sf_dir):
+    """How deep the calls below each start go."""
+    traced = graph.traced_calls(code(spark), spark.createDataFrame([("Leaf", "start"), ("Cart", "save")], "class string, method string"), 2)
+    return traced.groupBy(F.element_at(F.split("trail", " > "), 1).alias("start")).agg(F.max("depth").alias("depth"))
+
+
+@query
+def first_per_file(spark, sf_dir):
+    """The first line of each document that holds a digit."""
+    return filters.best_per(lines.grep(corpus(spark, sf_dir), "[0-9]"), ["path"], [F.col("line")]).select("path", "line")
+
+
 @query
 def api_bodies(spark, sf_dir):
     return graph.api_bodies(code(spark))
@@ -513,6 +527,20 @@ def compaction(spark, sf_dir):
     return maintenance.compacted(_marked(spark, sf_dir)).select("doc_id")
 
 
+@query
+def index_counters(spark, sf_dir):
+    """Documents by language, and what became of them in an index that lacks some."""
+    files = corpus(spark, sf_dir)
+    kept = _marked(spark, sf_dir).where("doc_id % 4 <> 1")
+    return maintenance.index_counters(files, kept, F.element_at(F.split("path", "/"), 2))
+
+
+@query
+def windowed_counts(spark, sf_dir):
+    """Calls in event-time windows of an hour."""
+    return windowed(searches(spark, sf_dir).where("tool is not null")).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "tool", "n")
+
+
 @query
 def index_stats(spark, sf_dir):
     return stats(_marked(spark, sf_dir))

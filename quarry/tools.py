@@ -6,6 +6,7 @@ rank an index of the same files by the embedder's similarity, keyword bonus and
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 import numpy as np
@@ -491,3 +492,18 @@ class Engine:
             return rows.select((F.col("first") + F.col("at")).cast("long").alias("line"), "text")
         rows = lines.lines(one).where(F.col("line") >= start).select("line", "text")
         return rows.where(F.col("line") <= end) if end is not None else rows
+
+
+def respond(engine: Engine, line: str, limit: int = 200) -> str:
+    """One request as a line of JSON, {"tool": ..., "args": {...}}, to one line: rows, or the error. A request that fails
+    does not end the engine."""
+    try:
+        request = json.loads(line)
+        if request["tool"] not in TOOLS:
+            raise ValueError(f"no tool {request['tool']}")
+        got = getattr(engine, request["tool"])(**request.get("args", {}))
+        frames = got if isinstance(got, dict) else {"": got}
+        shown = {k: [r.asDict(recursive=True) for r in df.drop("embedding", "content").limit(limit).collect()] for k, df in frames.items()}
+        return json.dumps({"ok": True, "data": shown[""] if "" in shown else shown}, default=str)
+    except Exception as e:  # noqa: BLE001  whatever it is, the caller hears of it
+        return json.dumps({"ok": False, "error": str(e).split("\n")[0]})

@@ -90,6 +90,18 @@ def test_tools_take_all_their_arguments(engine):
     assert sorted(wired) == [("argument", "label=Pool"), ("argument", "modifiers/first=Acme\\Shop\\First"), ("argument", "modifiers/second=two")]
 
 
+def test_requests_as_lines(engine):
+    import json
+
+    from quarry.tools import respond
+
+    got = json.loads(respond(engine, '{"tool": "find_class", "args": {"class_name": "Leaf"}}'))
+    assert got["ok"] and [r["fqcn"] for r in got["data"]] == ["Acme\\Shop\\Model\\Leaf"]
+    for bad in ("{nope", '{"tool": "none"}', '{"tool": "read", "args": {"path": "../x"}}'):
+        assert json.loads(respond(engine, bad))["ok"] is False
+    assert json.loads(respond(engine, '{"tool": "stats"}'))["data"][0]["n_files"] == len(X.FILES)
+
+
 def test_module_structure(engine):
     got = dict(rows_of(engine.module_structure("Acme_Shop"), "category", "n"))
     paths = [p for p in X.FILES if p.startswith("app/code/Acme/Shop/")]
