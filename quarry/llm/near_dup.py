@@ -233,9 +233,10 @@ def _cells(reps: DataFrame, node_rows: int, depth: int) -> tuple[DataFrame, Data
         if large.isEmpty():
             break
         if level < depth:
-            salts = F.explode(F.array(*(F.lit(2 * level + k) for k in range(2)))).alias("salt")
-            held = large.join(reps.select("doc_id", "sketch"), "doc_id").select("doc_id", "node", "sketch", salts)
-            members, _ = written(held.select("doc_id", _child(F.col("node"), F.col("salt"), F.col("sketch")).alias("node")), "members")
+            held = large.join(reps.select("doc_id", "sketch"), "doc_id")
+            child = lambda k: _child(F.col("node"), F.lit(2 * level + k), F.col("sketch")).alias(f"child{k}")  # noqa: E731, B023
+            both, _ = written(held.select("doc_id", child(0), child(1)), "members")
+            members = both.select("doc_id", F.col("child0").alias("node")).unionByName(both.select("doc_id", F.col("child1").alias("node")))
             continue
         deep, _ = written(large.groupBy("doc_id").agg(F.array_distinct(F.array(F.min("node"), F.max("node"))).alias("nodes")), "deep")
         large = deep.select("doc_id", F.explode("nodes").alias("node"))
