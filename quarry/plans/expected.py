@@ -627,4 +627,221 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             ('app/code/Acme/Shop/Model/Cart.php', 15, 24, 2, "        $row = $this->items->fetch($id);\n        if ($row && $row->isOpen() || $id > 3) {\n            $name = $order->getCustomer()->getName();\n        }\n        return $row;\n    }\n\n    protected function save()\n    {\n        $this->eventManager->dispatch('cart_saved', ['cart' => $this]);"),
         ],
     ),
+    "tool_find_class": (
+        "fqcn VARCHAR, path VARCHAR",
+        [
+            ('Acme\\Framework\\Base', 'lib/internal/Acme/Framework/Base.php'),
+            ('Acme\\Other\\Base', 'app/code/Acme/Other/Base.php'),
+            ('Acme\\Shop\\Model\\Base', 'app/code/Acme/Shop/Model/Base.php'),
+            ('Acme\\Shop\\Model\\BaseCart', 'app/code/Acme/Shop/Model/BaseCart.php'),
+        ],
+    ),
+    "tool_find_method": (
+        "path VARCHAR, method VARCHAR, visibility VARCHAR, body VARCHAR",
+        [
+            ('app/code/Acme/Shop/Model/Cart.php', 'load', 'public', '    public function load($id)\n    {\n        $row = $this->items->fetch($id);\n        if ($row && $row->isOpen() || $id > 3) {\n            $name = $order->getCustomer()->getName();\n        }\n        return $row;\n    }'),
+            ('app/code/Acme/Shop/Plugin/LogCart.php', 'afterLoad', 'public', '    public function afterLoad($subject, $result) { return $result; }'),
+            ('app/code/Acme/Shop/Plugin/LogCart.php', 'beforeLoad', 'public', '    public function beforeLoad($subject, $id) { return [$id]; }'),
+            ('app/code/Acme/Shop/Unit/CartTest.php', 'testLoad', 'public', '    public function testLoad() { $m = $this->createMock(Cart::class); }'),
+        ],
+    ),
+    "tool_find_plugin": (
+        "target VARCHAR, name VARCHAR, plugin_class VARCHAR, type VARCHAR, target_method VARCHAR, body VARCHAR",
+        [
+            ('Acme\\Shop\\Model\\Cart', 'log_cart', 'Acme\\Shop\\Plugin\\LogCart', 'after', 'load', '    public function afterLoad($subject, $result) { return $result; }'),
+            ('Acme\\Shop\\Model\\Cart', 'log_cart', 'Acme\\Shop\\Plugin\\LogCart', 'around', 'save', '    public function aroundSave($subject, callable $next) { return $next(); }'),
+            ('Acme\\Shop\\Model\\Cart', 'log_cart', 'Acme\\Shop\\Plugin\\LogCart', 'before', 'load', '    public function beforeLoad($subject, $id) { return [$id]; }'),
+            ('Acme\\Shop\\Model\\Cart', 'old_cart', 'Acme\\Shop\\Plugin\\OldCart', None, None, None),
+        ],
+    ),
+    "tool_find_observer": (
+        "name VARCHAR, instance VARCHAR, method VARCHAR",
+        [
+            ('count', 'Acme\\Shop\\Observer\\Count', 'execute'),
+            ('notify', 'Acme\\Shop\\Observer\\Notify', 'send'),
+        ],
+    ),
+    "tool_find_api": (
+        "url VARCHAR, service_method VARCHAR",
+        [
+            ('/V1/carts/:id', 'load'),
+        ],
+    ),
+    "tool_find_graphql": (
+        "op VARCHAR, resolver_class VARCHAR",
+        [
+            ('items', 'Acme\\Shop\\Model\\Resolver\\Items'),
+        ],
+    ),
+    "tool_find_db_schema": (
+        "path VARCHAR, component_type VARCHAR",
+        [
+            ('app/code/Acme/Shop/Setup/Install.php', 'setup'),
+        ],
+    ),
+    "tool_find_trigger": (
+        "name VARCHAR, event VARCHAR, timing VARCHAR",
+        [
+            ('trg_cart', 'insert', 'after'),
+        ],
+    ),
+    "tool_find_table_usage": (
+        "path VARCHAR, usage VARCHAR",
+        [
+            ('app/code/Acme/Shop/Model/Sql.php', 'model'),
+        ],
+    ),
+    "tool_module_structure": (
+        "category VARCHAR, n BIGINT",
+        [
+            ('configs', 8),
+            ('controllers', 1),
+            ('models', 7),
+            ('observers', 2),
+            ('other', 10),
+            ('plugins', 1),
+        ],
+    ),
+    "tool_analyze_diff": (
+        "path VARCHAR, added BIGINT, removed BIGINT, risk DOUBLE",
+        [
+            ('a/Model/X.php', 150, 100, 1.0),
+            ('a/Model/Z.php', 0, 1, 0.005),
+            ('a/Plugin/Y.php', 0, 0, 0.3),
+            ('a/etc/di.xml', 2, 1, 0.315),
+            (None, 152, 102, 1.0),
+        ],
+    ),
+    "tool_complexity": (
+        "path VARCHAR, complexity BIGINT, rating VARCHAR",
+        [
+            ('app/code/Acme/Shop/Model/Cart.php', 5, 'low'),
+            ('app/code/Acme/Shop/etc/di.xml', 3, 'low'),
+            ('vendor/acme/module-guard/Model/Chains.php', 6, 'moderate'),
+        ],
+    ),
+    "tool_find_fieldset": (
+        "fieldset VARCHAR, aspect VARCHAR, fields VARCHAR",
+        [
+            ('convert_cart', 'to_order', 'note,total'),
+        ],
+    ),
+    "tool_trace_dependency": (
+        "kind VARCHAR, name VARCHAR, path VARCHAR",
+        [
+            ('resolves_to', 'Acme\\Shop\\Model\\AdminCart', 'app/code/Acme/Shop/etc/adminhtml/di.xml'),
+            ('resolves_to', 'Acme\\Shop\\Model\\Cart', 'app/code/Acme/Shop/etc/di.xml'),
+            ('used_by', 'helper', 'app/code/Acme/Other/Base.php'),
+        ],
+    ),
+    "tool_error_parser": (
+        "error_type VARCHAR, subject VARCHAR, frames VARCHAR",
+        [
+            ('missing_class', 'A\\B', 'x/y.php:7'),
+        ],
+    ),
+    "tool_find_layout": (
+        "handle VARCHAR, kind VARCHAR, name VARCHAR",
+        [
+            ('cart_index', 'block', 'cart.list'),
+            ('cart_index', 'container', 'cart.top'),
+        ],
+    ),
+    "tool_find_test": (
+        "path VARCHAR, test_method VARCHAR",
+        [
+            ('app/code/Acme/Shop/Unit/ManyTest.php', 'testMake'),
+        ],
+    ),
+    "tool_find_callers": (
+        "path VARCHAR, line BIGINT, method VARCHAR, names_class BOOLEAN",
+        [
+            ('app/code/Acme/Shop/Model/Base.php', 6, 'shared', False),
+            ('app/code/Acme/Shop/Model/Leaf.php', 10, 'start', True),
+            ('app/code/Acme/Shop/etc/webapi.xml', 2, None, False),
+        ],
+    ),
+    "tool_find_di_wiring": (
+        "kind VARCHAR, subject VARCHAR, value VARCHAR, path VARCHAR",
+        [
+            ('argument', 'Acme\\Shop\\Model\\Cart', 'limit=25', 'app/code/Acme/Shop/etc/di.xml'),
+            ('constructor', '\\Acme\\Shop\\Api\\CartInterface', 'helper', 'app/code/Acme/Other/Base.php'),
+            ('plugin', 'Acme\\Shop\\Model\\Cart', 'Acme\\Shop\\Plugin\\LogCart', 'app/code/Acme/Shop/etc/di.xml'),
+            ('plugin', 'Acme\\Shop\\Model\\Cart', 'Acme\\Shop\\Plugin\\OldCart', 'app/code/Acme/Shop/etc/di.xml'),
+            ('preference', 'Acme\\Shop\\Api\\CartInterface', 'Acme\\Shop\\Model\\AdminCart', 'app/code/Acme/Shop/etc/adminhtml/di.xml'),
+            ('preference', 'Acme\\Shop\\Api\\CartInterface', 'Acme\\Shop\\Model\\Cart', 'app/code/Acme/Shop/etc/di.xml'),
+        ],
+    ),
+    "tool_trace_data_flow": (
+        "path VARCHAR, line BIGINT, kind VARCHAR, method VARCHAR",
+        [
+            ('app/code/Acme/Shop/Model/Cart.php', 25, 'setter', 'save'),
+            ('vendor/acme/module-guard/Model/Chains.php', 100, 'setter', 'nulls'),
+        ],
+    ),
+    "tool_find_event_dispatchers": (
+        "path VARCHAR, line BIGINT, method VARCHAR, n_observers BIGINT",
+        [
+            ('app/code/Acme/Shop/Model/Cart.php', 24, 'save', 2),
+        ],
+    ),
+    "tool_grep": (
+        "path VARCHAR, n_matches BIGINT",
+        [
+            ('app/code/Acme/Shop/Model/Base.php', 1),
+            ('app/code/Acme/Shop/Model/BaseCart.php', 1),
+            ('app/code/Acme/Shop/Model/Cart.php', 1),
+            ('app/code/Acme/Shop/Model/Leaf.php', 1),
+            ('app/code/Acme/Shop/Model/Many.php', 4),
+        ],
+    ),
+    "tool_ast_search": (
+        "path VARCHAR, line BIGINT",
+        [
+            ('app/code/Acme/Shop/Model/Base.php', 6),
+            ('app/code/Acme/Shop/Model/Cart.php', 15),
+            ('app/code/Acme/Shop/Model/Cart.php', 24),
+            ('app/code/Acme/Shop/Model/Entity.php', 6),
+            ('app/code/Acme/Shop/Model/Leaf.php', 10),
+            ('app/code/Acme/Shop/Model/Sql.php', 11),
+            ('app/code/Acme/Shop/Model/Sql.php', 12),
+            ('app/code/Acme/Shop/Model/Sql.php', 13),
+            ('app/code/Acme/Shop/Model/Sql.php', 13),
+            ('app/code/Acme/Shop/Model/Sql.php', 15),
+        ],
+    ),
+    "tool_find_null_risks": (
+        "second_method VARCHAR, n_sites BIGINT",
+        [
+            ('ten', 2),
+        ],
+    ),
+    "tool_trace_config": (
+        "config_path VARCHAR, label VARCHAR, env VARCHAR, scope VARCHAR, value VARCHAR, consumers VARCHAR",
+        [
+            ('shop/cart/limit', 'Cart limit', 'live', 'default', '25', 'Acme\\Shop\\Model\\Sql'),
+            ('shop/cart/limit', 'Cart limit', 'live', 'stores', '30', 'Acme\\Shop\\Model\\Sql'),
+            ('shop/cart/limit', 'Cart limit', 'stage', 'default', '5', 'Acme\\Shop\\Model\\Sql'),
+        ],
+    ),
+    "tool_read": (
+        "line BIGINT, text VARCHAR",
+        [
+            (22, '    protected function save()'),
+            (23, '    {'),
+            (24, "        $this->eventManager->dispatch('cart_saved', ['cart' => $this]);"),
+            (25, '        $item->setPrice(null);'),
+            (26, '        if ($quote->getAddress() !== null) {'),
+            (27, '            $c = $quote->getAddress()->getCity();'),
+            (28, '        }'),
+            (29, '        $x = $pay?->getMethod()?->getTitle();'),
+            (30, '    }'),
+        ],
+    ),
+    "tool_stats": (
+        "n_live BIGINT, n_deleted BIGINT, n_files BIGINT",
+        [
+            (34, 0, 34),
+        ],
+    ),
 }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import paths, text
+from quarry.functions.embed import HashingEmbedder
 from quarry.functions.vectors import is_valid
 from quarry.operators import extract, filters, graph, indexing, learning, lines, maintenance, metrics, retrieval
 from quarry.plans import fixtures as X
@@ -15,6 +16,7 @@ from quarry.sources.files import globbed
 from quarry.sources.store import stats
 from quarry.sources.tables import corpus, metadata, query_vector, read, searches, vectors
 from quarry.streaming.signals import windowed_counts as windowed
+from quarry.tools import Engine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TEXT_QUERY = "the and label_2"
@@ -716,3 +718,49 @@ def pascal_names(spark, sf_dir):
 @query
 def safe_versions(spark, sf_dir):
     return spark.createDataFrame([(1, "1.2.3"), (2, "1.2.3-beta.1"), (3, "1.2"), (4, "1.2.3; rm"), (5, "v1.2.3")], "id long, v string").select("id", paths.is_version(F.col("v")).alias("ok"))
+
+
+# Tools over the inline code tree
+
+
+def _engine(spark: SparkSession) -> Engine:
+    config = spark.createDataFrame(X.CONFIG, "env string, scope string, config_path string, value string")
+    return Engine(spark, code(spark), HashingEmbedder(64), config=config, diffs=spark.createDataFrame(X.DIFFS, "path string, diff string"))
+
+
+def _tool(name: str, call: Callable[[Engine], DataFrame], *columns: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = call(_engine(spark))
+        return df.select(*columns) if columns else df
+
+    run.__name__ = f"tool_{name}"
+    query(run)
+
+
+_tool("find_class", lambda e: e.find_class("Base"), "fqcn", "path")
+_tool("find_method", lambda e: e.find_method("load", "Cart"), "path", "method", "visibility", "body")
+_tool("find_plugin", lambda e: e.find_plugin("Acme\\Shop\\Model\\Cart"), "target", "name", "plugin_class", "type", "target_method", "body")
+_tool("find_observer", lambda e: e.find_observer("cart_saved"), "name", "instance", "method")
+_tool("find_api", lambda e: e.find_api("cart"), "url", "service_method")
+_tool("find_graphql", lambda e: e.find_graphql("items"), "op", "resolver_class")
+_tool("find_db_schema", lambda e: e.find_db_schema("shop_cart"), "path", "component_type")
+_tool("find_trigger", lambda e: e.find_trigger(table="shop_cart"), "name", "event", "timing")
+_tool("find_table_usage", lambda e: e.find_table_usage("shop_item"), "path", "usage")
+_tool("module_structure", lambda e: e.module_structure("Acme_Shop"), "category", "n")
+_tool("analyze_diff", lambda e: e.analyze_diff(), "path", "added", "removed", "risk")
+_tool("complexity", lambda e: e.complexity(threshold=3), "path", "complexity", "rating")
+_tool("find_fieldset", lambda e: e.find_fieldset(aspect="to_order").select("fieldset", "aspect", F.array_join("fields", ",").alias("fields")))
+_tool("trace_dependency", lambda e: e.trace_dependency("CartInterface"), "kind", "name", "path")
+_tool("error_parser", lambda e: e.error_parser("Class A\\B does not exist at x/y.php(7)"), "error_type", "subject", "frames")
+_tool("find_layout", lambda e: e.find_layout("cart"), "handle", "kind", "name")
+_tool("find_test", lambda e: e.find_test("Acme\\Shop\\Model\\Many"), "path", "test_method")
+_tool("find_callers", lambda e: e.find_callers("load", "Leaf"), "path", "line", "method", "names_class")
+_tool("find_di_wiring", lambda e: e.find_di_wiring("Cart"), "kind", "subject", "value", "path")
+_tool("trace_data_flow", lambda e: e.trace_data_flow("price"), "path", "line", "kind", "method")
+_tool("find_event_dispatchers", lambda e: e.find_event_dispatchers("cart_saved"), "path", "line", "method", "n_observers")
+_tool("grep", lambda e: e.grep("extends", "*.php", path="app/code/Acme/Shop/Model", files_only=True), "path", "n_matches")
+_tool("ast_search", lambda e: e.ast_search("unchecked-chain", path="app/code/Acme/Shop/Model"), "path", "line")
+_tool("find_null_risks", lambda e: e.find_null_risks("nine"), "second_method", "n_sites")
+_tool("trace_config", lambda e: e.trace_config(keyword="limit"), "config_path", "label", "env", "scope", "value", "consumers")
+_tool("read", lambda e: e.read("app/code/Acme/Shop/Model/Cart.php", method="save"), "line", "text")
+_tool("stats", lambda e: e.stats(), "n_live", "n_deleted", "n_files")

@@ -347,8 +347,9 @@ class Engine:
 
     @tool
     def find_test(self, class_name: str, method: str | None = None) -> DataFrame:
-        """Tests of a class by the name of their file."""
-        rows = self.relation("test_methods").where(F.col("path").contains(f"{class_name}Test"))
+        """Tests of a class by the name of their file or by what they say they cover."""
+        short = class_name.rsplit("\\", 1)[-1]
+        rows = self.relation("test_methods").where(F.col("path").contains(f"/{short}Test") | F.concat(F.lit(","), "covers", F.lit(",")).rlike(rf"[,\\]\Q{short}\E[,:]"))
         return rows.where(F.lower("test_method").contains(method.lower())) if method else rows
 
     @tool
