@@ -94,6 +94,10 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
             ('Acme\\Framework\\Base', 'interface', False, None, None, 'lib/internal/Acme/Framework/Base.php'),
             ('Acme\\Guard\\Model\\Chains', 'class', False, None, None, 'vendor/acme/module-guard/Model/Chains.php'),
             ('Acme\\Other\\Base', 'class', True, None, None, 'app/code/Acme/Other/Base.php'),
+            ('Acme\\Ship\\Model\\Carrier\\Flat', 'class', False, 'AbstractCarrier', None, 'app/code/Acme/Ship/Model/Carrier/Flat.php'),
+            ('Acme\\Ship\\Model\\RateModifier', 'class', False, None, None, 'app/code/Acme/Ship/Model/RateModifier.php'),
+            ('Acme\\Ship\\Model\\Total\\Shipping', 'class', False, None, None, 'app/code/Acme/Ship/Model/Total/Shipping.php'),
+            ('Acme\\Ship\\Plugin\\Rates', 'class', False, None, None, 'app/code/Acme/Ship/Plugin/Rates.php'),
             ('Acme\\Shop\\Helper\\Text', 'class', False, 'AbstractHelper', None, 'app/code/Acme/Shop/Helper/Text.php'),
             ('Acme\\Shop\\Model\\Base', 'class', False, '\\Acme\\Other\\Base', None, 'app/code/Acme/Shop/Model/Base.php'),
             ('Acme\\Shop\\Model\\BaseCart', 'class', True, 'Entity', None, 'app/code/Acme/Shop/Model/BaseCart.php'),
@@ -129,6 +133,7 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
     "php_parents": (
         "fqcn VARCHAR, parent VARCHAR, path VARCHAR",
         [
+            ('Acme\\Ship\\Model\\Carrier\\Flat', 'Acme\\Ship\\Model\\Carrier\\AbstractCarrier', 'app/code/Acme/Ship/Model/Carrier/Flat.php'),
             ('Acme\\Shop\\Helper\\Text', 'Acme\\Shop\\Helper\\AbstractHelper', 'app/code/Acme/Shop/Helper/Text.php'),
             ('Acme\\Shop\\Model\\Base', 'Acme\\Other\\Base', 'app/code/Acme/Shop/Model/Base.php'),
             ('Acme\\Shop\\Model\\BaseCart', 'Acme\\Shop\\Model\\Entity', 'app/code/Acme/Shop/Model/BaseCart.php'),
@@ -146,6 +151,9 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
         [
             ('app/code/Acme/Other/Base.php', 'public', '__construct', False, False, None, '\\Acme\\Shop\\Api\\CartInterface $helper'),
             ('app/code/Acme/Other/Base.php', 'public', 'top', False, False, None, ''),
+            ('app/code/Acme/Ship/Model/Carrier/Flat.php', 'public', 'collectRates', False, False, None, '$request'),
+            ('app/code/Acme/Ship/Model/Total/Shipping.php', 'public', 'collect', False, False, None, '$quote'),
+            ('app/code/Acme/Ship/Plugin/Rates.php', 'public', 'afterCollectRates', False, False, None, '$subject, $result'),
             ('app/code/Acme/Shop/Model/Base.php', 'protected', 'shared', False, False, None, ''),
             ('app/code/Acme/Shop/Model/BaseCart.php', 'public', 'count', False, False, None, ''),
             ('app/code/Acme/Shop/Model/Cart.php', 'protected', 'save', False, False, None, ''),
@@ -182,6 +190,10 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
         "path VARCHAR, method VARCHAR, position BIGINT, type_hint VARCHAR, variable VARCHAR, is_optional BOOLEAN",
         [
             ('app/code/Acme/Other/Base.php', '__construct', 1, '\\Acme\\Shop\\Api\\CartInterface', 'helper', False),
+            ('app/code/Acme/Ship/Model/Carrier/Flat.php', 'collectRates', 1, None, 'request', False),
+            ('app/code/Acme/Ship/Model/Total/Shipping.php', 'collect', 1, None, 'quote', False),
+            ('app/code/Acme/Ship/Plugin/Rates.php', 'afterCollectRates', 1, None, 'subject', False),
+            ('app/code/Acme/Ship/Plugin/Rates.php', 'afterCollectRates', 2, None, 'result', False),
             ('app/code/Acme/Shop/Model/Cart.php', '__construct', 1, 'ItemRepositoryInterface', 'items', False),
             ('app/code/Acme/Shop/Model/Cart.php', '__construct', 2, '\\Acme\\Base\\Logger', 'logger', False),
             ('app/code/Acme/Shop/Model/Cart.php', 'load', 1, None, 'id', False),
@@ -217,6 +229,10 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
         "path VARCHAR, fqcn VARCHAR, is_controller BOOLEAN, is_repository BOOLEAN, is_plugin BOOLEAN, is_observer BOOLEAN, is_model BOOLEAN, is_block BOOLEAN, is_helper BOOLEAN, is_setup BOOLEAN, is_resolver BOOLEAN, is_api_interface BOOLEAN",
         [
             ('app/code/Acme/Other/Base.php', 'Acme\\Other\\Base', False, False, False, False, False, False, False, False, False, False),
+            ('app/code/Acme/Ship/Model/Carrier/Flat.php', 'Acme\\Ship\\Model\\Carrier\\Flat', False, False, False, False, False, False, False, False, False, False),
+            ('app/code/Acme/Ship/Model/RateModifier.php', 'Acme\\Ship\\Model\\RateModifier', False, False, False, False, False, False, False, False, False, False),
+            ('app/code/Acme/Ship/Model/Total/Shipping.php', 'Acme\\Ship\\Model\\Total\\Shipping', False, False, False, False, False, False, False, False, False, False),
+            ('app/code/Acme/Ship/Plugin/Rates.php', 'Acme\\Ship\\Plugin\\Rates', False, False, True, False, False, False, False, False, False, False),
             ('app/code/Acme/Shop/Helper/Text.php', 'Acme\\Shop\\Helper\\Text', False, False, False, False, False, False, True, False, False, False),
             ('app/code/Acme/Shop/Model/Base.php', 'Acme\\Shop\\Model\\Base', False, False, False, False, False, False, False, False, False, False),
             ('app/code/Acme/Shop/Model/BaseCart.php', 'Acme\\Shop\\Model\\BaseCart', False, False, False, False, False, False, False, False, False, False),
@@ -310,6 +326,7 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
         [
             ('app/code/Acme/Other/etc/fieldset.xml', 'admin', 'inner', 'c', 'to_d'),
             ('app/code/Acme/Other/etc/fieldset.xml', None, 'flat', 'a', 'to_b'),
+            ('app/code/Acme/Ship/etc/fieldset.xml', 'global', 'sales_convert_quote', 'weight', 'to_order'),
             ('app/code/Acme/Shop/etc/fieldset.xml', 'global', 'convert_cart', 'note', 'to_order'),
             ('app/code/Acme/Shop/etc/fieldset.xml', 'global', 'convert_cart', 'total', 'to_order'),
             ('app/code/Acme/Shop/etc/fieldset.xml', 'global', 'convert_cart', 'total', 'to_quote'),
@@ -326,6 +343,7 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
     "inheritance_resolve": (
         "fqcn VARCHAR, ancestor VARCHAR, depth BIGINT",
         [
+            ('Acme\\Ship\\Model\\Carrier\\Flat', 'Acme\\Ship\\Model\\Carrier\\AbstractCarrier', 1),
             ('Acme\\Shop\\Helper\\Text', 'Acme\\Shop\\Helper\\AbstractHelper', 1),
             ('Acme\\Shop\\Model\\Base', 'Acme\\Other\\Base', 1),
             ('Acme\\Shop\\Model\\BaseCart', 'Acme\\Shop\\Model\\Entity', 1),
@@ -430,6 +448,13 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
         [
             ('app/code/Acme/Other/Base.php', 'php', 'other', 'Base', 'class', 'Acme\\Other', None, '', '__construct,top', '__construct', ''),
             ('app/code/Acme/Other/etc/fieldset.xml', 'xml', 'other', None, None, None, None, '', '', None, ''),
+            ('app/code/Acme/Ship/Model/Carrier/Flat.php', 'php', 'model', 'Flat', 'class', 'Acme\\Ship\\Model\\Carrier', 'AbstractCarrier', '', 'collectRates', 'collectRates', ''),
+            ('app/code/Acme/Ship/Model/RateModifier.php', 'php', 'model', 'RateModifier', 'class', 'Acme\\Ship\\Model', None, '', '', None, ''),
+            ('app/code/Acme/Ship/Model/Total/Shipping.php', 'php', 'model', 'Shipping', 'class', 'Acme\\Ship\\Model\\Total', None, '', 'collect', 'collect', ''),
+            ('app/code/Acme/Ship/Plugin/Rates.php', 'php', 'plugin', 'Rates', 'class', 'Acme\\Ship\\Plugin', None, '', 'afterCollectRates', 'afterCollectRates', 'plugin'),
+            ('app/code/Acme/Ship/etc/db_schema.xml', 'xml', 'db_schema', None, None, None, None, '', '', None, ''),
+            ('app/code/Acme/Ship/etc/di.xml', 'xml', 'di_config', None, None, None, None, '', '', None, ''),
+            ('app/code/Acme/Ship/etc/fieldset.xml', 'xml', 'other', None, None, None, None, '', '', None, ''),
             ('app/code/Acme/Shop/Helper/Text.php', 'php', 'helper', 'Text', 'class', 'Acme\\Shop\\Helper', 'AbstractHelper', '', '', None, 'helper'),
             ('app/code/Acme/Shop/Model/Base.php', 'php', 'model', 'Base', 'class', 'Acme\\Shop\\Model', '\\Acme\\Other\\Base', '', 'shared', 'shared', ''),
             ('app/code/Acme/Shop/Model/BaseCart.php', 'php', 'model', 'BaseCart', 'class', 'Acme\\Shop\\Model', 'Entity', '', 'count', 'count', ''),
@@ -560,6 +585,7 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
     "glob_scan": (
         "path VARCHAR",
         [
+            ('app/code/Acme/Ship/etc/di.xml',),
             ('app/code/Acme/Shop/Helper/Text.php',),
             ('app/code/Acme/Shop/Observer/Count.php',),
             ('app/code/Acme/Shop/Observer/Notify.php',),
@@ -688,7 +714,9 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
     "tool_find_table_usage": (
         "path VARCHAR, usage VARCHAR",
         [
-            ('app/code/Acme/Shop/Model/Sql.php', 'model'),
+            ('app/code/Acme/Ship/etc/db_schema.xml', 'schema'),
+            ('app/code/Acme/Shop/Model/Sql.php', 'code'),
+            ('app/code/Acme/Shop/Setup/Install.php', 'setup'),
         ],
     ),
     "tool_module_structure": (
@@ -724,6 +752,17 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
         "fieldset VARCHAR, aspect VARCHAR, fields VARCHAR",
         [
             ('convert_cart', 'to_order', 'note,total'),
+            ('sales_convert_quote', 'to_order', 'weight'),
+        ],
+    ),
+    "tool_trace_shipping_chain": (
+        "part VARCHAR, name VARCHAR, path VARCHAR, detail VARCHAR",
+        [
+            ('carrier', 'Flat', 'app/code/Acme/Ship/Model/Carrier/Flat.php', 'collectRates'),
+            ('fieldset', 'sales_convert_quote/weight', 'app/code/Acme/Ship/etc/fieldset.xml', 'to_order'),
+            ('modifier', 'RateModifier', 'app/code/Acme/Ship/Model/RateModifier.php', ''),
+            ('plugin', 'rates', 'app/code/Acme/Ship/etc/di.xml', 'after:collectRates'),
+            ('total', 'Shipping', 'app/code/Acme/Ship/Model/Total/Shipping.php', 'collect'),
         ],
     ),
     "tool_trace_dependency": (
@@ -841,7 +880,7 @@ EXPECTED: dict[str, tuple[str, list[tuple]]] = {
     "tool_stats": (
         "n_live BIGINT, n_deleted BIGINT, n_files BIGINT",
         [
-            (34, 0, 34),
+            (41, 0, 41),
         ],
     ),
 }

@@ -391,6 +391,38 @@ namespace Acme\\Shop\\Setup\\Patch;
 
 class Fill implements DataPatchInterface {}
 """,
+    "app/code/Acme/Ship/Model/Carrier/Flat.php": """<?php
+namespace Acme\\Ship\\Model\\Carrier;
+
+class Flat extends AbstractCarrier
+{
+    public function collectRates($request) { return []; }
+}
+""",
+    "app/code/Acme/Ship/Plugin/Rates.php": """<?php
+namespace Acme\\Ship\\Plugin;
+
+class Rates
+{
+    public function afterCollectRates($subject, $result) { return $result; }
+}
+""",
+    "app/code/Acme/Ship/Model/RateModifier.php": """<?php
+namespace Acme\\Ship\\Model;
+
+class RateModifier {}
+""",
+    "app/code/Acme/Ship/Model/Total/Shipping.php": """<?php
+namespace Acme\\Ship\\Model\\Total;
+
+class Shipping
+{
+    public function collect($quote) { return $quote; }
+}
+""",
+    "app/code/Acme/Ship/etc/di.xml": """<config><type name="Acme\\Base\\AbstractCarrierInterface"><plugin name="rates" type="Acme\\Ship\\Plugin\\Rates"/></type></config>""",
+    "app/code/Acme/Ship/etc/fieldset.xml": """<config><scope id="global"><fieldset id="sales_convert_quote"><field name="weight"><aspect name="to_order"/></field></fieldset></scope></config>""",
+    "app/code/Acme/Ship/etc/db_schema.xml": """<schema><table name="shop_item" resource="default"><column name="id"/></table></schema>""",
     "lib/internal/Acme/Framework/Base.php": """<?php
 namespace Acme\\Framework;
 

@@ -750,6 +750,7 @@ _tool("module_structure", lambda e: e.module_structure("Acme_Shop"), "category",
 _tool("analyze_diff", lambda e: e.analyze_diff(), "path", "added", "removed", "risk")
 _tool("complexity", lambda e: e.complexity(threshold=3), "path", "complexity", "rating")
 _tool("find_fieldset", lambda e: e.find_fieldset(aspect="to_order").select("fieldset", "aspect", F.array_join("fields", ",").alias("fields")))
+_tool("trace_shipping_chain", lambda e: e.trace_shipping_chain(), "part", "name", "path", "detail")
 _tool("trace_dependency", lambda e: e.trace_dependency("CartInterface"), "kind", "name", "path")
 _tool("error_parser", lambda e: e.error_parser("Class A\\B does not exist at x/y.php(7)"), "error_type", "subject", "frames")
 _tool("find_layout", lambda e: e.find_layout("cart"), "handle", "kind", "name")

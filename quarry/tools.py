@@ -221,9 +221,13 @@ class Engine:
 
     @tool
     def find_table_usage(self, table: str) -> DataFrame:
-        """Files that use a table, by kind of use."""
-        rows = self.relation("sql_tables").where(F.col("table") == table.lower())
-        kind = F.when(F.lower("path").contains("/setup/"), "setup").when(F.lower("path").contains("/model/"), "model").when(F.col("path").endswith(".xml"), "schema").otherwise("other")
+        """Files that use a table, in one of four categories: declarative schema, setup scripts, code, configuration."""
+        declared = extract.tags(self.files.where(F.col("path").endswith(".xml")), "table").select("path", extract.attribute(F.col("tag"), "name").alias("table"))
+        every = self.relation("sql_tables").unionByName(self.relation("setup_tables").select("path", "table")).unionByName(declared)
+        rows = every.where(F.lower("table") == table.lower()).select("path", F.lower("table").alias("table")).distinct()
+        p = F.concat(F.lit("/"), F.col("path"))
+        setup = p.contains("/Setup/") | p.contains("InstallSchema") | p.contains("UpgradeSchema") | p.contains("/Patch/")
+        kind = F.when(p.contains("db_schema.xml"), "schema").when(setup, "setup").when(p.endswith(".php"), "code").when(p.endswith(".xml"), "config").otherwise("other")
         return rows.select("path", "table", kind.alias("usage"))
 
     @tool
@@ -285,9 +289,22 @@ class Engine:
 
     @tool
     def trace_shipping_chain(self, carrier: str | None = None) -> DataFrame:
-        """Carrier classes with their interceptors."""
-        rows = self.relation("classes").where(F.lower("parent").contains("carrier") | F.lower("interfaces").contains("carrier") | F.lower("fqcn").contains((carrier or "carrier").lower()))
-        return rows.join(self.relation("plugins").select(F.col("target").alias("fqcn"), F.col("name").alias("plugin")), "fqcn", "left")
+        """part, name, path, detail: carriers, interceptors of what carriers extend or implement with their methods, rate
+        modifiers, totals collectors, and the fields that orders take over."""
+        rows = self.index().select("path", F.coalesce("class_name", F.lit("")).alias("name"), F.array_join("methods", ",").alias("detail"))
+        p = F.concat(F.lit("/"), F.col("path"))
+        named = F.lit(True) if not carrier else F.lower(F.concat_ws(" ", "path", "name")).contains(carrier.lower())
+        carriers = rows.where((p.contains("/Carrier/") | p.contains("/Model/Carrier")) & named).withColumn("part", F.lit("carrier"))
+        hooks = self.relation("plugins").where(paths.short_name(F.col("target")).rlike("AbstractCarrier|CarrierInterface"))
+        own = self.relation("plugin_methods").select(F.regexp_extract("path", r"([^/]+)\.php$", 1).alias("short"), F.concat_ws(":", "type", "target_method").alias("m")).groupBy("short").agg(F.array_join(F.array_sort(F.collect_set("m")), ",").alias("detail"))
+        hooks = hooks.withColumn("short", paths.short_name(F.col("plugin_class"))).join(own, "short", "left").select(F.lit("plugin").alias("part"), "name", "path", "detail")
+        modifiers = rows.where(F.lower("path").contains("modifier")).withColumn("part", F.lit("modifier"))
+        totals = rows.where(p.contains("/Total/") | (F.col("name").contains("Shipping") & ~F.lower("path").contains("modifier"))).withColumn("part", F.lit("total"))
+        fields = self.relation("fieldsets").where(F.lower(F.concat_ws(" ", "fieldset", "scope")).contains("sales_convert")).select(F.lit("fieldset").alias("part"), F.concat_ws("/", "fieldset", "field").alias("name"), "path", F.col("aspect").alias("detail"))
+        out = carriers
+        for part in (hooks, modifiers, totals, fields):
+            out = out.unionByName(part)
+        return out.select("part", "name", "path", "detail")
 
     @tool
     def trace_flow(self, entry: str, entry_type: str | None = None, depth: str = "shallow") -> DataFrame:
