@@ -182,6 +182,18 @@ def test_decontamination_limits(sp):
     assert loose[1] == "blue moon and more words here to read" and loose[2] == f"{long} end"
 
 
+def test_decontaminate_with_several_automata(sp, odd):
+    """One pass that scans and cuts, and several passes whose spans meet again, give the same texts."""
+    r = random.Random(12)
+    word = lambda: r.choice("ab cd ef gh ij kl mn".split())
+    items = [(str(i), " ".join(word() for _ in range(r.choice([3, 10, 14])))) for i in range(12)]
+    texts = [" ".join(word() for _ in range(r.randrange(0, 60))) + " " + r.choice(items)[1] + " end" for _ in range(60)] + [None, "", items[0][1]]
+    bench = sp.createDataFrame(items, "item_id string, text string")
+    docs = frame(sp, texts).unionByName(odd)
+    one, many = (sorted(map(tuple, decontam.decontaminate(docs, bench, item_chars=n).collect()), key=repr) for n in (10_000, 60))
+    assert one == many and len(one) < docs.count()
+
+
 def test_decontamination_of_repetitive_items_is_linear():
     import time
 
