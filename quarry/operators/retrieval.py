@@ -80,7 +80,7 @@ def keyword_bonus(df: DataFrame, query: str) -> Column:
 def hybrid_search(index: DataFrame, vector: list[float], query: str, k: int, adjustment: Callable[[DataFrame], Column] | None = None, metadata: DataFrame | None = None) -> DataFrame:
     """rank, id, path, score: the 3k nearest rows by similarity, bonus and learned adjustment.
 
-    metadata: what the bonus reads, by id, where the index holds vectors alone; joined to the 3k rows only.
+    metadata: what the bonus reads besides the index's own columns, by id; joined to the 3k rows only.
     """
     near = reranked(index, vector, query, 3 * k, adjustment, metadata)
     top = near.orderBy(F.desc("score"), "id").limit(k)
@@ -91,7 +91,7 @@ def reranked(index: DataFrame, vector: list[float], query: str, candidates: int,
     """The nearest rows with similarity and score, in no order."""
     near = nearest(index, vector, candidates)
     if metadata is not None:  # the side that is broadcast has no more rows than the limit
-        near = metadata.join(F.broadcast(near.select("id", "similarity")), "id")
+        near = metadata.join(F.broadcast(near.drop("embedding")), "id")
     learned = F.lit(0.0) if adjustment is None else adjustment(near)
     return near.withColumn("score", F.round(F.col("similarity") + keyword_bonus(near, query) + learned, 6))
 

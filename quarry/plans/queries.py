@@ -65,7 +65,7 @@ def hybrid_search(spark, sf_dir):
 
 @query
 def keyword_bonus(spark, sf_dir):
-    rows = metadata(spark, sf_dir)
+    rows = metadata(spark, sf_dir).join(vectors(spark, sf_dir).drop("embedding"), "id")
     return rows.select("id", F.round(retrieval.keyword_bonus(rows, TEXT_QUERY), 6).alias("bonus"))
 
 

@@ -17,15 +17,14 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, embedding."""
-    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    """id, embedding, component_type."""
+    kind = F.concat(F.lit("label_"), F.col("label").cast("string"))
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", kind.alias("component_type"))
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, path, search_text, component_type: what is known of each vector, from its document."""
-    kinds = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("label_"), F.col("label").cast("string")).alias("component_type"))
-    docs = corpus(spark, sf_dir).select(F.col("doc_id").alias("id"), "path", F.col("content").alias("search_text"))
-    return docs.join(kinds, "id").select("id", "path", "search_text", "component_type")
+    """id, path, search_text: what the document of a vector adds."""
+    return corpus(spark, sf_dir).select(F.col("doc_id").alias("id"), "path", F.col("content").alias("search_text"))
 
 
 def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
