@@ -6,8 +6,9 @@ codes LANES ids. Every CHECKPOINT_STEPS steps the decoder's states and its place
 parts of a block can be decoded by different readers, and each such part has a checksum.
 
 File: header (MAGIC, version, blocks, ids, table's CRC), blocks, directory (an entry for each block: offset, ids, CRC
-of the block's bytes), directory's offset, MAGIC. Nulls are empty texts; an empty table gives no files; repeated
-doc_ids stay separate documents in one file order; other columns of the input are left out.
+of the block's bytes), directory's offset, MAGIC. Nulls are empty texts; an empty table gives no files; rows that repeat a
+doc_id stay separate documents, one after the other in no set order; a very long text fills blocks of its own file, which
+then holds more than FILE_IDS ids; other columns of the input are left out, whatever they are called.
 """
 
 from __future__ import annotations
