@@ -71,23 +71,22 @@ def class_paths(names: DataFrame, classes: DataFrame, name: str = "name") -> Dat
     return best.select(F.col("n").alias(name), "fqcn", "path")
 
 
-def defining_classes(asked: DataFrame, parents: DataFrame, methods: DataFrame) -> DataFrame:
+def defining_classes(asked: DataFrame, up: DataFrame, methods: DataFrame) -> DataFrame:
     """fqcn, method, defined_in, path: where a method of a class (fqcn, method) is defined: in itself or its nearest ancestor.
 
-    parents: fqcn, parent; methods: fqcn, method, path.
+    up: what ancestors() gives; methods: fqcn, method, path.
     """
     a = asked.select("fqcn", "method").distinct()
-    up = ancestors(parents.join(a.select("fqcn").distinct(), "fqcn", "left_semi").unionByName(parents).distinct())
     where = a.select("fqcn", "method", F.col("fqcn").alias("defined_in"), F.lit(0).cast("long").alias("depth")).unionByName(a.join(up, "fqcn").select("fqcn", "method", F.col("ancestor").alias("defined_in"), "depth"))
     m = methods.select(F.col("fqcn").alias("defined_in"), "method", "path").distinct()
     own = Window.partitionBy("fqcn", "method").orderBy("depth", "defined_in", "path")
     return where.join(m, ["defined_in", "method"]).withColumn("r", F.row_number().over(own)).where("r = 1").select("fqcn", "method", "defined_in", "path")
 
 
-def calls(files: DataFrame) -> DataFrame:
+def calls(files: DataFrame, up: DataFrame | None = None) -> DataFrame:
     """path, method, kind (self or dependency), property, callee, type_hint: calls on the object itself and on its
     properties inside methods; a property's type is that of the constructor's parameter of its name, in the class or else
-    in its nearest ancestor that has one."""
+    in its nearest ancestor that has one. up: what ancestors() gives, where it is known."""
     src = files.where(F.col("path").endswith(".php"))
     inside = enclosing(lines(src), reach=200).where(F.col("method").isNotNull() & F.col("text").contains("$this->")).select("path", "line", "method", "text")
     all_of = lambda p, k: F.regexp_extract_all("text", F.lit(p), F.lit(k))
@@ -97,7 +96,7 @@ def calls(files: DataFrame) -> DataFrame:
     other = inside.select("path", "method", pair.alias("c")).select("path", "method", F.col("c.p").alias("property"), F.col("c.m").alias("callee"))
     c = extract.classes(src).select("path", "fqcn")
     given = extract.ctor_params(src).select("path", F.col("variable").alias("property"), "type_hint")
-    up = ancestors(extract.resolved_parents(src))
+    up = ancestors(extract.resolved_parents(src)) if up is None else up
     above = c.join(up, "fqcn").select("path", F.col("ancestor").alias("fqcn"), "depth").join(c.withColumnRenamed("path", "from"), "fqcn").join(given.withColumnRenamed("path", "from"), "from")
     typed = given.withColumn("depth", F.lit(0).cast("long")).unionByName(above.select("path", "property", "type_hint", "depth"))
     best = Window.partitionBy("path", "property").orderBy("depth", "type_hint")
@@ -117,7 +116,8 @@ def traced_calls(files: DataFrame, start: DataFrame, depth: int = 3) -> DataFram
     src = files.where(F.col("path").endswith(".php"))
     c = checkpointed(extract.classes(src))
     m = checkpointed(extract.methods(src).select("path", "method").distinct().join(c.select("path", "fqcn"), "path").select("fqcn", "method", "path"))
-    parents, every = checkpointed(extract.resolved_parents(src)), checkpointed(calls(files))
+    up = checkpointed(ancestors(extract.resolved_parents(src)))
+    every = checkpointed(calls(files, up))
     bound = checkpointed(extract.preferences(files))
     level = start.select("class", "method", F.concat_ws("::", "class", "method").alias("trail"))
     out = []
@@ -125,7 +125,7 @@ def traced_calls(files: DataFrame, start: DataFrame, depth: int = 3) -> DataFram
         level = checkpointed(level.distinct())
         known = class_paths(level, c, "class").select("class", "fqcn")
         named = level.join(known, "class", "left")
-        where = defining_classes(named.where(F.col("fqcn").isNotNull()), parents, m)
+        where = defining_classes(named.where(F.col("fqcn").isNotNull()), up, m)
         rows = checkpointed(named.join(where, ["fqcn", "method"], "left"))
         status = F.when(F.col("fqcn").isNull(), "unresolved").when(F.col("defined_in").isNull(), "method_not_found").otherwise("found")
         out.append(rows.select(F.lit(d).cast("long").alias("depth"), "class", "method", status.alias("status"), "defined_in", "trail"))

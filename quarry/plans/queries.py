@@ -397,7 +397,7 @@ def inherited_methods(spark, sf_dir):
     classes = extract.classes(c)
     own = extract.methods(c).select("path", "method").join(classes.select("path", "fqcn"), "path").select("fqcn", "method", "path")
     asked = spark.createDataFrame([("Acme\\Shop\\Model\\Leaf", m) for m in ("start", "shared", "top", "missing")], "fqcn string, method string")
-    return graph.defining_classes(asked, extract.resolved_parents(c), own)
+    return graph.defining_classes(asked, graph.ancestors(extract.resolved_parents(c)), own)
 
 
 @query
