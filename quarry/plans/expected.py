@@ -1,4 +1,5 @@
-"""Results of queries over the inline code tree, checked by hand against the rules: name -> (columns, rows)."""
+"""Results of queries over the inline code tree: name -> (columns, rows). The rows were taken from the engine's output and read
+against the rules; they are no second implementation."""
 
 from __future__ import annotations
 

@@ -1,6 +1,7 @@
 """DuckDB statements with the same results as the queries of quarry.plans.queries.
 
-Rules of learning, bonuses and ranks are stated anew; results over the inline code tree are rows that were checked by hand.
+Rules of learning, bonuses and ranks are stated anew; results over the inline code tree are rows of the engine
+that were read against the rules.
 """
 
 from __future__ import annotations
