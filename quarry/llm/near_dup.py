@@ -3,8 +3,8 @@
 Texts are sets of word shingles. Documents with equal sets form a class, whose smallest doc_id stands for it. Each
 representative gets T minwise values. A tree branches the representatives by selected minwise tokens: the root sends
 each to the child that one of its minwise values names; a node with more than NODE_ROWS members sends each member to
-two children by values that a hash of the node selects; small nodes are compared exhaustively. Independent trees repeat this to the wanted recall. Candidates are confirmed on full sets, and
-the confirmed links are joined to components.
+two children by values that a hash of the node selects; small nodes are compared exhaustively. Independent trees repeat
+this to the wanted recall. Candidates are confirmed on full sets, and the confirmed links are joined to components.
 
 The target is a miss of 3e-5 at most for a pair at similarity 0.8, at every size of table. Such a pair meets in a tree
 with probability 0.8 at the root; with two children at each level q becomes 1 - (1 - 0.8 q)^2 and no depth brings it
@@ -12,8 +12,10 @@ under 0.75 (0.77, 0.757, 0.753 ... at levels 1, 2, 3 ...). All 8 trees miss it w
 1.53e-5. The sketch rules it out with 9e-6 (fewer than 0.8 - MAYBE_SLACK of 128 values agree). More alike pairs are
 missed far more rarely.
 
-A node that stays large at DEPTH holds near copies by the thousand, or texts around a long shared passage. Its members
-are dealt into random cells of NODE_ROWS members, tied together by three members of the node that join every cell. The
+A node that stays large at DEPTH holds near copies by the thousand, or texts around a long shared passage. So does a
+large node that keeps more than KEPT_PERCENT of its parent's members: they would go down together, twice as many rows at
+each level and in each tree, and end in such nodes. It is not divided further. Pairs inside it are found exactly, so that
+nothing is lost by stopping early. Members of both kinds of node are dealt into random cells of NODE_ROWS members, tied together by three members of the node that join every cell. The
 cells only bring most near copies into one component early. What they miss is found exactly: all documents of such
 nodes, of all trees together, go through a prefix-filter join on full sets. Shingles are ranked from the rarest; two
 sets at the threshold share a shingle behind which both have enough others left. Pairs inside a component are left out,
@@ -44,6 +46,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import cleaned, keeps, lean, text_of, tune, written
 
 T, TREES, NODE_ROWS, DEPTH = 128, 8, 64, 3
+#: A large node that keeps more than this share of its parent's members is not divided further.
+KEPT_PERCENT = 50
 #: Rows of documents in candidate pairs that may be broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Members of a posting list that one task compares at once.
@@ -221,34 +225,38 @@ def _in_cells(cells: DataFrame, reps: DataFrame, threshold: float, forest: bool)
 
 
 def _cells(reps: DataFrame, node_rows: int, depth: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """cell, doc_id of small nodes; of random cells of nodes that stay large; the documents of the latter. Nodes are joined
-    by key and size alone."""
-    members, cells, deep = reps.select("doc_id", F.explode("roots").alias("node")), None, None
+    """cell, doc_id of small nodes; of random cells of nodes that are left large; the documents of the latter. Nodes are
+    joined by key and size alone."""
+    members, cells, left = reps.select("doc_id", F.explode("roots").alias("node"), F.lit(None).cast("long").alias("of")), None, None
     for level in range(depth + 1):
         sizes = members.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > 1)
         sized, _ = written(members.join(sizes, "node"), "members")
         small = sized.where(F.col("size") <= node_rows).select(F.col("node").alias("cell"), "doc_id")
         cells = small if cells is None else cells.unionByName(small)
         large = sized.where(F.col("size") > node_rows)
-        if large.isEmpty():
+        # of: the parent's members, null at the roots
+        whole = F.lit(level == depth) | F.coalesce(100 * F.col("size") > KEPT_PERCENT * F.col("of"), F.lit(False))
+        stays = large.where(whole).select("doc_id", "node")
+        left = stays if left is None else left.unionByName(stays)
+        large = large.where(~whole)
+        if level == depth or large.isEmpty():
             break
-        if level < depth:
-            held = large.join(reps.select("doc_id", "sketch"), "doc_id")
-            child = lambda k: _child(F.col("node"), F.lit(2 * level + k), F.col("sketch")).alias(f"child{k}")  # noqa: E731, B023
-            both, _ = written(held.select("doc_id", child(0), child(1)), "members")
-            members = both.select("doc_id", F.col("child0").alias("node")).unionByName(both.select("doc_id", F.col("child1").alias("node")))
-            continue
-        deep, _ = written(large.groupBy("doc_id").agg(F.array_distinct(F.array(F.min("node"), F.max("node"))).alias("nodes")), "deep")
-        large = deep.select("doc_id", F.explode("nodes").alias("node"))
-        large = large.join(large.groupBy("node").agg(F.count("*").alias("size")), "node")
-        parts = F.ceil(F.col("size") / node_rows).cast("int")
-        dealt = large.select(F.xxhash64("node", F.pmod(F.xxhash64("doc_id", "node"), parts)).alias("cell"), "doc_id")
-        by_hash = F.struct(F.xxhash64("doc_id", "node").alias("h"), "doc_id")
-        leaders = large.groupBy("node", "size").agg(F.array(F.min("doc_id"), F.min(by_hash)["doc_id"], F.max(by_hash)["doc_id"]).alias("lead"))
-        leaders = leaders.select("node", "lead", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).select("node", "part", F.explode("lead").alias("doc_id"))
-        dealt = dealt.unionByName(leaders.select(F.xxhash64("node", F.col("part").cast("long")).alias("cell"), "doc_id")).distinct()
-        return cells, dealt, deep.select("doc_id")
-    return cells, cells.limit(0), None
+        held = large.join(reps.select("doc_id", "sketch"), "doc_id")
+        child = lambda k: _child(F.col("node"), F.lit(2 * level + k), F.col("sketch")).alias(f"child{k}")  # noqa: E731, B023
+        both, _ = written(held.select("doc_id", child(0), child(1), F.col("size").alias("of")), "members")
+        members = both.select("doc_id", F.col("child0").alias("node"), "of").unionByName(both.select("doc_id", F.col("child1").alias("node"), "of"))
+    if left.isEmpty():
+        return cells, cells.limit(0), None
+    deep, _ = written(left.groupBy("doc_id").agg(F.array_distinct(F.array(F.min("node"), F.max("node"))).alias("nodes")), "deep")
+    large = deep.select("doc_id", F.explode("nodes").alias("node"))
+    large = large.join(large.groupBy("node").agg(F.count("*").alias("size")), "node")
+    parts = F.ceil(F.col("size") / node_rows).cast("int")
+    dealt = large.select(F.xxhash64("node", F.pmod(F.xxhash64("doc_id", "node"), parts)).alias("cell"), "doc_id")
+    by_hash = F.struct(F.xxhash64("doc_id", "node").alias("h"), "doc_id")
+    leaders = large.groupBy("node", "size").agg(F.array(F.min("doc_id"), F.min(by_hash)["doc_id"], F.max(by_hash)["doc_id"]).alias("lead"))
+    leaders = leaders.select("node", "lead", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")).select("node", "part", F.explode("lead").alias("doc_id"))
+    dealt = dealt.unionByName(leaders.select(F.xxhash64("node", F.col("part").cast("long")).alias("cell"), "doc_id")).distinct()
+    return cells, dealt, deep.select("doc_id")
 
 
 def _prefixes(full: DataFrame, deep: DataFrame, percent: int) -> DataFrame:

@@ -464,6 +464,40 @@ def test_near_duplicates_keep_their_recall_in_deep_nodes(sp):
     assert found >= 0.75 * 200, found
 
 
+def test_rows_of_a_group_of_near_copies(sp, monkeypatch):
+    """Near copies stay together in every node: they go down one level, not all, and their number of rows is proportional."""
+    r = random.Random(11)
+    base = [f"b{i}" for i in range(120)]
+    real = near_dup.written
+
+    def joined(copies):
+        """Rows of the joins on nodes; the texts differ in one word each from base, the last one from a copy in more."""
+        made = []
+
+        def counted(df, name, *rest):
+            out = real(df, name, *rest)
+            if name == "members" and "size" in out[0].columns:
+                made.append(out[0].count())
+            return out
+
+        monkeypatch.setattr(near_dup, "written", counted)
+        texts = [" ".join(f"e{i}" if k == i % 100 else w for k, w in enumerate(base)) for i in range(copies)]
+        texts += [" ".join([*base[:110], *(f"z{k}" for k in range(10))]), " ".join(f"u{r.randrange(900)}" for _ in range(50))]
+        want = _components({i: set(zip(t.split(), t.split()[1:], strict=False)) for i, t in enumerate(texts)})
+        got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(frame(sp, texts), words=2, node_rows=16, depth=4).collect()}
+        assert got == want and set(want.values()) == {0, copies + 1}
+        return sum(made)
+
+    few, many = joined(150), joined(450)
+    # 8 trees, a row at the root and two below
+    assert few <= 1.3 * 24 * 150 and many <= 1.3 * 24 * 450 and many < 4 * few
+
+
+def test_near_duplicates_keep_their_recall_in_nodes_divided_to_the_end(sp, monkeypatch):
+    monkeypatch.setattr(near_dup, "KEPT_PERCENT", 100)
+    test_near_duplicates_keep_their_recall_in_deep_nodes(sp)
+
+
 def test_near_duplicates_displaced_by_a_wrong_estimate(sp, monkeypatch):
     """A pair below the threshold whose sketches agree must not take the place of a document's true link."""
     words = [f"w{i}" for i in range(101)]
